@@ -106,3 +106,55 @@ def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Col
         d = d.withColumn(n + "_below", F.col("_o_" + n) + F.coalesce(F.sum(n).over(inside), F.lit(0)))
     d = d.withColumn("avg_rank", F.col("cnt_below") + (F.col("cnt") + 1) / 2.0)
     return d.select(*by, value, *weights, *[n + "_below" for n in weights], "avg_rank")
+
+
+def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Wide numeric columns -> ``(*keep, feature, value)`` rows."""
+    quoted = lambda c: F.col("`" + c + "`")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).cast("double").alias("value")) for c in columns])
+    return df.select(*[quoted(k) for k in keep or []], F.explode(cells).alias("_c")).select(
+        *[quoted(k) for k in keep or []], "_c.feature", "_c.value"
+    )
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], buckets: int = 256) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group: ``(*by, prob, quantile)``.
+
+    ``percentile`` keeps every distinct value of a group in one hash map.  Here
+    approximate cut points split each group's value axis, bucket counts (a small
+    table) tell in which bucket each wanted rank lies, and only the rows of those
+    buckets are counted by value.  The cut points affect speed, not the result.
+    """
+    spark = df.sparkSession
+    df = df.select(*by, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    cut_probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, cut_probs, 4 * buckets).alias("_cuts"))
+    cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
+    on = [F.col(c) for c in by]
+    joined = df.join(cuts, by) if by else df.crossJoin(cuts)
+    joined = joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    counts: dict[tuple, dict[int, int]] = {}
+    for r in joined.groupBy(*on, "_b").count().collect():
+        counts.setdefault(tuple(r[c] for c in by), {})[r["_b"]] = r["count"]
+    wanted = []
+    for key, per_bucket in counts.items():
+        n = sum(per_bucket.values())
+        for p in probs:
+            pos = p * (n - 1)
+            for rank, share in ((int(pos), 1.0 - (pos - int(pos))), (min(int(pos) + 1, n - 1), pos - int(pos))):
+                seen = 0
+                for b in sorted(per_bucket):
+                    if rank < seen + per_bucket[b]:
+                        wanted.append((*key, b, float(p), rank - seen, share))
+                        break
+                    seen += per_bucket[b]
+    by_type = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    plan_schema = f"{by_type + ', ' if by else ''}_b int, prob double, _rank bigint, _share double"
+    plan = F.broadcast(spark.createDataFrame(wanted, plan_schema))
+    hit = joined.join(F.broadcast(plan.select(*by, "_b").distinct()), [*by, "_b"], "left_semi")
+    values = hit.groupBy(*by, "_b", value).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    values = values.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    inside = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    picked = values.join(plan, [*by, "_b"]).filter(inside)
+    return picked.groupBy(*by, "prob").agg(F.sum(F.col(value) * F.col("_share")).alias("quantile"))
