@@ -408,11 +408,10 @@ def ablation_interactions(rows: DataFrame, explain, top_n: int = 20) -> DataFram
     long = base.select(F.posexplode("attrs").alias("i", "v"))
     strongest = long.groupBy("i").agg(F.avg(F.abs("v")).alias("m")).orderBy(F.desc("m"), "i").limit(top_n)
     top = [r["i"] for r in strongest.collect()]
-    width = len(rows.select("features").first()[0])
     fixed = rows.select("row_id", "features")
     if "predicted_class" in base.columns:
         fixed = fixed.join(base.select("row_id", F.col("predicted_class").cast("int").alias("target")), "row_id")
-    copies = with_ablations(fixed, column_means(rows, width), {j: [j] for j in top}, "j")
+    copies = with_ablations(fixed, column_means(rows), {j: [j] for j in top}, "j")
     moved = explain(copies).select("row_id", "j", F.col("attrs").alias("_m"))
     pair = base.select("row_id", F.col("attrs").alias("_b")).join(moved, "row_id")
     return pair.select("row_id", "j", F.posexplode(A.difference(F.col("_b"), F.col("_m"))).alias("i", "v")).select(

@@ -36,6 +36,11 @@ def np_sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
 
 
+# wider linear scores run as one matrix product per Arrow batch: hundreds of additions in
+# one expression would slow down planning more than the batches cost
+NATIVE_WIDTH = 16
+
+
 class Scorer:
     """Class scores of feature vectors."""
 
@@ -77,6 +82,8 @@ class LinearScorer(Scorer):
         return F.array(*outs)
 
     def proba(self, features: Column) -> Column:
+        if len(self.weights) > NATIVE_WIDTH:
+            return super().proba(features)
         z = self.logits(features)
         if self.link == "identity":
             return z

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowaudit.functions import arrays as A, hashing as H
 from flowaudit.functions.stats import correlation_p
+from flowaudit.functions.tables import checkpointed
 from flowaudit.functions.vectors import spearman_signed
 from flowaudit.operators import evaluation as E
 
@@ -48,10 +51,8 @@ def sparsity_curve(expl: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     scaled = A.let(a, lambda x: A.let(
         F.when(F.array_max(x) == 0, 1.0).otherwise(F.array_max(x)), lambda m: F.transform(x, lambda v: v / m)))
     rows = expl.select(KEY, scaled.alias("_s"))
-    counts = rows.select(
-        KEY, F.size("_s").alias("_d"),
-        *[F.size(F.filter("_s", lambda v, t=t: v < F.lit(float(t)))).alias(f"_c{i}") for i, t in enumerate(thresholds)],
-    )
+    below = lambda t: F.size(F.filter("_s", lambda v: v < F.lit(float(t))))
+    counts = rows.select(KEY, F.size("_s").alias("_d"), *[below(t).alias(f"_c{i}") for i, t in enumerate(thresholds)])
     sums = counts.groupBy(KEY).agg(F.sum("_d").alias("_d"),
                                    *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(thresholds))])
     cells = F.array(*[F.struct(F.lit(float(t)).alias("tau"), (F.col(f"_c{i}") / F.col("_d")).alias("sparsity"))
@@ -108,10 +109,10 @@ def stability_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame
     )
 
 
-def column_means(df: DataFrame, width: int, vector: str = "features") -> DataFrame:
+def column_means(df: DataFrame, vector: str = "features") -> DataFrame:
     """One row holding the mean of every vector element."""
-    sums = [F.avg(F.get(vector, F.lit(i))).alias(f"_m{i}") for i in range(width)]
-    return df.agg(*sums).select(F.array(*[f"_m{i}" for i in range(width)]).alias("means"))
+    mean = Summarizer.mean(array_to_vector(F.col(vector)))
+    return df.agg(vector_to_array(mean).alias("means"))
 
 
 def with_ablations(df: DataFrame, means: DataFrame, sets: dict[int, list[int]], name: str,
@@ -141,9 +142,10 @@ def faithfulness(samples: DataFrame, importance: list[float], scorer, classes: i
     width = len(importance)
     order = sorted(range(width), key=lambda i: (-importance[i], i))
     sets = {0: [], **{k: order[: min(k, width)] for k in k_values}}
-    rows = with_ablations(samples.select("y", "features"), column_means(samples, width), sets, "k")
+    rows = with_ablations(samples.select("y", "features"), column_means(samples), sets, "k")
     scored = rows.select("k", "y", scorer.proba(F.col("features")).alias("proba"))
-    scored = scored.withColumn("pred", A.argmax(F.col("proba")))
+    # scores feed several aggregates: store them once instead of scoring again for each
+    scored = checkpointed(scored.withColumn("pred", A.argmax(F.col("proba"))))
     scores = E.class_scores(E.confusion(scored, classes, ["k"]), ["k"])
     f1 = E.f1_summary(scores, ["k"]).select("k", F.col("f1_weighted").alias("f1"))
     auc = E.weighted_auc(E.class_auc(scored, ["k"]), classes, ["k"])
@@ -159,7 +161,7 @@ def probability_drops(samples: DataFrame, width: int, scorer) -> DataFrame:
     """Mean drop of the true class's probability per single-feature ablation."""
     true = F.get(scorer.proba(F.col("features")), F.col("y").cast("int"))
     base = samples.select("y", "features").withColumn("_base", true)
-    rows = with_ablations(base, column_means(samples, width), {j: [j] for j in range(width)}, "feature_idx")
+    rows = with_ablations(base, column_means(samples), {j: [j] for j in range(width)}, "feature_idx")
     return rows.groupBy("feature_idx").agg(F.avg(F.col("_base") - true).alias("drop"))
 
 
