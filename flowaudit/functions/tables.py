@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowaudit.functions.hashing import hash64
 
 SMALL_ROWS = 200_000
 
 
-def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small driver-side table (built through Arrow so that its size is known to Catalyst)."""
-    parsed = T._parse_datatype_string(schema)
-    pdf = pd.DataFrame.from_records(rows, columns=[f.name for f in parsed.fields])
-    return spark.createDataFrame(pdf, schema=parsed) if rows else spark.createDataFrame([], parsed)
+def local_rows(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """A small driver-side table, handed over through Arrow as a local relation of known size."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, to_arrow_schema(schema))]
+    return spark.createDataFrame(pa.table(arrays, names=schema.names), schema)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -23,8 +25,8 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows reach the driver.  A larger result is returned
     untouched, so the join that uses it stays exact and merely shuffles.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
@@ -76,6 +78,25 @@ def smallest_per_group(
     return sure.unionByName(edge)
 
 
+def _with_buckets(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """Adds ``_b``, the place of the value among approximate quantile cuts of its group.
+
+    The cuts (groups x buckets numbers) are fixed once, so every later use sees the
+    same buckets even when tasks are retried.
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * buckets).alias("_cuts"))
+    rows = [(*r[:-1], r[-1], r[-1][15::16]) for r in cuts.collect() if r[-1] is not None]
+    kind = cuts.schema["_cuts"].dataType
+    schema = T.StructType([*cuts.schema.fields, T.StructField("_coarse", kind)])
+    table = F.broadcast(local_rows(df.sparkSession, rows, schema))
+    joined = df.join(table, by) if by else df.join(table)
+    coarse = F.size(F.filter("_coarse", lambda c: c < F.col(value))) * 16
+    joined = joined.withColumn("_j", coarse)
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_j") + 1, 16), lambda c: c < F.col(value)))
+    return joined.withColumn("_b", F.col("_j") + fine).drop("_cuts", "_coarse", "_j")
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None,
                 buckets: int = 256) -> DataFrame:
     """Distinct values per group with counts, values below, and tie-averaged rank.
@@ -88,13 +109,9 @@ def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Col
     """
     weights = {"cnt": F.lit(1), **(weights or {})}
     d = df.groupBy(*by, value).agg(*[F.sum(w).cast("bigint").alias(n) for n, w in weights.items()])
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = d.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_cuts")) if by else \
-        d.agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
-    rows = cuts.collect()
-    cuts = F.broadcast(df.sparkSession.createDataFrame(rows, cuts.schema))
-    d = d.join(cuts, by) if by else d.crossJoin(cuts)
-    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # the value counts serve the cuts, the bucket totals and the ranks: shuffle once, store, read thrice
+    d = checkpointed(d)
+    d = _with_buckets(d, by, value, buckets)
     inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     totals = d.groupBy(*by, "_b").agg(*[F.sum(n).alias("_t_" + n) for n in weights])
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -127,12 +144,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     """
     spark = df.sparkSession
     df = df.select(*by, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
-    cut_probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, cut_probs, 4 * buckets).alias("_cuts"))
-    cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
     on = [F.col(c) for c in by]
-    joined = df.join(cuts, by) if by else df.crossJoin(cuts)
-    joined = joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    joined = _with_buckets(df, by, value, buckets)
     counts: dict[tuple, dict[int, int]] = {}
     for r in joined.groupBy(*on, "_b").count().collect():
         counts.setdefault(tuple(r[c] for c in by), {})[r["_b"]] = r["count"]
@@ -150,7 +163,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
                     seen += per_bucket[b]
     by_type = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     plan_schema = f"{by_type + ', ' if by else ''}_b int, prob double, _rank bigint, _share double"
-    plan = F.broadcast(spark.createDataFrame(wanted, plan_schema))
+    plan = F.broadcast(local_rows(spark, wanted, plan_schema))
     hit = joined.join(F.broadcast(plan.select(*by, "_b").distinct()), [*by, "_b"], "left_semi")
     values = hit.groupBy(*by, "_b", value).agg(F.count("*").alias("_n"))
     w = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from flowaudit.functions import arrays as A
-from flowaudit.functions.tables import local_table, small_side
+from flowaudit.functions.tables import local_rows, small_side
 from flowaudit.operators.consensus import FLAT, is_benign
 from flowaudit.operators.fixed_values import EXPERT_TABLES
 
@@ -21,7 +21,7 @@ def expert_rows() -> list[tuple]:
 
 def expert_table(spark: SparkSession) -> DataFrame:
     """``(dataset, attack, attack_pos, feature, pos)`` with both positions 0-based."""
-    return local_table(
+    return local_rows(
         spark, expert_rows(), "dataset string, attack string, attack_pos int, feature string, pos int"
     )
 

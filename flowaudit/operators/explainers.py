@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowaudit.functions import arrays as A, hashing as H, kernels as K
-from flowaudit.functions.tables import exact_quantiles, long_form
+from flowaudit.functions.tables import exact_quantiles, local_rows, long_form
 from flowaudit.operators.constraints import enforce, pack, unpack
 from flowaudit.operators.models import Scorer, TreeScorer
 from flowaudit.operators.neighbors import neighbourhood
@@ -356,8 +356,8 @@ def kernel_shap(rows: DataFrame, scorer, background: np.ndarray, schema: FlowSch
     masks, p_matrix, q = K.coalition_design(width, samples, seed)
     ends = np.vstack([np.zeros((1, width), dtype=int), np.ones((1, width), dtype=int), masks])
     spark = rows.sparkSession
-    design = F.broadcast(spark.createDataFrame(
-        [(ends.astype(bool).tolist(), background.tolist())],
+    design = F.broadcast(local_rows(
+        spark, [(ends.astype(bool).tolist(), background.tolist())],
         "_masks array<array<boolean>>, _bg array<array<double>>"))
     base = rows.select("row_id", A.as_doubles(F.col("features")).alias("features")).repartition("row_id")
     proto = None

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from flowaudit.functions import arrays as A, hashing as H
-from flowaudit.functions.tables import long_form, small_side
+from flowaudit.functions.tables import local_rows, long_form, small_side
 from flowaudit.functions.vectors import matrix
 from flowaudit.operators.constraints import col, enforce, pack, unpack
 from flowaudit.operators.schemas import FlowSchema
@@ -188,8 +188,8 @@ def nearest_rows(
             ])
         return pd.Series(found)
 
-    sizes = F.broadcast(spark.createDataFrame(
-        [(*(s[c] for c in by), s["_cell"], -(-s["n"] // chunk_rows)) for s in stats],
+    sizes = F.broadcast(local_rows(
+        spark, [(*(s[c] for c in by), s["_cell"], -(-s["n"] // chunk_rows)) for s in stats],
         T.StructType([*[candidates.schema[c] for c in by], T.StructField("_cell", T.IntegerType()),
                       T.StructField("_chunks", T.LongType())])))
     cand = cand.join(sizes, [*by, "_cell"]).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from flowaudit.functions import arrays as A, hashing as H
 from flowaudit.functions.tables import (
-    exact_quantiles, local_table, long_form, small_side, smallest_per_group,
+    exact_quantiles, local_rows, long_form, small_side, smallest_per_group,
 )
 from flowaudit.operators.constraints import clamp, col
 from flowaudit.operators.fixed_values import KDD_CATEGORIES, LABEL_COLUMNS, METADATA_COLUMNS, PROTOCOL_NUMBERS
@@ -95,7 +95,7 @@ def protocol_from_window(flags: list[str], window: str, columns: list[str]) -> C
 
 def category_table(spark: SparkSession, categories: dict[str, str] | None = None) -> DataFrame:
     rows = [(a, c) for c, names in (categories or KDD_CATEGORIES).items() for a in names.split()]
-    return local_table(spark, rows, "attack string, category string")
+    return local_rows(spark, rows, "attack string, category string")
 
 
 def map_categories(df: DataFrame, label: str, categories: DataFrame, default: str = "Normal") -> DataFrame:
@@ -204,8 +204,9 @@ def oversample(df: DataFrame, y: str = "y", k: int = 5, seed: int = 42, key: str
     need = small_side(need.filter("_need > 0 AND _n > 1").select(
         y, "_n", F.floor(F.col("_need") / F.col("_n")).alias("_each"), (F.col("_need") % F.col("_n")).alias("n_take"),
         F.least(F.lit(k), F.col("_n") - 1).alias("_k")))
-    few = df.select(key, y, A.as_doubles(F.col("features")).alias("features")).join(need, y)
-    marked = smallest_per_group(few.drop("n_take"), [y], need.select(y, "n_take"), seed, key)
+    need = need.withColumnRenamed("_n", "_rows")
+    few = df.select(key, y, A.as_doubles(F.col("features")).alias("features")).join(need.drop("n_take"), y)
+    marked = smallest_per_group(few, [y], need.select(y, "n_take"), seed, key)
     copies = F.col("_each") + F.col("taken").cast("bigint")
     seeds = marked.withColumn("_copies", copies).filter("_copies > 0")
     q = seeds.select(F.col(key).alias("query_id"), F.col("features").alias("vector"), y, F.lit(True).alias("self"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowaudit.functions import arrays as A, hashing as H
 from flowaudit.functions.stats import correlation_p
@@ -150,11 +150,10 @@ def faithfulness(samples: DataFrame, importance: list[float], scorer, classes: i
     f1 = E.f1_summary(scores, ["k"]).select("k", F.col("f1_weighted").alias("f1"))
     auc = E.weighted_auc(E.class_auc(scored, ["k"]), classes, ["k"])
     m = f1.join(auc, "k")
-    base = F.broadcast(m.filter("k = 0").select(F.col("f1").alias("f1_base"), F.col("auc").alias("auc_base")))
-    return m.join(base).select(
-        "k", "f1", "auc", (F.col("f1_base") - F.col("f1")).alias("f1_drop"),
-        (F.col("auc_base") - F.col("auc")).alias("auc_drop"),
-    )
+    # one row per k: the window below is over a handful of rows
+    base = lambda c: F.max(F.when(F.col("k") == 0, F.col(c))).over(W.partitionBy(F.lit(0)))
+    return m.select("k", "f1", "auc", (base("f1") - F.col("f1")).alias("f1_drop"),
+                    (base("auc") - F.col("auc")).alias("auc_drop"))
 
 
 def probability_drops(samples: DataFrame, width: int, scorer) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowaudit.functions.tables import local_table
+from flowaudit.functions.tables import local_rows
 from flowaudit.operators.fixed_values import ARGUS_FEATURES, KDD_FEATURES, PROTOCOL_NUMBERS
 
 
@@ -315,7 +315,7 @@ def rule_summary(spark: SparkSession, datasets: dict[str, str] | None = None) ->
         s = get_schema(name)
         rows.append((key, name, len(s.features), s.protocol, s.encoding, len(s.non_negative), len(s.tcp_only),
                      len(s.discrete), len(s.ordered), len(s.bounded), len(s.derived), len(s.spread)))
-    return local_table(
+    return local_rows(
         spark, rows,
         "dataset_name string, schema_name string, num_features bigint, protocol_feature string, "
         "protocol_encoding string, num_non_negative bigint, num_tcp_only bigint, num_discrete bigint, "

@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowaudit.functions import hashing as H
-from flowaudit.functions.tables import exact_quantiles, local_table, small_side, value_ranks
+from flowaudit.functions.tables import exact_quantiles, local_rows, small_side, value_ranks
 from flowaudit.operators import evaluation as E, models as M
 
 STATISTICAL = ("Chi-Squared", "PCA", "Spearman", "InfoGain")
@@ -54,7 +54,7 @@ def pca_loadings(df: DataFrame, width: int, variance: float = 0.95) -> DataFrame
         if seen >= variance:
             break
     loadings = abs(model.pc.toArray()[:, :kept]).max(axis=1)
-    return local_table(df.sparkSession, [(i, float(v)) for i, v in enumerate(loadings)], "feature_idx int, score double")
+    return local_rows(df.sparkSession, [(i, float(v)) for i, v in enumerate(loadings)], "feature_idx int, score double")
 
 
 def _label_ranks(df: DataFrame, y: str) -> DataFrame:
@@ -126,7 +126,7 @@ def spearman_selection(df: DataFrame, width: int, n: int, redundancy: float = 0.
         if len(chosen) < n and not any(abs(corr[i, j]) > redundancy for j in chosen):
             chosen.append(i)
     chosen += [i for i in order if i not in chosen][: n - len(chosen)]
-    return local_table(df.sparkSession, [(i, float(score.get(i, 0.0)), i in chosen) for i in range(width)],
+    return local_rows(df.sparkSession, [(i, float(score.get(i, 0.0)), i in chosen) for i in range(width)],
                        "feature_idx int, score double, selected boolean")
 
 
@@ -138,11 +138,9 @@ def information_gain(df: DataFrame, bins: int = 10, y: str = "y") -> DataFrame:
     binned = long.join(cuts, "feature_idx").withColumn(
         "bin", F.size(F.filter("_cuts", lambda c: c < F.col("value"))))
     joint = binned.groupBy("feature_idx", "bin", y).agg(F.count("*").alias("nxy"))
-    # the contingency table has features x bins x classes rows
-    total = joint.groupBy("feature_idx").agg(F.sum("nxy").alias("n"))
-    nx = joint.groupBy("feature_idx", "bin").agg(F.sum("nxy").alias("nx"))
-    ny = joint.groupBy("feature_idx", y).agg(F.sum("nxy").alias("ny"))
-    j = joint.join(total, "feature_idx").join(nx, ["feature_idx", "bin"]).join(ny, ["feature_idx", y])
+    # the contingency table has features x bins x classes rows, so its windows are small
+    share = lambda *k: F.sum("nxy").over(W.partitionBy("feature_idx", *k)).cast("double")
+    j = joint.withColumns({"n": share(), "nx": share("bin"), "ny": share(y)})
     p = F.col("nxy") / F.col("n")
     gain = F.sum(p * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny"))))
     return j.groupBy("feature_idx").agg(F.greatest(gain, F.lit(0.0)).alias("score"))
@@ -273,7 +271,7 @@ def benchmark(train: DataFrame, test: DataFrame, classes: int, feature_sets: dic
             rows.append((name, method, len(idx), m["accuracy"], m["f1_weighted"], m["f1_macro"], m["auc"],
                          m["fpr_macro"], m["far_overall"], took, lat["inference_ms_per_sample_mean"],
                          lat["inference_ms_per_sample_std"]))
-    return local_table(
+    return local_rows(
         train.sparkSession, rows,
         "model string, selection_method string, n_features int, accuracy double, f1_weighted double, f1_macro double, "
         "auc_roc double, fpr_macro double, far_overall double, train_time_s double, "

@@ -34,12 +34,14 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> list[str]:
-    """Files of a directory in name order (listing only, no content)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(directory)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().toString() for s in fs.listStatus(path)
-                  if s.isFile() and s.getPath().getName().endswith(suffix))
+    """Files below a directory in name order (listing only, no content)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found, it = [], path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while it.hasNext():
+        name = it.next().getPath().toString()
+        if name.endswith(suffix) and not name.rsplit("/", 1)[1].startswith(("_", ".")):
+            found.append(name)
+    return sorted(found)
 
 
 def read_flow_directory(spark: SparkSession, directory: str) -> DataFrame:
