@@ -143,7 +143,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     buckets are counted by value.  The cut points affect speed, not the result.
     """
     spark = df.sparkSession
-    df = df.select(*by, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    df = df.select(*by, F.col(value).alias("_value")).filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    value = "_value"
     on = [F.col(c) for c in by]
     joined = _with_buckets(df, by, value, buckets)
     counts: dict[tuple, dict[int, int]] = {}

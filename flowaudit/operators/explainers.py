@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowaudit.functions import arrays as A, hashing as H, kernels as K
 from flowaudit.functions.tables import exact_quantiles, local_rows, long_form
@@ -207,14 +208,26 @@ _RIDGE = T.StructType([
 ])
 
 
+def _column_matrix(table: pa.Table, name: str, order: np.ndarray) -> np.ndarray:
+    flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1)[order]
+
+
+def _solved(table: pa.Table, group: list[str], schema: T.StructType, values: list) -> pa.Table:
+    """One output row: the group keys of the input and the fitted values."""
+    keys = [table[g][0].as_py() for g in group]
+    types = to_arrow_schema(schema)
+    return pa.table([pa.array([v], f.type) for v, f in zip([*keys, *values], types)], names=schema.names)
+
+
 def _surrogate(scored: DataFrame, kernel_width: float | None, halve: bool, alpha: float, standardise: bool,
                group: list[str], class_to_explain: int | None = None) -> DataFrame:
     """Weighted ridge per group of ``(*group, sample, features, proba)`` rows (group size = sample count)."""
-    fields = [*[scored.schema[g] for g in group], *_RIDGE.fields[1:]]
+    schema = T.StructType([*[scored.schema[g] for g in group], *_RIDGE.fields[1:]])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        x, p = np.vstack(pdf["features"]), np.vstack(pdf["proba"])
+    def solve(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["sample"].to_numpy())
+        x, p = _column_matrix(table, "features", order), _column_matrix(table, "proba", order)
         if standardise:
             std = x.std(axis=0)
             x = (x - x.mean(axis=0)) / np.where(std > 0, std, 1.0)
@@ -222,10 +235,9 @@ def _surrogate(scored: DataFrame, kernel_width: float | None, halve: bool, alpha
         d2 = ((x - x[0]) ** 2).sum(axis=1)
         width = 0.75 * np.sqrt(x.shape[1]) if kernel_width is None else kernel_width
         coef, icpt, r2 = K.weighted_ridge(x, p[:, cls], np.exp(-d2 / ((2.0 if halve else 1.0) * width**2)), alpha)
-        return pd.DataFrame([[*[pdf[g].iloc[0] for g in group], coef, float(cls), r2, icpt,
-                              float(x[0] @ coef + icpt), len(x)]], columns=[f.name for f in fields])
+        return _solved(table, group, schema, [coef, float(cls), r2, icpt, float(x[0] @ coef + icpt), len(x)])
 
-    return scored.groupBy(*group).applyInPandas(solve, T.StructType(fields))
+    return scored.groupBy(*group).applyInArrow(solve, schema)
 
 
 def protocol_lime(rows: DataFrame, schema: FlowSchema, scorer, samples: int = 5000, sigma=0.1, pools=None,
@@ -243,6 +255,19 @@ def protocol_lime(rows: DataFrame, schema: FlowSchema, scorer, samples: int = 50
     return out.select(F.lit(key).alias("explainer_key"), "*")
 
 
+def packet_lime(near: DataFrame, features: Column, scorer, group: list[str], kernel_width: float | None = None,
+                alpha: float = 1.0, class_to_explain: int | None = None, key: str = "PA-LIME-PCAP") -> DataFrame:
+    """Surrogate on accepted packets or flows: standard-scaled features, weights exp(-d^2 / width^2).
+
+    ``near(*group, sample, ...)`` as made by the packet or flow neighbourhoods;
+    ``features`` is an array column over it.
+    """
+    rows = near.select(*group, "sample", features.alias("features"))
+    scored = rows.withColumn("proba", scorer.proba(F.col("features")))
+    out = _surrogate(scored, kernel_width, False, alpha, True, group, class_to_explain)
+    return out.select(F.lit(key).alias("explainer_key"), "*")
+
+
 def quartile_bins(train: DataFrame, names: list[str]) -> dict[str, dict]:
     """Per feature: quartile cuts and, per bin, frequency, mean, std, min and max of the training values."""
     q = exact_quantiles(long_form(train, names), ["feature"], "value", [0.25, 0.5, 0.75]).collect()
@@ -304,9 +329,9 @@ def quartile_lime(rows: DataFrame, bins: dict[str, dict], scorer, samples: int =
     scored = near.select("row_id", "sample", "z", scorer.proba(F.col("features")).alias("proba"))
     width = len(names)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        zz, p = np.vstack(pdf["z"]), np.vstack(pdf["proba"])
+    def solve(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["sample"].to_numpy())
+        zz, p = _column_matrix(table, "z", order), _column_matrix(table, "proba", order)
         cls = int(p[0].argmax())
         d2 = ((1.0 - zz) ** 2).sum(axis=1)
         w = np.sqrt(np.exp(-d2 / (0.75**2 * width)))
@@ -315,10 +340,9 @@ def quartile_lime(rows: DataFrame, bins: dict[str, dict], scorer, samples: int =
         coef, icpt, r2 = K.weighted_ridge(zz[:, top], p[:, cls], w, 1.0)
         attrs = np.zeros(width)
         attrs[top] = coef
-        return pd.DataFrame([[pdf["row_id"].iloc[0], attrs, float(cls), r2, icpt, float(coef.sum() + icpt), len(zz)]],
-                            columns=_RIDGE.names)
+        return _solved(table, ["row_id"], _RIDGE, [attrs, float(cls), r2, icpt, float(coef.sum() + icpt), len(zz)])
 
-    return scored.groupBy("row_id").applyInPandas(solve, _RIDGE).select(F.lit(key).alias("explainer_key"), "*")
+    return scored.groupBy("row_id").applyInArrow(solve, _RIDGE).select(F.lit(key).alias("explainer_key"), "*")
 
 
 def stable_sample_count(explain, candidates=(200, 500, 1000, 2000, 5000), repeats: int = 5, threshold: float = 0.85,

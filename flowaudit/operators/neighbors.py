@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from flowaudit.functions import arrays as A, hashing as H
-from flowaudit.functions.tables import local_rows, long_form, small_side
+from flowaudit.functions.tables import checkpointed, local_rows, long_form, small_side
 from flowaudit.functions.vectors import matrix
 from flowaudit.operators.constraints import col, enforce, pack, unpack
 from flowaudit.operators.schemas import FlowSchema
@@ -158,7 +158,8 @@ def nearest_rows(
     ])
     if not len(centre):
         return spark.createDataFrame([], T.StructType([*out_schema.fields, T.StructField("place", T.IntegerType())]))
-    cand = _cells(candidates, centre, "vector")
+    # assigned once: the cell statistics and the search both read it
+    cand = checkpointed(_cells(candidates, centre, "vector"))
     stats = cand.groupBy(*by, "_cell").agg(F.max("_r").alias("radius"), F.count("*").alias("n")).collect()
     table: dict[tuple, list] = {}
     for s in stats:
@@ -197,6 +198,7 @@ def nearest_rows(
     key_struct = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_pad"))
     q = queries.withColumn("_v", F.explode(cells_to_visit("vector", key_struct)))
     q = q.select(*by, "query_id", "vector", F.col("_v.cell").alias("_cell"), F.col("_v.chunk").alias("_chunk"))
+    q = checkpointed(q)
     # a chunk visited by very many queries is answered in several groups, each with its copy of the chunk
     load = q.groupBy(*by, "_cell", "_chunk").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("_parts"))
     load = small_side(load)
@@ -208,8 +210,9 @@ def nearest_rows(
     skip_self = bool(own)
 
     def search(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({n: pd.Series(dtype=object) for n in out_schema.names})
         if qs.empty or cs.empty:
-            return pd.DataFrame(columns=out_schema.names)
+            return nothing
         cm, cid = matrix(cs["vector"]), cs["candidate_id"].to_numpy()
         order = np.argsort(cid, kind="stable")
         cm, cid = cm[order], cid[order]
@@ -226,9 +229,10 @@ def nearest_rows(
             ok = np.isfinite(dist)
             parts.append(pd.DataFrame({
                 "query_id": block["query_id"].to_numpy()[rows][ok], "candidate_id": cid[pick][ok],
-                "distance": dist[ok], "vector": list(cm[pick][ok]),
+                "distance": dist[ok], "vector": pd.Series(list(cm[pick][ok]), dtype=object),
             }))
-        return pd.concat(parts, ignore_index=True)
+        found = pd.concat(parts, ignore_index=True)
+        return nothing if found.empty else found
 
     named = [*group, "candidate_id", "vector"]
     right = cand.select(*named).toDF(*named)  # fresh column ids: both sides may stem from one table

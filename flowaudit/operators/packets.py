@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from flowaudit.functions import hashing as H
+from flowaudit.functions import arrays as A, hashing as H
 from flowaudit.operators.fixed_values import (
     ACK, FIN, ICMP_CODES, ICMP_HEADER, IP_FLAGS, IP_HEADER, RST, SYN, TCP_HEADER, UDP_HEADER, URG,
 )
@@ -41,10 +41,20 @@ def _whole(c: str, lo: int, hi: int) -> Column:
 
 def snap(value: Column, allowed) -> Column:
     """Nearest allowed value; the smaller one when two are equally near."""
-    best = F.array_min(F.transform(
-        F.array(*[F.lit(a).cast("bigint") for a in sorted(allowed)]),
-        lambda a: F.struct(F.abs(a - value).alias("d"), a.alias("a"))))
-    return F.when(value.isNotNull(), best["a"])
+    steps = sorted(allowed)
+    c = F.when(value.isNull(), None)
+    for a, b in zip(steps, steps[1:]):
+        c = c.when(value * 2 <= a + b, F.lit(a).cast("bigint"))
+    return c.otherwise(F.lit(steps[-1]).cast("bigint"))
+
+
+def _largest_code(icmp_type: Column) -> Column:
+    """Codes of an ICMP type run from 0 to this value; null for unknown types."""
+    first, *rest = ICMP_CODES
+    c = F.when(icmp_type == first, max(ICMP_CODES[first]))
+    for t in rest:
+        c = c.when(icmp_type == t, max(ICMP_CODES[t]))
+    return c
 
 
 def perturb_packets(df: DataFrame, sigma: float, keys: list[str], seed: int = 42) -> DataFrame:
@@ -70,18 +80,24 @@ def perturb_packets(df: DataFrame, sigma: float, keys: list[str], seed: int = 42
 
 def repair_tcp_flags(flags: Column, original: Column) -> Column:
     """Flags that fit the original packet's state (SYN, SYN+ACK, RST, FIN or established)."""
-    flags, original = flags.cast("bigint"), original.cast("bigint")
-    established = _off(_on(flags, ACK), SYN)
-    established = F.when(has(established, FIN) & has(established, RST), _off(established, RST)).otherwise(established)
-    f = (
-        F.when(has(original, SYN) & ~has(original, ACK), _off(_on(flags, SYN), FIN | RST | ACK))
-        .when(has(original, SYN), _off(_on(flags, SYN | ACK), FIN | RST))
-        .when(has(original, RST), _on(flags, RST).bitwiseAND(F.lit(RST | ACK).cast("bigint")))
-        .when(has(original, FIN), _off(_on(flags, FIN | ACK), RST | SYN))
-        .otherwise(established)
-    )
-    f = F.when(has(f, SYN), _off(f, FIN | RST)).otherwise(f)
-    return F.when(f == 0, original).otherwise(f)
+
+    def by_state(s: Column) -> Column:
+        flags, original = s["f"], s["o"]
+        open_ = A.let(_off(_on(flags, ACK), SYN), lambda e: F.when(has(e, FIN) & has(e, RST), _off(e, RST)).otherwise(e))
+        return (
+            F.when(has(original, SYN) & ~has(original, ACK), _off(_on(flags, SYN), FIN | RST | ACK))
+            .when(has(original, SYN), _off(_on(flags, SYN | ACK), FIN | RST))
+            .when(has(original, RST), _on(flags, RST).bitwiseAND(F.lit(RST | ACK).cast("bigint")))
+            .when(has(original, FIN), _off(_on(flags, FIN | ACK), RST | SYN))
+            .otherwise(open_)
+        )
+
+    def final(s: Column) -> Column:
+        safe = A.let(by_state(s), lambda f: F.when(has(f, SYN), _off(f, FIN | RST)).otherwise(f))
+        return A.let(safe, lambda f: F.when(f == 0, s["o"]).otherwise(f))
+
+    # bound once each: nested copies of the flag expressions would grow with every rule
+    return A.let(F.struct(flags.cast("bigint").alias("f"), original.cast("bigint").alias("o")), final)
 
 
 def repair_packets(df: DataFrame, original: dict[str, Column] | None = None) -> DataFrame:
@@ -106,8 +122,8 @@ def repair_packets(df: DataFrame, original: dict[str, Column] | None = None) ->
         "icmp_type": only(icmp, snap(_whole("icmp_type", 0, 255), ICMP_CODES)),
     })
     code = _whole("icmp_code", 0, 255)
-    codes = reduce(lambda c, t: c.when(F.col("icmp_type") == t, snap(code, ICMP_CODES[t])), list(ICMP_CODES)[1:],
-                   F.when(F.col("icmp_type") == 0, snap(code, ICMP_CODES[0])))
+    most = _largest_code(F.col("icmp_type"))
+    codes = F.when(code > most, most).otherwise(code).cast("bigint")
     payload = F.col("payload_size").cast("bigint")
     length = (
         F.when(tcp, IP_HEADER + TCP_HEADER + payload)
@@ -141,8 +157,7 @@ def packet_is_valid() -> Column:
     udp_bad = (c("protocol") == "udp") & (
         some("tcp_flags", "tcp_seq", "tcp_window_size") | F.coalesce(c("udp_length") < UDP_HEADER, F.lit(False))
     )
-    pair_ok = reduce(lambda a, b: a | b, [
-        (c("icmp_type") == t) & c("icmp_code").isin(*codes) for t, codes in ICMP_CODES.items()])
+    pair_ok = (c("icmp_code") >= 0) & (c("icmp_code") <= _largest_code(c("icmp_type")))
     icmp_bad = (c("protocol") == "icmp") & (some("tcp_flags", "udp_length") | ~F.coalesce(pair_ok, F.lit(False)))
     bad = (c("ip_ttl") <= 0) | (c("ip_total_length") < IP_HEADER) | tcp_bad | udp_bad | icmp_bad
     return ~F.coalesce(bad, F.lit(False))
@@ -216,37 +231,60 @@ def _require(df: DataFrame, group: list[str], n: int, what: str) -> DataFrame:
         "_n", F.when(F.col("_n") < n, F.raise_error(message)).otherwise(F.col("_n"))).filter("_n >= 0").drop("_n")
 
 
+def _enough(short: DataFrame) -> bool:
+    return not short.limit(1).count()
+
+
+def _sizes(max_retries: int):
+    """1, 2, 4, ... up to ``max_retries``."""
+    k = 1
+    while k < max_retries:
+        yield k
+        k *= 2
+    yield max_retries
+
+
 def packet_neighbourhood(packets: DataFrame, n: int, sigma: float, keys: list[str], max_retries: int = 10,
                          group: list[str] = ["file"], seed: int = 42) -> DataFrame:
-    """n valid perturbed packets per group (capture file), in attempt order.
+    """n valid perturbed packets per group (capture file), ``sample`` counting from 0.
 
-    Every packet gets up to ``max_retries`` x n attempts; attempts are made lazily in
-    one job, invalid ones filtered, the first n of a group kept.  Repair makes
-    nearly every attempt valid, so attempts per packet are generated round by
-    round until the group can be filled.
+    The group's first packet is perturbed n times; only when too few copies are
+    valid do the next packets follow, up to ``max_retries`` x n attempts.  A group never
+    holds more rows than that, however long the capture.
     """
-    sizes = packets.groupBy(*group).agg(F.count("*").alias("_size"))
-    rounds = F.greatest(F.lit(1), F.least(F.lit(max_retries * n), F.ceil(F.lit(max_retries * n) / F.col("_size"))))
-    p = packets.join(F.broadcast(sizes), group).withColumn(
-        "attempt", F.explode(F.sequence(F.lit(0), (rounds - 1).cast("int")))).drop("_size")
-    p = p.withColumns({"_op": F.col("protocol"), "_of": F.col("tcp_flags")})
-    p = repair_packets(perturb_packets(p, sigma, [*keys, "attempt"], seed),
-                       {"protocol": F.col("_op"), "tcp_flags": F.col("_of")}).drop("_op", "_of")
-    valid = p.filter(packet_is_valid())
-    w = W.partitionBy(*group).orderBy("attempt", *keys)
-    kept = valid.withColumn("sample", F.row_number().over(w) - 1).filter(F.col("sample") < n)
-    return _require(kept, group, n, "samples")
+    w = W.partitionBy(*group).orderBy(*keys)
+    seeds = packets.withColumn("_place", F.row_number().over(w))
+    for used in _sizes(max_retries):
+        p = seeds.filter(F.col("_place") <= used).withColumn(
+            "attempt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        p = p.withColumns({"_op": F.col("protocol"), "_of": F.col("tcp_flags")})
+        p = repair_packets(perturb_packets(p, sigma, [*keys, "attempt"], seed),
+                           {"protocol": F.col("_op"), "tcp_flags": F.col("_of")}).drop("_op", "_of")
+        # a running count (not a filter below the window) keeps the repair from being evaluated twice
+        order = W.partitionBy(*group).orderBy("_place", "attempt")
+        p = p.withColumn("_valid", packet_is_valid())
+        p = p.withColumn("sample", F.sum(F.col("_valid").cast("int")).over(order) - 1)
+        kept = p.filter(F.col("_valid") & (F.col("sample") < n)).drop("_valid", "_place")
+        if used == max_retries or _enough(kept.groupBy(*group).count().filter(F.col("count") < n)):
+            return _require(kept, group, n, "samples")
 
 
 def flow_neighbourhood(packets: DataFrame, n: int, sigma: float, flow: list[str], keys: list[str],
                        max_retries: int = 10, seed: int = 42) -> DataFrame:
-    """n valid perturbed versions of every flow, as packet rows with ``sample``."""
-    copies = perturb_flows(packets, n * max_retries, sigma, flow, keys, seed)
-    ok = flow_validity(copies, [*flow, "copy_id"], order=["pos"]).filter("valid").drop("n_packets", "valid")
-    w = W.partitionBy(*flow).orderBy("copy_id")
-    chosen = ok.withColumn("sample", F.row_number().over(w) - 1).filter(F.col("sample") < n)
-    chosen = _require(chosen, flow, n, "flows")
-    return copies.join(chosen, [*flow, "copy_id"])
+    """n valid perturbed versions of every flow, as packet rows with ``sample``.
+
+    n copies are made first; more follow only while some flow has too few valid ones,
+    up to ``max_retries`` x n.
+    """
+    for used in _sizes(max_retries):
+        copies = perturb_flows(packets, n * used, sigma, flow, keys, seed)
+        ok = flow_validity(copies, [*flow, "copy_id"], order=["pos"])
+        w = W.partitionBy(*flow).orderBy("copy_id")
+        ok = ok.withColumn("sample", F.sum(F.col("valid").cast("int")).over(w) - 1)
+        chosen = ok.filter(F.col("valid") & (F.col("sample") < n)).select(*flow, "copy_id", "sample")
+        short = ok.groupBy(*flow).agg(F.count(F.when(F.col("valid"), 1)).alias("_ok")).filter(F.col("_ok") < n)
+        if used == max_retries or _enough(short):
+            return copies.join(_require(chosen, flow, n, "flows"), [*flow, "copy_id"])
 
 
 def first_packet_features(packets: DataFrame, group: list[str], features: list[Column]) -> DataFrame:

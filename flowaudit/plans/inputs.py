@@ -136,7 +136,7 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
         tcp(i * 100003 - 5000000).alias("tcp_seq"), tcp(i * 90001).alias("tcp_ack"),
         tcp(i % 3 * 40000 - 10).alias("tcp_urgent_ptr"), F.when(i % 4 > 0, i % 900).alias("udp_length"),
         F.when(proto == "icmp", i % 300).alias("icmp_type"), F.when(proto == "icmp", i % 20).alias("icmp_code"),
-        F.unix_micros("ts").cast("double").alias("ts"), F.floor("value").cast("bigint").alias("payload_size"))
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.floor("value").cast("bigint").alias("payload_size"))
 
 
 PACKET_SQL = """
