@@ -223,16 +223,10 @@ def perturb_flows(packets: DataFrame, copies: int, sigma: float, flow: list[str]
     return p.drop("_op", "_of")
 
 
-def _require(df: DataFrame, group: list[str], n: int, what: str) -> DataFrame:
-    """Fail when a group has fewer than n accepted members."""
-    have = F.count("*").over(W.partitionBy(*group)) if group else F.count("*").over(W.partitionBy(F.lit(0)))
-    message = F.concat(F.lit("only "), have.cast("string"), F.lit(f"/{n} valid {what}"))
-    return df.withColumn("_n", have).withColumn(
-        "_n", F.when(F.col("_n") < n, F.raise_error(message)).otherwise(F.col("_n"))).filter("_n >= 0").drop("_n")
-
-
-def _enough(short: DataFrame) -> bool:
-    return not short.limit(1).count()
+def _enough(members: DataFrame, group: list[str], valid: str, n: int) -> bool:
+    """Does every group have at least n valid members?"""
+    got = members.groupBy(*group).agg(F.count(F.when(F.col(valid), 1)).alias("_ok"))
+    return not got.filter(F.col("_ok") < n).limit(1).count()
 
 
 def _sizes(max_retries: int):
@@ -265,8 +259,9 @@ def packet_neighbourhood(packets: DataFrame, n: int, sigma: float, keys: list[st
         p = p.withColumn("_valid", packet_is_valid())
         p = p.withColumn("sample", F.sum(F.col("_valid").cast("int")).over(order) - 1)
         kept = p.filter(F.col("_valid") & (F.col("sample") < n)).drop("_valid", "_place")
-        if used == max_retries or _enough(kept.groupBy(*group).count().filter(F.col("count") < n)):
-            return _require(kept, group, n, "samples")
+        if _enough(p, group, "_valid", n):
+            return kept
+    raise RuntimeError(f"a group has fewer than {n} valid samples after {max_retries * n} attempts")
 
 
 def flow_neighbourhood(packets: DataFrame, n: int, sigma: float, flow: list[str], keys: list[str],
@@ -282,9 +277,9 @@ def flow_neighbourhood(packets: DataFrame, n: int, sigma: float, flow: list[str]
         w = W.partitionBy(*flow).orderBy("copy_id")
         ok = ok.withColumn("sample", F.sum(F.col("valid").cast("int")).over(w) - 1)
         chosen = ok.filter(F.col("valid") & (F.col("sample") < n)).select(*flow, "copy_id", "sample")
-        short = ok.groupBy(*flow).agg(F.count(F.when(F.col("valid"), 1)).alias("_ok")).filter(F.col("_ok") < n)
-        if used == max_retries or _enough(short):
-            return copies.join(_require(chosen, flow, n, "flows"), [*flow, "copy_id"])
+        if _enough(ok, flow, "valid", n):
+            return copies.join(chosen, [*flow, "copy_id"])
+    raise RuntimeError(f"a flow has fewer than {n} valid flows after {max_retries * n} attempts")
 
 
 def first_packet_features(packets: DataFrame, group: list[str], features: list[Column]) -> DataFrame:
