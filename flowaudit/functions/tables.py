@@ -46,36 +46,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def smallest_per_group(
-    df: DataFrame, by: list[str], quota: DataFrame, seed: int, key: str, buckets: int = 1024
-) -> DataFrame:
-    """Flag exactly ``quota`` pseudo-random rows per group without sorting a whole group.
-
-    ``quota`` has the ``by`` columns and ``n_take``.  The hash range is cut into
-    buckets; whole buckets below the quota are taken, and only the one bucket per
-    group in which the quota falls is ranked.  A group with a third of all rows is
-    thus spread over all tasks and at most 1/``buckets`` of it meets in one window.
-    Adds the boolean column ``taken``.
+def hash_levels(df: DataFrame, by: list[str], quotas: DataFrame, cuts: list[str], seed: int, key: str,
+                buckets: int = 1024) -> DataFrame:
+    """Cut every group, in pseudo-random order, at exact row counts; adds ``level``.
+
+    ``quotas`` has the ``by`` columns and the cumulative counts ``cuts``: the first
+    ``cuts[0]`` rows of a group get level 0, those up to ``cuts[1]`` level 1, and so on.
+    The order is a hash of the row's key, so it does not depend on partitioning.
+
+    The hash range is cut into buckets; a bucket wholly inside one level needs no
+    ranking.  Only the bucket in which a cut falls is ranked, so a group with a third
+    of all rows is never sorted in one task and most rows are not shuffled.
     """
     h = df.withColumn("_h", hash64(seed, F.col(key)))
     h = h.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(buckets)).cast("int"))
-    per_bucket = h.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    per_bucket = h.groupBy(*by, "_b").agg(F.count("*").alias("_rows"))
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    edges = small_side(
-        per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(quota, by)
-        .select(*by, "_b", "_before", "_n", "n_take"),
-        max_rows=2_000_000,
-    )
+    edges = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(quotas, by)
+    level = lambda rank: sum((F.when(rank > F.col(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    edges = edges.select(*by, "_b", "_before", *cuts, level(F.col("_before") + 1).alias("_first"),
+                         level(F.col("_before") + F.col("_rows")).alias("_last"))
+    edges = small_side(edges, max_rows=2_000_000)
     h = h.join(edges, [*by, "_b"])
-    whole = F.col("_before") + F.col("_n") <= F.col("n_take")
-    none = F.col("_before") >= F.col("n_take")
-    split = ~whole & ~none
+    helper = ["_h", "_b", "_before", "_first", "_last", *cuts]
+    sure = h.filter("_first = _last").withColumn("level", F.col("_first")).drop(*helper)
     rn = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key))
-    helper = ["_h", "_b", "_before", "_n", "n_take"]
-    sure = h.filter(~split).withColumn("taken", whole).drop(*helper)
-    edge = h.filter(split).withColumn("taken", rn <= F.col("n_take") - F.col("_before")).drop(*helper)
-    return sure.unionByName(edge)
+    edge = h.filter("_first < _last").withColumn("_rank", F.col("_before") + rn)
+    return sure.unionByName(edge.withColumn("level", level(F.col("_rank"))).drop(*helper, "_rank"))
+
+
+def smallest_per_group(df: DataFrame, by: list[str], quota: DataFrame, seed: int, key: str,
+                       buckets: int = 1024) -> DataFrame:
+    """Flag exactly ``n_take`` pseudo-random rows per group (``quota(*by, n_take)``) as ``taken``."""
+    out = hash_levels(df, by, quota.select(*by, "n_take"), ["n_take"], seed, key, buckets)
+    return out.withColumn("taken", F.col("level") == 0).drop("level")
 
 
 def _with_buckets(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
@@ -98,19 +102,25 @@ def _with_buckets(df: DataFrame, by: list[str], value: str, buckets: int) -> Dat
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None,
-                buckets: int = 256) -> DataFrame:
+                buckets: int = 256, window_rows: int = 1_000_000) -> DataFrame:
     """Distinct values per group with counts, values below, and tie-averaged rank.
 
-    Rows are first collapsed to distinct values (map-side combined), then the value
-    axis of each group is cut at approximate quantiles so that running totals need
-    only a per-bucket window plus a small table of bucket totals.  Exact for any
-    bucket edges.  ``weights`` adds extra per-value sums and their running totals
-    (``<name>`` and ``<name>_below``).
+    Rows are first collapsed to distinct values (map-side combined).  Groups with more
+    than ``window_rows`` values are then cut at approximate quantiles, so that running
+    totals need only a per-bucket window plus a small table of bucket totals; the
+    result is exact for any bucket edges.  ``weights`` adds per-value sums and their
+    running totals (``<name>`` and ``<name>_below``).
     """
     weights = {"cnt": F.lit(1), **(weights or {})}
     d = df.groupBy(*by, value).agg(*[F.sum(w).cast("bigint").alias(n) for n, w in weights.items()])
-    # the value counts serve the cuts, the bucket totals and the ranks: shuffle once, store, read thrice
+    # the value counts serve the cuts, the bucket totals and the ranks: shuffle once, store, read again
     d = checkpointed(d)
+    largest = d.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
+        below = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        d = d.withColumns({n + "_below": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in weights})
+        d = d.withColumn("avg_rank", F.col("cnt_below") + (F.col("cnt") + 1) / 2.0)
+        return d.select(*by, value, *weights, *[n + "_below" for n in weights], "avg_rank")
     d = _with_buckets(d, by, value, buckets)
     inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     totals = d.groupBy(*by, "_b").agg(*[F.sum(n).alias("_t_" + n) for n in weights])
@@ -134,41 +144,91 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None)
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], buckets: int = 256) -> DataFrame:
+GRID = 512
+
+
+def _narrow(rows: DataFrame, keys: list[str], wide: dict[tuple, tuple], spark: SparkSession) -> dict[tuple, tuple]:
+    """Shrink value brackets around their wanted ranks by about GRID / 3 each.
+
+    ``wide[(key, id)] = (lo, hi, below, inside, ranks)``.  Approximate cut points propose
+    the new ends, an exact count checks them; a proposal that misses a rank is dropped.
+    """
+    grid = [i / GRID for i in range(1, GRID)]
+    spans = bracket_table(spark, rows, keys, {k: v[:2] for k, v in wide.items()})
+    inside = rows.join(spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+    cuts = inside.groupBy(*keys, "_id").agg(F.percentile_approx("_value", grid, 20 * GRID).alias("c")).collect()
+    proposed = {}
+    for r in cuts:
+        k = (tuple(r[c] for c in keys), r["_id"])
+        lo, hi, below, n, ranks = wide[k]
+        first = int((min(ranks) - below) / n * GRID) - 1
+        last = int((max(ranks) - below + 1) / n * GRID) + 2
+        proposed[k] = (r["c"][first - 1] if first >= 1 else lo, r["c"][last - 1] if last < GRID else hi)
+    tight = bracket_table(spark, rows, keys, proposed).withColumnsRenamed({"_lo": "_nlo", "_hi": "_nhi"})
+    v = F.col("_value")
+    counted = inside.join(tight, [*keys, "_id"]).groupBy(*keys, "_id").agg(
+        F.count(F.when(v < F.col("_nlo"), 1)).alias("under"),
+        F.count(F.when(v.between(F.col("_nlo"), F.col("_nhi")), 1)).alias("n")).collect()
+    out = {}
+    for r in counted:
+        k = (tuple(r[c] for c in keys), r["_id"])
+        below, ranks = wide[k][2] + r["under"], wide[k][4]
+        if below <= min(ranks) and max(ranks) < below + r["n"] and r["n"] < wide[k][3]:
+            out[k] = (*proposed[k], below, r["n"], ranks)
+    return out
+
+
+def bracket_table(spark: SparkSession, rows: DataFrame, keys: list[str], brackets: dict[tuple, tuple]) -> DataFrame:
+    """``(*keys, _id, _lo, _hi)`` rows for a broadcast join (groups x wanted ranks, at most)."""
+    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("_id", T.IntegerType()),
+                           T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
+    return F.broadcast(local_rows(spark, [(*k, i, float(v[0]), float(v[1])) for (k, i), v in brackets.items()], schema))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
+                    window_rows: int = 1_000_000) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: ``(*by, prob, quantile)``.
 
-    ``percentile`` keeps every distinct value of a group in one hash map.  Here
-    approximate cut points split each group's value axis, bucket counts (a small
-    table) tell in which bucket each wanted rank lies, and only the rows of those
-    buckets are counted by value.  The cut points affect speed, not the result.
+    ``percentile`` keeps every distinct value of a group in one hash map.  Here the
+    wanted ranks are bracketed between two values and the brackets narrowed, pass by
+    pass, until each holds at most ``window_rows`` rows (or one value); only those rows
+    are counted by value and ranked.  Brackets steer the work, never the result.
+    Needs one count per group, and no narrowing at all for small groups.
     """
-    spark = df.sparkSession
-    df = df.select(*by, F.col(value).alias("_value")).filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
-    value = "_value"
-    on = [F.col(c) for c in by]
-    joined = _with_buckets(df, by, value, buckets)
-    counts: dict[tuple, dict[int, int]] = {}
-    for r in joined.groupBy(*on, "_b").count().collect():
-        counts.setdefault(tuple(r[c] for c in by), {})[r["_b"]] = r["count"]
-    wanted = []
-    for key, per_bucket in counts.items():
-        n = sum(per_bucket.values())
+    spark, inf = df.sparkSession, float("inf")
+    rows = df.select(*by, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_value"))
+    rows = rows.filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    keys = [*by, "_all"]
+    wanted, brackets = [], {}
+    for r in rows.groupBy(*keys).count().collect():
+        key, n, ranks = tuple(r[c] for c in keys), r["count"], {}
         for p in probs:
             pos = p * (n - 1)
             for rank, share in ((int(pos), 1.0 - (pos - int(pos))), (min(int(pos) + 1, n - 1), pos - int(pos))):
-                seen = 0
-                for b in sorted(per_bucket):
-                    if rank < seen + per_bucket[b]:
-                        wanted.append((*key, b, float(p), rank - seen, share))
-                        break
-                    seen += per_bucket[b]
-    by_type = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    plan_schema = f"{by_type + ', ' if by else ''}_b int, prob double, _rank bigint, _share double"
-    plan = F.broadcast(local_rows(spark, wanted, plan_schema))
-    hit = joined.join(F.broadcast(plan.select(*by, "_b").distinct()), [*by, "_b"], "left_semi")
-    values = hit.groupBy(*by, "_b", value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+                ranks.setdefault(p, []).append((rank, share))
+        # small groups share one bracket; large ones get one per probability
+        parts = [probs] if n <= window_rows else [[p] for p in probs]
+        for i, part in enumerate(parts):
+            brackets[key, i] = (-inf, inf, 0, n, [rank for p in part for rank, _ in ranks[p]])
+            wanted += [(*key, i, float(p), rank, share) for p in part for rank, share in ranks[p]]
+    wide = {k: v for k, v in brackets.items() if v[3] > window_rows}
+    while wide:
+        tighter = _narrow(rows, keys, wide, spark)
+        brackets.update(tighter)
+        wide = {k: v for k, v in tighter.items() if v[3] > window_rows and v[0] < v[1]}
+    plan_schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("_id", T.IntegerType()),
+                                T.StructField("prob", T.DoubleType()), T.StructField("_rank", T.LongType()),
+                                T.StructField("_share", T.DoubleType())])
+    plan = [(*w[:-2], w[-2] - brackets[tuple(w[: len(keys)]), w[len(keys)]][2], w[-1]) for w in wanted]
+    plan = F.broadcast(local_rows(spark, plan, plan_schema))
+    if all(v[0] == -inf and v[1] == inf for v in brackets.values()):
+        inside = rows.withColumn("_id", F.lit(0))
+    else:
+        spans = bracket_table(spark, rows, keys, {k: v[:2] for k, v in brackets.items()})
+        inside = rows.join(spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+    values = inside.groupBy(*keys, "_id", "_value").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys, "_id").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
     values = values.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    inside = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    picked = values.join(plan, [*by, "_b"]).filter(inside)
-    return picked.groupBy(*by, "prob").agg(F.sum(F.col(value) * F.col("_share")).alias("quantile"))
+    hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    picked = values.join(plan, [*keys, "_id"]).filter(hit)
+    return picked.groupBy(*by, "prob").agg(F.sum(F.col("_value") * F.col("_share")).alias("quantile"))

@@ -17,7 +17,7 @@ from flowaudit.functions import arrays as A, hashing as H, kernels as K
 from flowaudit.functions.tables import exact_quantiles, local_rows, long_form
 from flowaudit.operators.constraints import enforce, pack, unpack
 from flowaudit.operators.models import Scorer, TreeScorer
-from flowaudit.operators.neighbors import neighbourhood
+from flowaudit.operators.neighbors import neighbourhood, spread_by_key
 from flowaudit.operators.schemas import FlowSchema
 
 MAX_BACKGROUND = 1000
@@ -301,7 +301,8 @@ def quartile_lime(rows: DataFrame, bins: dict[str, dict], scorer, samples: int =
     training frequency and a clipped normal value inside it; sample 0 is the row.
     """
     names = list(bins)
-    df = rows.select("row_id", *[F.col(f"`{n}`").cast("double").alias(n) for n in names]).repartition("row_id")
+    df = rows.select("row_id", *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+    df = spread_by_key(df, "row_id")
     df = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     k = [F.col("row_id"), F.col("sample"), F.lit(run)]
     z, x = [], []
@@ -383,7 +384,8 @@ def kernel_shap(rows: DataFrame, scorer, background: np.ndarray, schema: FlowSch
     design = F.broadcast(local_rows(
         spark, [(ends.astype(bool).tolist(), background.tolist())],
         "_masks array<array<boolean>>, _bg array<array<double>>"))
-    base = rows.select("row_id", A.as_doubles(F.col("features")).alias("features")).repartition("row_id")
+    base = rows.select("row_id", A.as_doubles(F.col("features")).alias("features"))
+    base = spread_by_key(base, "row_id")
     proto = None
     if schema is not None and schema.protocol:
         proto = list(schema.features).index(schema.protocol)

@@ -62,6 +62,15 @@ def _draw(df: DataFrame, pool: DataFrame, target: str, proto: Column, u: Column,
     return out.withColumn(target, new).drop("_u", "_k", "_s", "_proto", "_slice", "_from", "_to", "_value")
 
 
+def spread_by_key(rows: DataFrame, key: str) -> DataFrame:
+    """Hash-partition rows that are about to be multiplied.
+
+    The partition count is explicit: adaptive execution would otherwise merge the
+    (still small) rows into few partitions just before they grow a thousandfold.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def neighbourhood(
     rows: DataFrame,
     schema: FlowSchema,
@@ -81,7 +90,7 @@ def neighbourhood(
     ``groupBy(key)`` needs no shuffle of the copies.
     """
     discrete = [c for c in schema.discrete if c != schema.protocol]
-    df = rows.repartition(key).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    df = spread_by_key(rows, key).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     k, moved = [F.col(key), F.col("sample")], F.col("sample") > 0
     noisy = {}
     for name in schema.continuous:

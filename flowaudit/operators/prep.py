@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from flowaudit.functions import arrays as A, hashing as H
 from flowaudit.functions.tables import (
-    exact_quantiles, local_rows, long_form, small_side, smallest_per_group,
+    exact_quantiles, hash_levels, local_rows, long_form, small_side, smallest_per_group,
 )
 from flowaudit.operators.constraints import clamp, col
 from flowaudit.operators.fixed_values import KDD_CATEGORIES, LABEL_COLUMNS, METADATA_COLUMNS, PROTOCOL_NUMBERS
@@ -154,15 +154,14 @@ def stratified_split(df: DataFrame, y: str, test: float = 0.2, val: float = 0.1,
     Counts are exact and a row's place depends only on its key.  Each class is cut
     into hash buckets, so no class is ranked in one task.
     """
-    n = df.groupBy(y).agg(F.count("*").alias("_n"))
-    n_test = F.rint(F.col("_n") * test)
-    quota = small_side(n.select(y, n_test.cast("bigint").alias("n_take")))
-    first = smallest_per_group(df, [y], quota, seed, key, buckets)
-    rest_quota = small_side(n.select(y, F.rint((F.col("_n") - n_test) * val).cast("bigint").alias("n_take")))
-    done = first.filter("taken").drop("taken").withColumn("split", F.lit("test"))
-    rest = smallest_per_group(first.filter(~F.col("taken")).drop("taken"), [y], rest_quota, seed + 1, key, buckets)
-    rest = rest.withColumn("split", F.when(F.col("taken"), "val").otherwise("train")).drop("taken")
-    return done.unionByName(rest)
+    n = F.count("*")
+    n_test = F.rint(n * test)
+    quotas = small_side(df.groupBy(y).agg(
+        n_test.cast("bigint").alias("_test"),
+        (n_test + F.rint((n - n_test) * val)).cast("bigint").alias("_val")))
+    cut = hash_levels(df, [y], quotas, ["_test", "_val"], seed, key, buckets)
+    split = F.when(F.col("level") == 0, "test").when(F.col("level") == 1, "val").otherwise("train")
+    return cut.withColumn("split", split).drop("level")
 
 
 def fit_scales(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:

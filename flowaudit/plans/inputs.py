@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowaudit.functions import arrays as A
 from flowaudit.operators.models import LinearScorer
-from flowaudit.plans.registry import table
+from flowaudit.plans.registry import spread, table
 
 # --- attributions: three explainers over the embedding vectors ---------------------------
 
@@ -22,7 +22,7 @@ def _variants(a: Column) -> dict[str, Column]:
 
 def explanations(spark: SparkSession, folder: str) -> DataFrame:
     """``(explainer_key, row_id, label, attrs)``; one scan, copies made inside the row."""
-    e = table(spark, folder, "embeddings").select(
+    e = spread(table(spark, folder, "embeddings")).select(
         F.col("vec_id").alias("row_id"), F.col("label"), A.as_doubles(F.col("embedding")).alias("_a"))
     parts = F.array(*[F.struct(F.lit(k).alias("explainer_key"), v.alias("attrs"))
                       for k, v in _variants(F.col("_a")).items()])
@@ -47,7 +47,7 @@ expl AS (
 def vectors(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
     """``(row_id, features, label, y, protocol)`` from the embeddings."""
     v = A.as_doubles(F.col("embedding"))
-    return table(spark, folder, "embeddings").select(
+    return spread(table(spark, folder, "embeddings")).select(
         F.col("vec_id").alias("row_id"), (F.slice(v, 1, width) if width < 64 else v).alias("features"),
         "label", (F.col("label") % 3).alias("y"), (F.col("label") % 2).cast("double").alias("protocol"))
 
@@ -76,7 +76,7 @@ FLOW_FEATURES = ("quantity", "price", "discount", "tax")
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_id, proto, label, quantity, price, discount, tax)``."""
-    li = table(spark, folder, "lineitem")
+    li = spread(table(spark, folder, "lineitem"))
     key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax", "l_shipdate")
     return li.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowaudit.operators import constraints as C, evaluation as E, explainers as X, prep as P
 from flowaudit.operators import robustness as R, schemas as SC, selection as S
 from flowaudit.plans.inputs import FLOW_FEATURES, FLOW_SQL, SCALED_SQL, SCALES, explanations, flows, protocol, scaled_flows
-from flowaudit.plans.registry import big, query, rounded, table
+from flowaudit.plans.registry import big, query, rounded, spread, table
 from flowaudit.sources import flows as SRC, store
 
 
@@ -566,7 +566,7 @@ k AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2 * tp + fp + fn
 
 
 def scored_rows(spark, folder):
-    li = table(spark, folder, "lineitem")
+    li = spread(table(spark, folder, "lineitem"))
     q = F.col("l_quantity")
     return li.select(
         F.col("l_linestatus").alias("g"),

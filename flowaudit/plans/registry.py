@@ -26,6 +26,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a table that comes as fewer file splits than there are cores.
+
+    For row-local work that costs far more than reading; a table with enough splits
+    is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round double columns for comparison (adding 0 turns -0.0 into 0.0)."""
     doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}

@@ -23,9 +23,14 @@ def test_exact_quantiles(spark):
     for g, part in pdf.groupby("g"):
         for p in (0.1, 0.5, 0.99):
             assert got[g, p] == pytest.approx(np.percentile(part["v"], p * 100), abs=1e-12)
-    for b in (4, 1000):
-        whole = T.exact_quantiles(df, [], "v", [0.5], buckets=b).first()["quantile"]
-        assert whole == pytest.approx(np.median(pdf["v"]))
+    for limit in (1, 40, 10_000):  # small limits force several narrowing passes
+        for p in (0.0, 0.25, 0.5, 0.97, 1.0):
+            whole = T.exact_quantiles(df, [], "v", [p], window_rows=limit).first()["quantile"]
+            assert whole == pytest.approx(np.percentile(pdf["v"], p * 100))
+    wild = df.withColumn("v", F.when(F.col("id") == 1, 1e300).otherwise(F.pow(F.col("v"), 7)))
+    w = wild.toPandas()["v"]
+    got = T.exact_quantiles(wild, [], "v", [0.5], window_rows=20).first()["quantile"]
+    assert got == pytest.approx(np.median(w))
 
 
 def test_quantiles_skip_nulls(spark):
@@ -35,10 +40,11 @@ def test_quantiles_skip_nulls(spark):
 
 def test_value_ranks(spark):
     df = skewed(spark)
-    r = T.value_ranks(df, [], "v").toPandas().set_index("v")["avg_rank"]
     want = df.toPandas()["v"].rank()
     values = df.toPandas()["v"]
-    assert max(abs(r[v] - w) for v, w in zip(values, want)) < 1e-9
+    for limit in (10, 10_000):  # with and without buckets
+        r = T.value_ranks(df, [], "v", window_rows=limit).toPandas().set_index("v")["avg_rank"]
+        assert max(abs(r[v] - w) for v, w in zip(values, want)) < 1e-9
 
 
 def test_smallest_per_group_is_exact_and_partition_independent(spark):
