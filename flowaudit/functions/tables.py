@@ -232,3 +232,62 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
     picked = values.join(plan, [*keys, "_id"]).filter(hit)
     return picked.groupBy(*by, "prob").agg(F.sum(F.col("_value") * F.col("_share")).alias("quantile"))
+
+
+def order_chunks(df: DataFrame, by: list[str], order: str, chunk_rows: int = 2_000_000, pieces: int = 256) -> DataFrame | None:
+    """Adds ``_chunk``: groups with more than ``chunk_rows`` rows are cut along ``order``.
+
+    None when there is no such group.  Chunks follow the order column (equal values stay
+    together), so running totals over a group become totals over its chunks plus a
+    window inside each chunk.
+    """
+    hot = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows).select(*by)
+    if not hot.limit(1).count():
+        return None
+    hot = small_side(hot, 1_000_000)
+    cuts = df.join(hot, by, "left_semi").groupBy(*by).agg(F.percentile_approx(
+        order, [i / pieces for i in range(1, pieces)], 4 * pieces).alias("_cuts"))
+    out = df.join(small_side(cuts), by, "left")
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return out.withColumn("_chunk", F.when(F.col("_cuts").isNull(), 0).otherwise(place)).drop("_cuts")
+
+
+def with_running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None,
+                 firsts: dict[str, str] | None = None, previous: dict[str, str] | None = None,
+                 chunk_rows: int = 2_000_000) -> DataFrame:
+    """Ordered per-group columns that stay parallel inside a huge group.
+
+    Adds ``pos`` (1-based place), the sum over all earlier rows for each of ``sums`` (0 for
+    the first row), the group's first value for each of ``firsts`` (new name -> column)
+    and the preceding row's value for each of ``previous``.
+    """
+    sums, firsts, previous = sums or {}, firsts or {}, previous or {}
+    df = df.withColumns(sums) if sums else df
+    chunked = order_chunks(df, by, order[0], chunk_rows)
+    key = [*by, "_chunk"] if chunked is not None else by
+    d = chunked if chunked is not None else df
+    w = W.partitionBy(*key).orderBy(*order)
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    made = {"pos": F.row_number().over(w), **{n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in sums}}
+    made |= {n: F.first(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) for n, c in firsts.items()}
+    made |= {n: F.lag(c).over(w) for n, c in previous.items()}
+    out = d.withColumns(made)
+    if chunked is None:
+        return out
+    place = F.struct(*order)
+    totals = d.groupBy(*key).agg(
+        F.count("*").alias("_c_pos"), *[F.sum(n).alias(f"_c_{n}") for n in sums],
+        *[F.min_by(c, place).alias(f"_f_{n}") for n, c in firsts.items()],
+        *[F.max_by(c, place).alias(f"_l_{n}") for n, c in previous.items()])
+    cw = W.partitionBy(*by).orderBy("_chunk")
+    before = cw.rowsBetween(W.unboundedPreceding, -1)
+    carry = {f"_c_{n}": F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)) for n in ("pos", *sums)}
+    carry |= {f"_f_{n}": F.first(f"_f_{n}").over(cw.rowsBetween(W.unboundedPreceding, W.currentRow)) for n in firsts}
+    carry |= {f"_l_{n}": F.lag(f"_l_{n}").over(cw) for n in previous}
+    out = out.join(totals.withColumns(carry), key)
+    fixed = {n: F.col(n) + F.col(f"_c_{n}") for n in ("pos", *sums)}
+    fixed |= {n: F.col(f"_f_{n}") for n in firsts}
+    # only a chunk's first row looks back into the chunk before it
+    at_start = F.col("pos") == 1
+    fixed |= {n: F.when(at_start, F.col(f"_l_{n}")).otherwise(F.col(n)) for n in previous}
+    return out.withColumns(fixed).drop("_chunk", *carry)

@@ -188,19 +188,17 @@ def project_feasible(
     clip the change to +-epsilon around the original, clip again.
     """
     names = list(schema.features)
-    lo = F.array(*[F.lit(float(scales[n][0])) for n in names])
-    width = F.array(*[F.lit(float(scales[n][1] - scales[n][0])) for n in names])
+    before = {n: F.get(F.col(original), F.lit(i)) for i, n in enumerate(names)}
+    span = {n: (float(scales[n][0]), float(scales[n][1] - scales[n][0])) for n in names}
+    df = unpack(df, adversarial, names)
+    df = df.withColumns({n: col(n) * span[n][1] + span[n][0] for n in names})
     proto = None
     if schema.protocol:
-        i = names.index(schema.protocol)
-        a, b = scales[schema.protocol]
-        proto = F.rint(F.get(F.col(original), F.lit(i)) * (b - a) + a)
-        df = df.withColumn("_protocol", proto)
-    raw = F.zip_with(F.zip_with(adversarial, width, lambda x, w: x * w), lo, lambda x, m: x + m)
-    df = unpack(df.withColumn(adversarial, raw), adversarial, names)
-    df = pack(enforce(df, schema, F.col("_protocol") if proto is not None else None), names, adversarial)
-    safe = F.transform(width, lambda w: F.when(w < 1e-12, F.lit(1.0)).otherwise(w))
-    scaled = F.zip_with(F.zip_with(adversarial, lo, lambda x, m: x - m), safe, lambda x, w: x / w)
-    df = df.withColumn(adversarial, F.transform(scaled, lambda v: clamp(v, 0.0, 1.0)))
-    ball = F.zip_with(adversarial, original, lambda v, o: clamp(o + clamp(v - o, -epsilon, epsilon), 0.0, 1.0))
-    return df.withColumn(adversarial, ball).drop("_protocol")
+        lo, width = span[schema.protocol]
+        proto = F.rint(before[schema.protocol] * width + lo)
+    df = enforce(df, schema, proto)
+    safe = {n: (col(n) - span[n][0]) / (span[n][1] if span[n][1] >= 1e-12 else 1.0) for n in names}
+    df = df.withColumns({n: clamp(safe[n], 0.0, 1.0) for n in names})
+    move = {n: clamp(col(n) - before[n], -epsilon, epsilon) for n in names}
+    df = df.withColumns({n: clamp(before[n] + move[n], 0.0, 1.0) for n in names})
+    return pack(df, names, adversarial)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowaudit.functions import arrays as A, hashing as H
+from flowaudit.functions.tables import with_running
 from flowaudit.operators.fixed_values import (
     ACK, FIN, ICMP_CODES, ICMP_HEADER, IP_FLAGS, IP_HEADER, RST, SYN, TCP_HEADER, UDP_HEADER, URG,
 )
@@ -164,17 +165,16 @@ def packet_is_valid() -> Column:
 
 
 def flow_validity(packets: DataFrame, flow: list[str], flow_protocol: str = "flow_protocol",
-                  order: list[str] = ["pkt_no"]) -> DataFrame:
+                  order: list[str] = ["pkt_no"], chunk_rows: int = 2_000_000) -> DataFrame:
     """``(*flow, n_packets, valid)``: all packets valid, one protocol, times not decreasing.
 
-    Neighbouring packets of a flow are compared with ``lag``; a very long flow is
-    sorted with spilling, never held in memory.
+    Neighbouring packets are compared in order; a flow holding a large part of all
+    packets is cut into chunks that look back at the chunk before.
     """
-    w = W.partitionBy(*flow).orderBy(*order)
     ok = packet_is_valid() & (F.col("protocol") == F.col(flow_protocol))
-    step = F.coalesce(F.col("ts") >= F.lag("ts").over(w), F.lit(True))
-    return packets.withColumn("_ok", ok & step).groupBy(*flow).agg(
-        F.count("*").alias("n_packets"), F.bool_and("_ok").alias("valid"))
+    p = with_running(packets.withColumn("_ok", ok), flow, order, previous={"_before": "ts"}, chunk_rows=chunk_rows)
+    step = F.coalesce(F.col("ts") >= F.col("_before"), F.lit(True))
+    return p.groupBy(*flow).agg(F.count("*").alias("n_packets"), F.bool_and(F.col("_ok") & step).alias("valid"))
 
 
 def assign_flows(packets: DataFrame, by: list[str] = ["file"]) -> DataFrame:
@@ -195,22 +195,19 @@ def assign_flows(packets: DataFrame, by: list[str] = ["file"]) -> DataFrame:
     return keyed.join(first, [*by, "flow_id"]).withColumn("flow_protocol", F.col("protocol"))
 
 
-def repair_sequences(packets: DataFrame, flow: list[str], order: list[str] = ["ts", "pkt_no"]) -> DataFrame:
-    """TCP sequence numbers follow from the first one and the payloads sent before (at least 1 each)."""
-    w = W.partitionBy(*flow).orderBy(*order)
-    sent = F.sum(F.greatest(F.col("payload_size").cast("bigint"), F.lit(1))).over(
-        w.rowsBetween(W.unboundedPreceding, -1))
-    start = F.first("tcp_seq").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    seq = start.cast("bigint") + F.coalesce(sent, F.lit(0))
-    return packets.withColumn("tcp_seq", F.when(F.col("flow_protocol") == "tcp", seq).otherwise(F.col("tcp_seq")))
-
-
 def repair_flows(packets: DataFrame, flow: list[str], original: dict[str, Column] | None = None,
-                 order: list[str] = ["ts", "pkt_no"]) -> DataFrame:
-    """Repair packets, give all the flow's protocol, put them in time order (``pos``), fix sequences."""
+                 order: list[str] = ["ts", "pkt_no"], chunk_rows: int = 2_000_000) -> DataFrame:
+    """Repair packets, give all the flow's protocol, put them in time order (``pos``), fix sequences.
+
+    TCP sequence numbers follow from the flow's first one and the payloads sent before
+    (at least 1 each).
+    """
     p = repair_packets(packets, original).withColumn("protocol", F.col("flow_protocol"))
-    p = p.withColumn("pos", F.row_number().over(W.partitionBy(*flow).orderBy(*order)))
-    return repair_sequences(p, flow, order)
+    sent = F.greatest(F.col("payload_size").cast("bigint"), F.lit(1))
+    p = with_running(p, flow, order, {"_sent": sent}, {"_start": "tcp_seq"}, chunk_rows=chunk_rows)
+    seq = F.when(F.col("flow_protocol") == "tcp", F.col("_start").cast("bigint") + F.col("_sent")).otherwise(
+        F.col("tcp_seq"))
+    return p.withColumn("tcp_seq", seq).drop("_sent", "_start")
 
 
 def perturb_flows(packets: DataFrame, copies: int, sigma: float, flow: list[str], keys: list[str],

@@ -92,6 +92,19 @@ def test_flow_order_and_sequences(spark):
     assert P.flow_validity(flow_rows(spark, (3.0, 1.0), (1, 1)), ["flow"]).first()["valid"] is False
 
 
+def test_huge_flows_are_chunked_without_changing_the_result(spark):
+    """One flow holds most packets; cutting it into chunks gives the same order, sums and verdicts."""
+    rows = [{**TCP, "ts": float(i * 7919 % 101), "payload_size": i % 5, "flow": 0 if i % 4 else i, "pkt_no": i,
+             "flow_protocol": "tcp"} for i in range(400)]
+    p = frame(spark, rows, "flow bigint, pkt_no bigint, flow_protocol string")
+    pick = lambda d: sorted(map(tuple, d.select("flow", "pkt_no", "pos", "tcp_seq").collect()))
+    assert pick(P.repair_flows(p, ["flow"], chunk_rows=20)) == pick(P.repair_flows(p, ["flow"]))
+    for order in (["pkt_no"], ["ts", "pkt_no"]):
+        verdicts = [sorted(map(tuple, P.flow_validity(p, ["flow"], order=order, chunk_rows=c).collect()))
+                    for c in (20, 10_000)]
+        assert verdicts[0] == verdicts[1]
+
+
 def test_neighbourhoods_fill_or_fail(spark):
     p = flow_rows(spark, (1.0, 2.0), (10, 20))
     n = P.packet_neighbourhood(p, 15, 5.0, ["pkt_no"], group=["flow"])
