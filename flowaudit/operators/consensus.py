@@ -17,6 +17,7 @@ from flowaudit.operators.fixed_values import BENIGN_NAMES
 
 FLAT = 1e-12
 TOP_K = (5, 10)
+BATCH_ROWS = 2048  # rows whose vectors are ranked together
 
 
 def pair_type(a: Column, b: Column) -> Column:
@@ -57,17 +58,20 @@ def row_agreement(expl: DataFrame, top_k: tuple[int, ...] = TOP_K, kendall: bool
         for batch in batches:
             sets = [tuple(k) + tuple(w) for k, w in zip(batch["keys"].to_pylist(), batch["widths"].to_pylist())]
             for pattern in dict.fromkeys(sets):
-                take = pa.array([i for i, s in enumerate(sets) if s == pattern])
-                part = batch.take(take)
-                n = len(pattern) // 2
-                keys, widths = pattern[:n], pattern[n:]
-                m = part["values"].flatten().to_numpy(zero_copy_only=False).reshape(len(take), sum(widths))
-                cuts = np.cumsum((0, *widths))
-                vectors = [m[:, a:b] for a, b in zip(cuts, cuts[1:])]
-                for (i, j), got in agreement(vectors, top_k, kendall).items():
-                    cols = [pa.array([keys[i]] * len(take)), pa.array([keys[j]] * len(take)),
-                            *[part[c] for c in arrow_names], *[pa.array(got[c]) for c in names]]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                same = [i for i, s in enumerate(sets) if s == pattern]
+                for start in range(0, len(same), BATCH_ROWS):
+                    yield from agree(batch.take(pa.array(same[start : start + BATCH_ROWS])), pattern)
+
+    def agree(part, pattern):
+        n = len(pattern) // 2
+        keys, widths = pattern[:n], pattern[n:]
+        m = part["values"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, sum(widths))
+        cuts = np.cumsum((0, *widths))
+        vectors = [m[:, a:b] for a, b in zip(cuts, cuts[1:])]
+        for (i, j), got in agreement(vectors, top_k, kendall).items():
+            cols = [pa.array([keys[i]] * part.num_rows), pa.array([keys[j]] * part.num_rows),
+                    *[part[c] for c in arrow_names], *[pa.array(got[c]) for c in names]]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return rows.mapInArrow(pairs, schema)
 

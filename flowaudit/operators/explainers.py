@@ -21,6 +21,7 @@ from flowaudit.operators.neighbors import neighbourhood, spread_by_key
 from flowaudit.operators.schemas import FlowSchema
 
 MAX_BACKGROUND = 1000
+MATRIX_CELLS = 4_000_000
 
 
 # --- samples ------------------------------------------------------------------------
@@ -174,9 +175,13 @@ def tree_interactions(df: DataFrame, scorer: TreeScorer, background: np.ndarray)
 
     def kernel(x, batch):
         t = _targets(scorer, x, batch)
-        m = K.tree_interactions(scorer.trees, scorer.weights, x, background)
         pick = np.zeros_like(t) if scorer.link == "boosted" else t
-        return m[np.arange(len(x)), :, :, pick].reshape(len(x), -1), {}
+        out = np.empty((len(x), width * width))
+        step = max(1, MATRIX_CELLS // (width * width * scorer.trees[0].value.shape[1]))
+        for s in range(0, len(x), step):  # a few rows at a time: each holds width^2 x outputs cells
+            m = K.tree_interactions(scorer.trees, scorer.weights, x[s : s + step], background)
+            out[s : s + step] = m[np.arange(len(m)), :, :, pick[s : s + step]].reshape(len(m), -1)
+        return out, {}
 
     flat = batch_explain(df.select("row_id", "features"), kernel, [], "interactions")
     cells = flat.select("row_id", F.posexplode("attrs").alias("_p", "v"))

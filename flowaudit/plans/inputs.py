@@ -44,11 +44,10 @@ expl AS (
 # --- vectors with a class, for models ---------------------------------------------------
 
 
-def vectors(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_id, features, label, y, protocol)`` from the embeddings."""
-    v = A.as_doubles(F.col("embedding"))
     return spread(table(spark, folder, "embeddings")).select(
-        F.col("vec_id").alias("row_id"), (F.slice(v, 1, width) if width < 64 else v).alias("features"),
+        F.col("vec_id").alias("row_id"), A.as_doubles(F.col("embedding")).alias("features"),
         "label", (F.col("label") % 3).alias("y"), (F.col("label") % 2).cast("double").alias("protocol"))
 
 

@@ -121,8 +121,11 @@ def class_baselines(spark, folder):
 # --- models ---------------------------------------------------------------------------------------
 
 
-def _small(spark, folder, width=8):
-    return vectors(spark, folder, width).select("row_id", "y", "features")
+WIDTH = 64
+
+
+def _labelled(spark, folder):
+    return vectors(spark, folder).select("row_id", "y", "features")
 
 
 def _agree(model, df):
@@ -137,41 +140,41 @@ SAME_SQL = "SELECT count(*) AS n, true AS routes_agree FROM embeddings"
 
 @query("random_forest", SAME_SQL)
 def random_forest(spark, folder):
-    d = _small(spark, folder)
+    d = _labelled(spark, folder)
     return _agree(M.random_forest(d, 10, 5), d)
 
 
 @query("boosted_trees", SAME_SQL)
 def boosted_trees(spark, folder):
-    d = _small(spark, folder)
+    d = _labelled(spark, folder)
     return _agree(M.boosted_trees(d, 3, 3, 3), d)
 
 
 @query("feed_forward", SAME_SQL)
 def feed_forward(spark, folder):
-    d = _small(spark, folder)
-    return _agree(M.feed_forward(d, 8, 3, (6,), 20), d)
+    d = _labelled(spark, folder)
+    return _agree(M.feed_forward(d, WIDTH, 3, (6,), 20), d)
 
 
 @query("single_feature_classifier", SAME_SQL)
 def single_feature_classifier(spark, folder):
-    d = _small(spark, folder)
+    d = _labelled(spark, folder)
     return _agree(M.single_feature_classifier(d, 2, 20), d.withColumn("features", F.array(F.get("features", F.lit(2)))))
 
 
 @query("kernel_svm")
 def kernel_svm(spark, folder):
     """Class counts predicted by the kernel machine."""
-    d = _small(spark, folder)
-    model, lift = M.kernel_svm(d, 8, 32, iterations=10)
+    d = _labelled(spark, folder)
+    model, lift = M.kernel_svm(d, WIDTH, 32, iterations=10)
     return M.score(model, d.withColumn("features", lift(F.col("features")))).groupBy("pred").agg(F.count("*").alias("n"))
 
 
 @query("perturbation_detector")
 def perturbation_detector(spark, folder):
     """Share of real and shuffled vectors the detector calls perturbed."""
-    d = _small(spark, folder)
-    names = [f"x{i}" for i in range(8)]
+    d = _labelled(spark, folder)
+    names = [f"x{i}" for i in range(WIDTH)]
     real = C.unpack(d.select("row_id", "features"), "features", names)
     shuffled = C.pack(R.marginal_shuffle(real, real, names), names)
     model = M.perturbation_detector(d, shuffled, 5)
@@ -192,7 +195,7 @@ def linear_scores(spark, folder):
 
 
 @query("padded_probabilities", f"""
-WITH {SCALED_SQL} SELECT y, round(avg(x1), 6) AS c0, 0.0 AS c1, round(avg(x0), 6) AS c2, 0.0 AS c3 FROM scaled GROUP BY 1""")
+WITH {SCALED_SQL} SELECT y, round(avg(x1), 6) AS c0, 0e0 AS c1, round(avg(x0), 6) AS c2, 0e0 AS c3 FROM scaled GROUP BY 1""")
 def padded_probabilities(spark, folder):
     """A model that knows classes 2 and 0 reports all four classes."""
     f = scaled_flows(spark, folder).withColumn("p", M.pad_probabilities(F.col("features"), [2, 0], 4))
@@ -204,7 +207,7 @@ def padded_probabilities(spark, folder):
 
 @query("linear_shap", f"""
 WITH {PART_SQL}, m AS (SELECT avg(size) AS s, avg(price) AS p, avg(grade) AS g FROM parts)
-SELECT row_id, 0.0 AS a_proto, round(0.1e0 * (size - s), 6) + 0.0 AS a_size, round(0.5e0 * (price - p), 6) + 0.0 AS a_price,
+SELECT row_id, 0e0 AS a_proto, round(0.1e0 * (size - s), 6) + 0.0 AS a_size, round(0.5e0 * (price - p), 6) + 0.0 AS a_price,
        round(-0.3e0 * (grade - g), 6) + 0.0 AS a_grade FROM parts, m""")
 def linear_shap(spark, folder):
     p = part_vectors(spark, folder)
@@ -221,7 +224,7 @@ def _centroids(spark, folder):
 @query("kernel_shap_linear", f"""
 WITH {PART_SQL}, k AS (SELECT kind, avg(size) AS s, avg(price) AS p, avg(grade) AS g FROM parts GROUP BY 1),
 m AS (SELECT avg(s) AS s, avg(p) AS p, avg(g) AS g FROM k)
-SELECT row_id, 0.0 AS a_proto, round(0.1e0 * (size - s), 6) + 0.0 AS a_size, round(0.5e0 * (price - p), 6) + 0.0 AS a_price,
+SELECT row_id, 0e0 AS a_proto, round(0.1e0 * (size - s), 6) + 0.0 AS a_size, round(0.5e0 * (price - p), 6) + 0.0 AS a_price,
        round(-0.3e0 * (grade - g), 6) + 0.0 AS a_grade, round(0.1e0 * s + 0.5e0 * p - 0.3e0 * g, 6) AS expected_value FROM parts, m""")
 def kernel_shap_linear(spark, folder):
     """Coalition estimates equal the closed form for a linear score."""
@@ -264,14 +267,14 @@ def quartile_lime(spark, folder):
 @query("stable_sample_count")
 def stable_sample_count(spark, folder):
     """Agreement of repeated explanations per sample count, and the chosen count."""
-    p = parts(spark, folder).filter(F.col("y") == 0)
+    p = parts(spark, folder)
     bins = X.quartile_bins(p, list(PART_FEATURES))
     explain = lambda count, run: X.quartile_lime(p, bins, flow_scorer(), count, 3, run=run)
-    return X.stable_sample_count(explain, (10, 30), 2, 0.85, 2)
+    return X.stable_sample_count(explain, (10, 20), 2, 0.85, 2)
 
 
 def _forest(spark, folder):
-    d = _small(spark, folder)
+    d = _labelled(spark, folder)
     return d, M.export(M.random_forest(d, 5, 4)), X.background_matrix(X.background_rows(d, 20))
 
 
@@ -285,7 +288,7 @@ def tree_shap(spark, folder):
     return x.agg(F.count("*").alias("n"), (F.max(gap) < 1e-9).alias("additive"))
 
 
-@query("tree_interactions", "SELECT count(*) * 8 AS n, true AS sums_to_shap, true AS symmetric FROM embeddings")
+@query("tree_interactions", "SELECT count(*) * 64 AS n, true AS sums_to_shap, true AS symmetric FROM embeddings")
 def tree_interactions(spark, folder):
     """Interaction rows sum to the Shapley values and the matrix is symmetric."""
     d, forest, bg = _forest(spark, folder)
@@ -299,8 +302,8 @@ def tree_interactions(spark, folder):
 
 
 def _net(spark, folder):
-    d = _small(spark, folder)
-    return d, M.export(M.feed_forward(d, 8, 3, (6,), 20))
+    d = _labelled(spark, folder)
+    return d, M.export(M.feed_forward(d, WIDTH, 3, (6,), 20))
 
 
 @query("deep_shap", "SELECT count(*) AS n, true AS additive FROM embeddings")
@@ -350,7 +353,7 @@ def sequential_gradients(spark, folder):
     """The two-phase path from each class's near-zero vector adds up as well."""
     d, net = _net(spark, folder)
     bases = X.class_baseline_matrix(N.class_baselines(_logits(d, net).withColumnRenamed("z", "logits"), 3), 3)
-    schema = SC.FlowSchema("v", tuple(f"x{i}" for i in range(8)), discrete=("x1", "x5"))
+    schema = SC.FlowSchema("v", tuple(f"x{i}" for i in range(WIDTH)), discrete=("x1", "x5"))
     return _complete(X.sequential_gradients(d, net, schema, bases))
 
 
@@ -403,12 +406,12 @@ def explanation_union(spark, folder):
     return u.groupBy("explainer_key").agg(F.count("*").alias("n"))
 
 
-@query("completeness", "SELECT CASE WHEN count(*) > 0 THEN 1.0 END AS completeness_success_rate, 100 + least(count(*), 200) AS "
+@query("completeness", "SELECT CASE WHEN count(*) > 0 THEN 1e0 END AS completeness_success_rate, 100 + least(count(*), 200) AS "
        "completeness_total_tested, 100 + least(count(*), 200) AS completeness_successes FROM embeddings")
 def completeness(spark, folder):
     """Explaining zeros, extremes and corrupted rows never fails."""
     d, net = _net(spark, folder)
-    bad = Q.corrupted_inputs(d, 300, 8)
+    bad = Q.corrupted_inputs(d, 300, WIDTH)
     return Q.completeness(X.integrated_gradients(bad, net, 10).select("block", "attrs"))
 
 
@@ -462,7 +465,7 @@ def pgd_success(spark, folder):
 
 
 @query("pgd_inside_ball", """
-SELECT 0.05 AS epsilon, count(*) AS n, 0 AS outside FROM lineitem UNION ALL SELECT 0.1, count(*), 0 FROM lineitem""")
+SELECT 0.05e0 AS epsilon, count(*) AS n, 0 AS outside FROM lineitem UNION ALL SELECT 0.1e0, count(*), 0 FROM lineitem""")
 def pgd_inside_ball(spark, folder):
     """Every attacked row stays in its ball and in [0, 1]."""
     adv = AT.pgd(scaled_flows(spark, folder), flow_scorer(), (0.05, 0.1), 10)

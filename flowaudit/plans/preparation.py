@@ -208,8 +208,8 @@ def attack_categories(spark, folder):
 
 
 @query("one_hot", """
-SELECT o_orderstatus AS status, sum(CAST(o_orderpriority = '1-URGENT' AS INT)) AS urgent,
-       sum(CAST(o_orderpriority = '5-LOW' AS INT)) AS low, count(*) AS n FROM orders GROUP BY 1""")
+SELECT o_orderstatus AS status, CAST(sum(CAST(o_orderpriority = '1-URGENT' AS INT)) AS BIGINT) AS urgent,
+       CAST(sum(CAST(o_orderpriority = '5-LOW' AS INT)) AS BIGINT) AS low, count(*) AS n FROM orders GROUP BY 1""")
 def one_hot(spark, folder):
     """Categories of both halves of the orders give one fixed column list."""
     o = table(spark, folder, "orders").withColumn("status", F.col("o_orderstatus"))
@@ -257,7 +257,7 @@ def stratified_split(spark, folder):
 WITH {FLOW_SQL}, r AS (SELECT min(price) AS lo, max(price) AS hi, min(quantity) AS ql, max(quantity) AS qh
                        FROM flows WHERE label LIKE 'R%')
 SELECT label, round(avg((price - lo) / (hi - lo)), 6) AS price, round(max((quantity - ql) / (qh - ql)), 6) AS quantity,
-       0.0 AS constant FROM flows, r GROUP BY 1""")
+       0e0 AS constant FROM flows, r GROUP BY 1""")
 def min_max_scale(spark, folder):
     """Ranges come from the training classes only; a constant column scales to 0."""
     f = flows(spark, folder).withColumn("constant", F.lit(7.0))
@@ -467,7 +467,7 @@ def rule_repair(spark, folder):
 
 
 @query("rule_pin_protocol", f"""
-WITH {RULES_SQL} SELECT 17 AS proto, count(*) AS n, 0.0 AS syn FROM raw""")
+WITH {RULES_SQL} SELECT 17 AS proto, count(*) AS n, 0e0 AS syn FROM raw""")
 def rule_pin_protocol(spark, folder):
     """Rows pinned to an original protocol (UDP) lose their TCP fields."""
     r = C.enforce(rule_rows(spark, folder), _only(tcp_only=("syn",)), F.lit(17.0))
@@ -501,14 +501,14 @@ def rule_violations_after_repair(spark, folder):
 
 
 @query("rule_coverage", """
-WITH cols AS (SELECT column_name AS c FROM (DESCRIBE lineitem))
-SELECT 'lineitem-flows' AS dataset, 'non_negative' AS kind, 'no_such_column' AS feature, ['no_such_column'] AS missing,
-       (SELECT count(*) FROM lineitem) AS n""")
+SELECT 'lineitem-flows' AS dataset, 'non_negative' AS kind, 'no_such_column' AS feature, 'no_such_column' AS missing,
+       count(*) AS n FROM lineitem""")
 def rule_coverage(spark, folder):
     """Rules of a catalogue that a table cannot satisfy because columns are missing."""
     s = SC.FlowSchema("lineitem-flows", ("l_tax", "no_such_column"), non_negative=("l_tax", "no_such_column"))
     li = table(spark, folder, "lineitem")
-    return SC.missing_rules(spark, s, li).join(li.agg(F.count("*").alias("n")))
+    lost = SC.missing_rules(spark, s, li).withColumn("missing", F.array_join("missing", ","))
+    return lost.join(li.agg(F.count("*").alias("n")))
 
 
 @query("protocol_encoding", """
@@ -756,14 +756,19 @@ def pca_loadings(spark, folder):
     return S.pca_loadings(class_rows(spark, folder), 4)
 
 
+def _train_test(rows):
+    split = P.stratified_split(rows.select("row_id", "y", "features"), "y", val=0.0)
+    return split.filter("split = 'train'"), split.filter("split = 'test'")
+
+
 @query("iterative_pruning")
 def iterative_pruning(spark, folder):
     """Pruning history on the embedding vectors (small forests)."""
     from flowaudit.plans.inputs import vectors
 
-    v = vectors(spark, folder, 12).select("row_id", "y", "features")
-    train, val = v.filter("row_id % 4 > 0"), v.filter("row_id % 4 = 0")
-    kept, history = S.iterative_pruning(train, val, [1.0 / (i + 1) for i in range(12)], 3, ratio=0.3, trees=5, depth=4)
+    train, val = _train_test(vectors(spark, folder))
+    importance = [1.0 / (i + 1) for i in range(64)]
+    kept, history = S.iterative_pruning(train, val, importance, 3, ratio=0.5, trees=5, depth=4)
     return spark.createDataFrame([(h["n_features"], float(h["f1"]), float(h["f1_drop"]), len(kept)) for h in history],
                                  "n_features int, f1 double, f1_drop double, kept int")
 
@@ -774,10 +779,9 @@ def model_benchmark(spark, folder):
     from flowaudit.operators import models as M
     from flowaudit.plans.inputs import vectors
 
-    v = vectors(spark, folder, 8).select("row_id", "y", "features")
-    train, test = v.filter("row_id % 4 > 0"), v.filter("row_id % 4 = 0")
+    train, test = _train_test(vectors(spark, folder))
     fits = {"RF": lambda d: M.random_forest(d, 5, 4), "LR": lambda d: M.fit(M.LogisticRegression(maxIter=10), d)}
-    b = S.benchmark(train, test, 3, {"Full": list(range(8)), "Chi-Squared": [0, 3, 5]}, fits)
+    b = S.benchmark(train, test, 3, {"Full": list(range(64)), "Chi-Squared": [0, 3, 5]}, fits)
     return b.withColumn("pipeline", S.method_class(F.col("selection_method")))
 
 

@@ -47,10 +47,10 @@ _FIELDS = ("ip_ttl", "ip_tos", "ip_flags", "ip_total_length", "tcp_window_size",
 
 
 @query("packet_repair", f"""
-WITH {FIXED_SQL} SELECT pkt_no, protocol, {', '.join(_FIELDS)} FROM fixed""")
+WITH {FIXED_SQL} SELECT pkt_no, protocol, {', '.join(f'CAST(coalesce({c}, -1) AS BIGINT) AS {c}' for c in _FIELDS)} FROM fixed""")
 def packet_repair(spark, folder):
     r = P.repair_packets(packets(spark, folder))
-    return r.select("pkt_no", "protocol", *[big(c).alias(c) for c in _FIELDS])
+    return r.select("pkt_no", "protocol", *[F.coalesce(big(c), F.lit(-1)).alias(c) for c in _FIELDS])
 
 
 @query("tcp_flag_states", f"""
@@ -107,11 +107,11 @@ o AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY ts, pkt_no) AS pos
 s AS (SELECT pkt_no, pos, CASE WHEN protocol = 'tcp' THEN first(tcp_seq) OVER (PARTITION BY flow ORDER BY pos)
         + coalesce(sum(greatest(payload_size, 1)) OVER (PARTITION BY flow ORDER BY pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS tcp_seq FROM o)
-SELECT pkt_no, pos, CAST(tcp_seq AS BIGINT) AS tcp_seq FROM s""")
+SELECT pkt_no, pos, CAST(coalesce(tcp_seq, -1) AS BIGINT) AS tcp_seq FROM s""")
 def flow_repair(spark, folder):
     """Time order and continuous TCP sequence numbers per flow."""
     r = P.repair_flows(packets(spark, folder), ["flow"])
-    return r.select("pkt_no", big("pos").alias("pos"), big("tcp_seq").alias("tcp_seq"))
+    return r.select("pkt_no", big("pos").alias("pos"), F.coalesce(big("tcp_seq"), F.lit(-1)).alias("tcp_seq"))
 
 
 def _addressed(spark, folder):
