@@ -43,7 +43,7 @@ def resolve_features(expert: DataFrame, features: DataFrame) -> DataFrame:
     containment match the first.
     """
     level = _match_level(F.col("feature"), F.col("feature_name"), True)
-    hits = expert.join(F.broadcast(features), level.isNotNull()).withColumn("_level", level)
+    hits = expert.join(small_side(features), level.isNotNull()).withColumn("_level", level)
     tie = F.when(F.col("_level") == 2, -F.col("feature_idx")).otherwise(F.col("feature_idx"))
     keys = expert.columns
     w = W.partitionBy(*keys).orderBy("_level", tie)
@@ -53,7 +53,7 @@ def resolve_features(expert: DataFrame, features: DataFrame) -> DataFrame:
 def resolve_attacks(labels: DataFrame, attacks: DataFrame) -> DataFrame:
     """``(label) -> (label, attack)``: exact, else the first attack containing or contained."""
     level = _match_level(F.col("label"), F.col("attack"), False)
-    hits = labels.join(F.broadcast(attacks), level.isNotNull()).withColumn("_level", level)
+    hits = labels.join(small_side(attacks), level.isNotNull()).withColumn("_level", level)
     w = W.partitionBy("label").orderBy("_level", "attack_pos")
     return hits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("label", "attack")
 

@@ -275,26 +275,22 @@ def packet_lime(near: DataFrame, features: Column, scorer, group: list[str], ker
 
 def quartile_bins(train: DataFrame, names: list[str]) -> dict[str, dict]:
     """Per feature: quartile cuts and, per bin, frequency, mean, std, min and max of the training values."""
-    q = exact_quantiles(long_form(train, names), ["feature"], "value", [0.25, 0.5, 0.75]).collect()
+    cells = long_form(train, names)
     cuts: dict[str, list] = {n: [] for n in names}
-    for r in sorted(q, key=lambda r: r["prob"]):
+    for r in exact_quantiles(cells, ["feature"], "value", [0.25, 0.5, 0.75]).collect():
         cuts[r["feature"]].append(r["quantile"])
     cuts = {n: sorted(set(v)) for n, v in cuts.items()}
-    aggs = []
-    for n in names:
-        c = F.col(f"`{n}`")
-        edges = [None, *cuts[n], None]
-        for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            inside = (F.lit(True) if lo is None else c > lo) & (F.lit(True) if hi is None else c <= hi)
-            v = F.when(inside, c)
-            for tag, agg in (("n", F.count(v)), ("mean", F.avg(v)), ("std", F.stddev_pop(v)), ("min", F.min(v)),
-                             ("max", F.max(v))):
-                aggs.append(agg.alias(f"{names.index(n)}_{b}_{tag}"))
-    row = train.agg(*aggs).first().asDict()
-    out = {}
-    for i, n in enumerate(names):
-        bins = [{t: row[f"{i}_{b}_{t}"] for t in ("n", "mean", "std", "min", "max")} for b in range(len(cuts[n]) + 1)]
-        out[n] = {"cuts": cuts[n], "bins": bins}
+    table = local_rows(train.sparkSession, list(cuts.items()), "feature string, _cuts array<double>")
+    binned = cells.join(F.broadcast(table), "feature").withColumn(
+        "bin", F.size(F.filter("_cuts", lambda c: c < F.col("value"))))
+    v = F.col("value")
+    stats = binned.groupBy("feature", "bin").agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max"))
+    empty = {"n": 0, "mean": None, "std": None, "min": None, "max": None}
+    out = {n: {"cuts": cuts[n], "bins": [dict(empty) for _ in range(len(cuts[n]) + 1)]} for n in names}
+    for r in stats.collect():  # four rows per feature
+        out[r["feature"]]["bins"][r["bin"]] = {k: r[k] for k in empty}
     return out
 
 

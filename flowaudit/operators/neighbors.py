@@ -30,7 +30,8 @@ def value_pools(train: DataFrame, schema: FlowSchema) -> dict[str, DataFrame]:
     if schema.protocol:
         pools[schema.protocol] = _sliced(keyed.select(F.lit(0.0).alias("_proto"), proto.cast("double").alias("value")))
     if cells is not None:
-        counts = cells.groupBy("feature", "_proto", "value").agg(F.count("*").alias("_n"))
+        # counted in one pass, then read once per feature
+        counts = checkpointed(cells.groupBy("feature", "_proto", "value").agg(F.count("*").alias("_n")))
         for name in discrete:
             pools[name] = _sliced(counts.filter(F.col("feature") == name).drop("feature"), counted=True)
     return {n: small_side(p) for n, p in pools.items()}

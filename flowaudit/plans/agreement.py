@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from flowaudit.functions import arrays as A
 from flowaudit.operators import alignment as AL, consensus as C, interactions as I, quality as Q, robustness as R
@@ -437,10 +437,9 @@ FROM m WHERE level IS NOT NULL GROUP BY 1, 2""")
 def resolve_features(spark, folder):
     """Expert names found exactly, case-blind or by containment among the part names."""
     part = table(spark, folder, "part")
-    names = part.select("p_name").distinct()
-    # a feature list is short by nature: a few dozen names
-    order = sorted(r[0] for r in names.limit(10_000).collect())
-    features = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "feature_name string, feature_idx int")
+    # one row per distinct name, so numbering them is a small window
+    features = part.select(F.col("p_name").alias("feature_name")).distinct().withColumn(
+        "feature_idx", F.row_number().over(W.orderBy("feature_name")) - 1)
     forms = F.array(F.upper(F.element_at(F.split("p_name", " "), 2)), F.col("p_name"), F.upper("p_name"))
     wanted = part.select(F.col("p_type").alias("attack"), F.explode(forms).alias("feature")).distinct()
     r = AL.resolve_features(wanted, features)
