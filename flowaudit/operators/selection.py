@@ -23,7 +23,7 @@ def target_size(width: int) -> int:
 def method_class(method: Column) -> Column:
     return (
         F.when(method == "Full", "Baseline").when(method.isin(*STATISTICAL), "Statistical")
-        .when(method.startswith("PA-"), "PA-XAI").otherwise("XAI")
+        .when(method.startswith("PA-"), "Protocol-aware").otherwise("XAI")
     )
 
 

@@ -664,10 +664,10 @@ def decoy_audit(spark, folder):
 WITH m AS (SELECT CASE event_type WHEN 'view' THEN 'Full' WHEN 'signup' THEN 'PCA' WHEN 'click' THEN 'PA-LIME'
              ELSE 'SHAP' END AS method FROM events)
 SELECT CASE WHEN method = 'Full' THEN 'Baseline' WHEN method = 'PCA' THEN 'Statistical'
-            WHEN method LIKE 'PA-%' THEN 'PA-XAI' ELSE 'XAI' END AS pipeline, count(*) AS n FROM m GROUP BY 1""")
+            WHEN method LIKE 'PA-%' THEN 'Protocol-aware' ELSE 'XAI' END AS method_class, count(*) AS n FROM m GROUP BY 1""")
 def method_classes(spark, folder):
     t = F.col("event_type")
     method = F.when(t == "view", "Full").when(t == "signup", "PCA").when(t == "click", "PA-LIME").otherwise("SHAP")
-    return table(spark, folder, "events").groupBy(S.method_class(method).alias("pipeline")).agg(F.count("*").alias("n"))
+    return table(spark, folder, "events").groupBy(S.method_class(method).alias("method_class")).agg(F.count("*").alias("n"))
 
 

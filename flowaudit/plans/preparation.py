@@ -782,6 +782,6 @@ def model_benchmark(spark, folder):
     train, test = _train_test(vectors(spark, folder))
     fits = {"RF": lambda d: M.random_forest(d, 5, 4), "LR": lambda d: M.fit(M.LogisticRegression(maxIter=10), d)}
     b = S.benchmark(train, test, 3, {"Full": list(range(64)), "Chi-Squared": [0, 3, 5]}, fits)
-    return b.withColumn("pipeline", S.method_class(F.col("selection_method")))
+    return b.withColumn("method_class", S.method_class(F.col("selection_method")))
 
 

@@ -111,4 +111,4 @@ def selection_audit(train: DataFrame, val: DataFrame, test: DataFrame, width: in
         sets[method], _ = S.iterative_pruning(train, val, importance, classes)
     fits = fits or {"RF": lambda d: M.random_forest(d)}
     bench = S.benchmark(train, test, classes, {m: sorted(i) for m, i in sets.items()}, fits)
-    return {"selection": table, "benchmark": bench.withColumn("pipeline", S.method_class(F.col("selection_method")))}
+    return {"selection": table, "benchmark": bench.withColumn("method_class", S.method_class(F.col("selection_method")))}

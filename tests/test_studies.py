@@ -56,6 +56,6 @@ def test_selection(samples):
     fits = {"LR": lambda d: M.fit(M.LogisticRegression(maxIter=20), d)}
     out = studies.selection_audit(samples, samples, samples, 4, 2, {"PA-SHAP": [4.0, 3.0, 0.5, 0.0]}, fits, n=2)
     rows = {r["selection_method"]: r for r in out["benchmark"].collect()}
-    assert rows["Full"]["accuracy"] > 0.9 and rows["PA-SHAP"]["pipeline"] == "PA-XAI"
+    assert rows["Full"]["accuracy"] > 0.9 and rows["PA-SHAP"]["method_class"] == "Protocol-aware"
     chosen = {r["feature_idx"] for r in out["selection"].filter("selected and method = 'Spearman'").collect()}
     assert chosen == {0, 1}
