@@ -22,7 +22,7 @@ def _variants(a: Column) -> dict[str, Column]:
 
 def explanations(spark: SparkSession, folder: str) -> DataFrame:
     """``(explainer_key, row_id, label, attrs)``; one scan, copies made inside the row."""
-    e = spread(table(spark, folder, "embeddings")).select(
+    e = spread(table(spark, folder, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("row_id"), F.col("label"), A.as_doubles(F.col("embedding")).alias("_a"))
     parts = F.array(*[F.struct(F.lit(k).alias("explainer_key"), v.alias("attrs"))
                       for k, v in _variants(F.col("_a")).items()])
@@ -46,7 +46,7 @@ expl AS (
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_id, features, label, y, protocol)`` from the embeddings."""
-    return spread(table(spark, folder, "embeddings")).select(
+    return spread(table(spark, folder, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("row_id"), A.as_doubles(F.col("embedding")).alias("features"),
         "label", (F.col("label") % 3).alias("y"), (F.col("label") % 2).cast("double").alias("protocol"))
 
@@ -75,7 +75,7 @@ FLOW_FEATURES = ("quantity", "price", "discount", "tax")
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_id, proto, label, quantity, price, discount, tax)``."""
-    li = spread(table(spark, folder, "lineitem"))
+    li = spread(table(spark, folder, "lineitem"), "l_extendedprice")
     key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax", "l_shipdate")
     return li.select(

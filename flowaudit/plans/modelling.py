@@ -438,7 +438,8 @@ adv AS (SELECT epsilon, y, x0, x1, x2, x3, {', '.join(
 
 @query("fgsm_success", FGSM_SQL + f"""
 SELECT 'plain' AS mode, 'fgsm' AS attack, epsilon,
-       round(avg(CASE WHEN ({_Z.format(p='x')} > 0) <> ({_Z.format(p='a')} > 0) THEN 1.0 ELSE 0.0 END), 6) AS success,
+       round(avg(CASE WHEN (1 / (1 + exp(-{_Z.format(p='x')})) > 0.5e0) <> (1 / (1 + exp(-{_Z.format(p='a')})) > 0.5e0)
+                      THEN 1.0 ELSE 0.0 END), 6) AS success,
        round(max(greatest({', '.join(f'abs(a{i} - x{i})' for i in range(4))})), 6) AS linf, count(*) AS n
 FROM adv GROUP BY 3""")
 def fgsm_success(spark, folder):

@@ -566,7 +566,7 @@ k AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2 * tp + fp + fn
 
 
 def scored_rows(spark, folder):
-    li = spread(table(spark, folder, "lineitem"))
+    li = spread(table(spark, folder, "lineitem"), "l_extendedprice")
     q = F.col("l_quantity")
     return li.select(
         F.col("l_linestatus").alias("g"),

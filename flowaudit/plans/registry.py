@@ -26,14 +26,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Split a table that comes as fewer file splits than there are cores.
 
     For row-local work that costs far more than reading; a table with enough splits
-    is returned as it is, without a shuffle.
+    is returned as it is, without a shuffle.  Rows go by the hash of a nearly unique
+    key, which unlike round-robin needs no sort to be repeatable.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
