@@ -55,3 +55,17 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from flowaudit.llm import substring
 
     return substring.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import decontamination
+
+    return decontamination.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import vector_dedup
+
+    return vector_dedup.near_duplicates(table(spark, folder, "embeddings"))
