@@ -69,3 +69,28 @@ def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from flowaudit.llm import vector_dedup
 
     return vector_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import toxicity
+
+    common.ship_package(spark)
+    held = remainder(5) == 0
+    scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import language
+
+    common.ship_package(spark)
+    held = remainder(3) == 1
+    out = language.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
