@@ -94,3 +94,18 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held = remainder(3) == 1
     out = language.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"), ~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import pii
+
+    return pii.span_digest(pii.find_personal_data(table(spark, folder, "documents")))
+
+
+@query
+def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import fixity
+
+    records = fixity.warc_records(table(spark, folder, "pages"))
+    return fixity.audit(records, fixity.damaged(records))
