@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowaudit.llm import common
-from flowaudit.llm.token_store import _encoder
+from flowaudit.llm.token_store import ENCODED_BYTES, _encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Items packed by one task of a round; rounds merge until one group of this size holds all open bins.
@@ -27,7 +27,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, size: int = 2048, end_id:
     def cut(batches):
         encoder = _encoder(tokenizer, False)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=ENCODED_BYTES):
                 ids, bounds = encoder(part.column("text"))
                 ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))

@@ -15,6 +15,8 @@ from flowaudit.llm.tokens import Encoder
 #: Written uncompressed stripes of about this size; one reading task takes whole stripes.
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+#: Text encoded at once; larger parts repeat more words.
+ENCODED_BYTES = 12 << 20
 
 
 @cache
@@ -35,7 +37,7 @@ def write_token_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int
     def encode(batches):
         encoder = _encoder(tokenizer, True)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=ENCODED_BYTES):
                 ids, bounds = encoder(part.column("text"))
                 ids = np.insert(ids, bounds[1:], end_id)
                 bounds = (bounds + np.arange(len(bounds))).astype(np.int32)

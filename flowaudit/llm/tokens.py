@@ -32,7 +32,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep_blank, self.known, self.signs = keep_blank, {}, {"": []}
+        self.keep_blank, self.known, self.words, self.signs = keep_blank, {}, {}, {"": []}
         levels = ByteLevel(add_prefix_space=False, use_regex=False)
         lower = self.tokenizer.normalizer is not None
         self.bytes = str.maketrans({c: levels.pre_tokenize_str(c.lower() if lower else c)[0][0] for c in LETTERS + " "})
@@ -43,7 +43,9 @@ class Encoder:
 
     def _encode(self, parts: list[str]) -> list[list[int]]:
         """Ids of each part; a plain word with signs behind it goes straight to the model, which is faster."""
-        out, odd, words, signs, model = [], [], {}, self.signs, self.tokenizer.model
+        out, odd, words, signs, model = [], [], self.words, self.signs, self.tokenizer.model
+        if len(words) > REMEMBERED:
+            words.clear()
         for i, part in enumerate(parts):
             found = SIMPLE.fullmatch(part)
             if found is None:
