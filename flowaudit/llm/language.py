@@ -64,7 +64,7 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[list[int], list[float], str]], dim: int = 16, epochs: int = 12, rate: float = 2.0, rejected: float = 0.001, seed: int = 11) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: int = 12, rate: float = 2.0, rejected: float = 0.001, seed: int = 11) -> Model:
     """Stochastic gradient descent on documents given as (buckets, shares, language).
 
     A fifth of the rows isn't trained on: it sets the temperature (least log loss) and the rejection limit, the
@@ -75,7 +75,7 @@ def train(rows: list[tuple[list[int], list[float], str]], dim: int = 16, epochs:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held = set(order[: len(rows) // 5].tolist()) if len(rows) >= 20 else set()
-    docs = [(np.array(b, np.int64), np.array(s), index[x]) for b, s, x in rows]
+    docs = [(np.asarray(b), np.asarray(s), index[x]) for b, s, x in rows]
     table = np.zeros((BUCKETS, dim))
     weights = rng.standard_normal((dim, len(languages))) / np.sqrt(dim)
     bias = np.zeros(len(languages))
@@ -134,11 +134,18 @@ def training_rows(documents: DataFrame, chosen: Column, train_rows: int) -> list
                     hit = np.flatnonzero(sums)
                     buckets.append(hit.tolist())
                     share.append((sums[hit] / max(1, sums.sum())).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64())), part.column("lang")], ["buckets", "shares", "lang"])
-
-    taken = known.where(rule).limit(train_rows).mapInArrow(shares, "buckets array<int>, shares array<double>, lang string").toArrow()
-    rows = [(b, s, x) for b, s, x in zip(*(taken[c].to_pylist() for c in ("buckets", "shares", "lang"))) if b]
-    return sorted(rows, key=lambda r: (r[2], len(r[0]), r[0], r[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), part.column("lang")], ["buckets", "shares", "lang"])
+
+    taken = known.where(rule).limit(train_rows).mapInArrow(shares, "buckets array<int>, shares array<float>, lang string").toArrow()
+    taken = taken.combine_chunks()  # flat arrays: Python lists of the same numbers would take ten times the memory
+    rows = []
+    for batch in taken.to_batches():
+        flat = [batch.column(c).values.to_numpy() for c in ("buckets", "shares")]
+        ends = batch.column("buckets").offsets.to_numpy()
+        for a, b, lang in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("lang").to_pylist()):
+            if b > a:
+                rows.append((flat[0][a:b], flat[1][a:b], lang))
+    return sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
 
 
 def identify(documents: DataFrame, chosen: Column, train_rows: int = 2400) -> DataFrame:

@@ -174,9 +174,9 @@ def repeated_windows(documents: DataFrame, work: common.Workspace, window: int =
     names = ["bucket", "windows", "docs", "starts"]
     deal = sent.where("bucket >= 0").select(*names)
     if large:
-        deal = deal.mapInArrow(split, "bucket long, windows binary, docs binary, starts binary, part int")
+        deal = deal.mapInArrow(split, "bucket long, windows binary, docs binary, starts binary, part long")
     else:
-        deal = deal.withColumn("part", F.lit(0))
+        deal = deal.withColumn("part", F.lit(0).cast("long"))
     marks = deal.groupBy("bucket", "part").applyInArrow(subtree, out).union(sent.where("bucket < 0").select("docs", "starts").mapInArrow(known, out))
     return work.table(marks, "marks")
 
