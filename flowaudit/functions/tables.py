@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_nulls_alike(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where null equals null; the keys appear once."""
+    if not keys:
+        return left.crossJoin(right)
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def hash_levels(df: DataFrame, by: list[str], quotas: DataFrame, cuts: list[str], seed: int, key: str,
                 buckets: int = 1024) -> DataFrame:
     """Cut every group, in pseudo-random order, at exact row counts; adds ``level``.
@@ -62,12 +73,13 @@ def hash_levels(df: DataFrame, by: list[str], quotas: DataFrame, cuts: list[str]
     h = h.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(buckets)).cast("int"))
     per_bucket = h.groupBy(*by, "_b").agg(F.count("*").alias("_rows"))
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    edges = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(quotas, by)
+    edges = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    edges = join_nulls_alike(edges, quotas, by)
     level = lambda rank: sum((F.when(rank > F.col(c), 1).otherwise(0) for c in cuts), F.lit(0))
     edges = edges.select(*by, "_b", "_before", *cuts, level(F.col("_before") + 1).alias("_first"),
                          level(F.col("_before") + F.col("_rows")).alias("_last"))
     edges = small_side(edges, max_rows=2_000_000)
-    h = h.join(edges, [*by, "_b"])
+    h = join_nulls_alike(h, edges, [*by, "_b"])
     helper = ["_h", "_b", "_before", "_first", "_last", *cuts]
     sure = h.filter("_first = _last").withColumn("level", F.col("_first")).drop(*helper)
     rn = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key))
@@ -94,7 +106,7 @@ def _with_buckets(df: DataFrame, by: list[str], value: str, buckets: int) -> Dat
     kind = cuts.schema["_cuts"].dataType
     schema = T.StructType([*cuts.schema.fields, T.StructField("_coarse", kind)])
     table = F.broadcast(local_rows(df.sparkSession, rows, schema))
-    joined = df.join(table, by) if by else df.join(table)
+    joined = join_nulls_alike(df, table, by)
     coarse = F.size(F.filter("_coarse", lambda c: c < F.col(value))) * 16
     joined = joined.withColumn("_j", coarse)
     fine = F.size(F.filter(F.slice("_cuts", F.col("_j") + 1, 16), lambda c: c < F.col(value)))
@@ -128,7 +140,7 @@ def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Col
     totals = totals.select(
         *by, "_b", *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_o_" + n) for n in weights]
     )
-    d = d.join(F.broadcast(totals), [*by, "_b"])
+    d = join_nulls_alike(d, small_side(totals), [*by, "_b"])
     for n in weights:
         d = d.withColumn(n + "_below", F.col("_o_" + n) + F.coalesce(F.sum(n).over(inside), F.lit(0)))
     d = d.withColumn("avg_rank", F.col("cnt_below") + (F.col("cnt") + 1) / 2.0)
@@ -155,7 +167,7 @@ def _narrow(rows: DataFrame, keys: list[str], wide: dict[tuple, tuple], spark: S
     """
     grid = [i / GRID for i in range(1, GRID)]
     spans = bracket_table(spark, rows, keys, {k: v[:2] for k, v in wide.items()})
-    inside = rows.join(spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+    inside = join_nulls_alike(rows, spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
     cuts = inside.groupBy(*keys, "_id").agg(F.percentile_approx("_value", grid, 20 * GRID).alias("c")).collect()
     proposed = {}
     for r in cuts:
@@ -166,7 +178,7 @@ def _narrow(rows: DataFrame, keys: list[str], wide: dict[tuple, tuple], spark: S
         proposed[k] = (r["c"][first - 1] if first >= 1 else lo, r["c"][last - 1] if last < GRID else hi)
     tight = bracket_table(spark, rows, keys, proposed).withColumnsRenamed({"_lo": "_nlo", "_hi": "_nhi"})
     v = F.col("_value")
-    counted = inside.join(tight, [*keys, "_id"]).groupBy(*keys, "_id").agg(
+    counted = join_nulls_alike(inside, tight, [*keys, "_id"]).groupBy(*keys, "_id").agg(
         F.count(F.when(v < F.col("_nlo"), 1)).alias("under"),
         F.count(F.when(v.between(F.col("_nlo"), F.col("_nhi")), 1)).alias("n")).collect()
     out = {}
@@ -225,12 +237,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         inside = rows.withColumn("_id", F.lit(0))
     else:
         spans = bracket_table(spark, rows, keys, {k: v[:2] for k, v in brackets.items()})
-        inside = rows.join(spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+        inside = join_nulls_alike(rows, spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
     values = inside.groupBy(*keys, "_id", "_value").agg(F.count("*").alias("_n"))
     w = W.partitionBy(*keys, "_id").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
     values = values.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    picked = values.join(plan, [*keys, "_id"]).filter(hit)
+    picked = join_nulls_alike(values, plan, [*keys, "_id"]).filter(hit)
     return picked.groupBy(*by, "prob").agg(F.sum(F.col("_value") * F.col("_share")).alias("quantile"))
 
 
@@ -245,9 +257,9 @@ def order_chunks(df: DataFrame, by: list[str], order: str, chunk_rows: int = 2_0
     if not hot.limit(1).count():
         return None
     hot = small_side(hot, 1_000_000)
-    cuts = df.join(hot, by, "left_semi").groupBy(*by).agg(F.percentile_approx(
+    cuts = join_nulls_alike(df, hot, by, "left_semi").groupBy(*by).agg(F.percentile_approx(
         order, [i / pieces for i in range(1, pieces)], 4 * pieces).alias("_cuts"))
-    out = df.join(small_side(cuts), by, "left")
+    out = join_nulls_alike(df, small_side(cuts), by, "left")
     place = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return out.withColumn("_chunk", F.when(F.col("_cuts").isNull(), 0).otherwise(place)).drop("_cuts")
 
@@ -284,7 +296,7 @@ def with_running(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     carry = {f"_c_{n}": F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)) for n in ("pos", *sums)}
     carry |= {f"_f_{n}": F.first(f"_f_{n}").over(cw.rowsBetween(W.unboundedPreceding, W.currentRow)) for n in firsts}
     carry |= {f"_l_{n}": F.lag(f"_l_{n}").over(cw) for n in previous}
-    out = out.join(totals.withColumns(carry), key)
+    out = join_nulls_alike(out, totals.withColumns(carry), key)
     fixed = {n: F.col(n) + F.col(f"_c_{n}") for n in ("pos", *sums)}
     fixed |= {n: F.col(f"_f_{n}") for n in firsts}
     # only a chunk's first row looks back into the chunk before it

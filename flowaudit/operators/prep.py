@@ -109,9 +109,11 @@ def one_hot_categories(parts: list[DataFrame], columns: list[str], max_values: i
     """Sorted categories per column over all parts, found in one pass; refuses unbounded columns."""
     both = reduce(DataFrame.unionByName, [p.select(*[col(c) for c in columns]) for p in parts])
     cells = F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in columns])
-    found = both.select(F.explode(cells).alias("_x")).select("_x.c", "_x.v").distinct().limit(max_values + 1).collect()
-    if len(found) > max_values:
-        raise ValueError(f"more than {max_values} categories in {columns}")
+    found = both.select(F.explode(cells).alias("_x")).select("_x.c", "_x.v").distinct()
+    many = [r["c"] for r in found.groupBy("c").count().filter(F.col("count") > max_values).collect()]
+    if many:
+        raise ValueError(f"more than {max_values} categories in {many}; index such columns instead")
+    found = found.collect()  # at most columns x max_values rows
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in found:
         if r["v"] is not None:

@@ -178,19 +178,17 @@ def faithfulness_correlation(importance: DataFrame, drops: DataFrame) -> DataFra
                     p_value("faithfulness_correlation", "_n").alias("faithfulness_p_value"))
 
 
-def corrupted_inputs(samples: DataFrame, n: int, width: int, seed: int = 42) -> DataFrame:
-    """Edge-case rows in three blocks: zeros, uniform(-100, 100), 30 % of cells uniform(-10, 10)."""
+def corrupted_inputs(samples: DataFrame, width: int, block: int = 50, seed: int = 42) -> DataFrame:
+    """Edge-case rows: ``block`` zero rows, ``block`` uniform(-100, 100) rows, and every sample with 30 % of cells uniform(-10, 10)."""
     spark = samples.sparkSession
-    block = min(50, n // 3)
     zeros = spark.range(block).select(F.lit("zero").alias("block"), F.col("id").alias("row_id"),
                                       F.array_repeat(F.lit(0.0), width).alias("features"))
     cell = lambda rid, i, lo, hi, t: F.lit(lo) + F.lit(hi - lo) * H.uniform(seed, rid, F.lit(i), F.lit(t))
     rid = F.col("id")
     extreme = spark.range(block).select(
         F.lit("extreme"), rid, F.array(*[cell(rid, i, -100.0, 100.0, "x") for i in range(width)]))
-    rest = samples.orderBy(H.hash64(seed, F.col("row_id")), "row_id").limit(max(n - 2 * block, 0))
     rid = F.col("row_id")
-    noisy = rest.select(F.lit("noisy"), rid, F.array(*[
+    noisy = samples.select(F.lit("noisy"), rid, F.array(*[
         F.when(H.uniform(seed, rid, F.lit(i), F.lit("m")) < 0.3, cell(rid, i, -10.0, 10.0, "v"))
         .otherwise(F.get("features", F.lit(i))) for i in range(width)]))
     return zeros.union(extreme).union(noisy)

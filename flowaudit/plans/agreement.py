@@ -477,16 +477,16 @@ def expert_coverage(spark, folder):
 INTER_SQL = """
 WITH v AS (SELECT vec_id AS row_id, i - 1 AS i, j - 1 AS j,
              CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE) * (1 + (i * j) % 3) AS v
-           FROM embeddings, range(1, 13) a(i), range(1, 13) b(j)),
+           FROM embeddings, range(1, 65) a(i), range(1, 65) b(j)),
 m AS (SELECT i, j, avg(abs(v)) AS strength FROM v GROUP BY 1, 2),
-main AS (SELECT i - 1 AS f, avg(abs(CAST(embedding[13 - i] AS DOUBLE))) AS importance
-         FROM embeddings, range(1, 13) a(i) GROUP BY 1)
+main AS (SELECT i - 1 AS f, avg(abs(CAST(embedding[65 - i] AS DOUBLE))) AS importance
+         FROM embeddings, range(1, 65) a(i) GROUP BY 1)
 """
 
 
 def _interactions(spark, folder):
     e = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("row_id"), F.slice(A.as_doubles(F.col("embedding")), 1, 12).alias("a"))
+        F.col("vec_id").alias("row_id"), A.as_doubles(F.col("embedding")).alias("a"))
     cells = e.select("row_id", "a", F.posexplode("a").alias("i", "x")).select(
         "row_id", "i", "x", F.posexplode("a").alias("j", "y"))
     return cells.select("row_id", "i", "j", (F.col("x") * F.col("y") * (
@@ -495,7 +495,7 @@ def _interactions(spark, folder):
 
 def _main(spark, folder):
     e = table(spark, folder, "embeddings").select(
-        F.reverse(F.slice(A.as_doubles(F.col("embedding")), 1, 12)).alias("attrs"), F.lit("LIME").alias("explainer_key"))
+        F.reverse(A.as_doubles(F.col("embedding"))).alias("attrs"), F.lit("LIME").alias("explainer_key"))
     return C.mean_importance(e).select("feature_idx", "importance")
 
 

@@ -324,14 +324,14 @@ def marginal_shuffle(spark, folder):
 
 
 @query("corrupted_inputs", """
-SELECT 'zero' AS block, 50 AS n UNION ALL SELECT 'extreme', 50 UNION ALL SELECT 'noisy', least(count(*), 200)
+SELECT 'zero' AS block, 50 AS n UNION ALL SELECT 'extreme', 50 UNION ALL SELECT 'noisy', count(*)
 FROM orders""")
 def corrupted_inputs(spark, folder):
     o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), F.array(
         F.col("o_totalprice"), F.col("o_custkey").cast("double")).alias("features"))
     from flowaudit.operators.quality import corrupted_inputs as make
 
-    return make(o, 300, 2).groupBy("block").agg(F.count("*").alias("n"))
+    return make(o, 2).groupBy("block").agg(F.count("*").alias("n"))
 
 
 @query("keep_features", f"""

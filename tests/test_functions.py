@@ -135,3 +135,21 @@ def test_sampled_coalitions_are_additive():
     y = masks @ w + 0.7
     phi = p @ (y - 0.7) + q * w.sum()
     assert phi == pytest.approx(w, abs=1e-8)
+
+
+def test_null_groups_are_kept_at_every_size(spark):
+    from flowaudit.functions import tables as T
+    from flowaudit.operators import prep
+
+    rows = [(i, None if i % 3 == 0 else f"g{i % 2}", float(i * 7 % 101)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, y string, value double")
+    small = sorted(map(str, T.value_ranks(df, ["y"], "value").collect()))
+    assert sorted(map(str, T.value_ranks(df, ["y"], "value", window_rows=20).collect())) == small
+    quantiles = {(r.y, r.prob): r.quantile for r in T.exact_quantiles(df, ["y"], "value", [0.25, 0.5]).collect()}
+    assert len(quantiles) == 6
+    assert quantiles == {(r.y, r.prob): r.quantile for r in T.exact_quantiles(df, ["y"], "value", [0.25, 0.5], window_rows=20).collect()}
+    run = T.with_running(df, ["y"], ["row_id"], sums={"s": F.col("value")})
+    cut = T.with_running(df, ["y"], ["row_id"], sums={"s": F.col("value")}, chunk_rows=20)
+    key = lambda d: sorted((r.row_id, r.pos, r.s) for r in d.collect())
+    assert key(run) == key(cut) and len(key(run)) == 300
+    assert prep.stratified_split(df, "y").count() == 300
