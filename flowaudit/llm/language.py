@@ -136,7 +136,8 @@ def training_rows(documents: DataFrame, chosen: Column, train_rows: int) -> list
                     share.append((sums[hit] / max(1, sums.sum())).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), part.column("lang")], ["buckets", "shares", "lang"])
 
-    taken = known.where(rule).limit(train_rows).mapInArrow(shares, "buckets array<int>, shares array<float>, lang string").toArrow()
+    # a group of exact copies shares one hash, so it would be chosen as a whole: copies count once
+    taken = known.where(rule).dropDuplicates(["text", "lang"]).limit(train_rows).mapInArrow(shares, "buckets array<int>, shares array<float>, lang string").toArrow()
     taken = taken.combine_chunks()  # flat arrays: Python lists of the same numbers would take ten times the memory
     rows = []
     for batch in taken.to_batches():
