@@ -12,10 +12,9 @@ from flowaudit.operators.fixed_values import EXPERT_TABLES
 
 def expert_rows() -> list[tuple]:
     rows = []
-    for dataset, text in EXPERT_TABLES.items():
-        for order, line in enumerate(text.strip().splitlines()):
-            attack, features = line.rsplit(": ", 1)
-            rows += [(dataset, attack, order, f.strip(), pos) for pos, f in enumerate(features.split(","))]
+    for dataset, attacks in EXPERT_TABLES.items():
+        for order, (attack, features) in enumerate(attacks.items()):
+            rows += [(dataset, attack, order, feature, pos) for pos, feature in enumerate(features)]
     return rows
 
 

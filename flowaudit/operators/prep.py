@@ -94,8 +94,7 @@ def protocol_from_window(flags: list[str], window: str, columns: list[str]) -> C
 
 
 def category_table(spark: SparkSession, categories: dict[str, str] | None = None) -> DataFrame:
-    rows = [(a, c) for c, names in (categories or KDD_CATEGORIES).items() for a in names.split()]
-    return local_rows(spark, rows, "attack string, category string")
+    return local_rows(spark, list((categories or KDD_CATEGORIES).items()), "attack string, category string")
 
 
 def map_categories(df: DataFrame, label: str, categories: DataFrame, default: str = "Normal") -> DataFrame:

@@ -7,12 +7,12 @@ gap statistic, a flag counter, a rate, a bulk or window column).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowaudit.functions.tables import local_rows
-from flowaudit.operators.fixed_values import ARGUS_FEATURES, KDD_FEATURES, PROTOCOL_NUMBERS
+from flowaudit.operators.fixed_values import ARGUS_FEATURES, FLOW_METER_FEATURES, KDD_FEATURES, PROTOCOL_NUMBERS
 
 
 @dataclass(frozen=True)
@@ -116,90 +116,47 @@ class FlowSchema:
         )
 
 
-@dataclass(frozen=True)
-class _Dialect:
-    """Words in which the flow-meter exports of different years differ."""
-
-    name: str
-    port: str | None
-    packet_total: tuple[str, str]
-    byte_total: tuple[str, str]
-    length: str
-    overall_length: tuple[str, str, str, str, str]
-    rate_bytes: str
-    rate_packets: str
-    gap_total: str
-    header: str
-    flag_suffix: str
-    reduced_flag: str
-    sizes: tuple[str, str, str]
-    bulk: tuple[str, str, str]
-    subflow: tuple[str, str]
-    windows: tuple[str, str]
-    active_data: str
-    min_segment: str
-    header_copy: str | None = None
-    extra: dict = field(default_factory=dict)
-
-
-def _flow_meter(d: _Dialect) -> FlowSchema:
-    ways, stats = ("Fwd", "Bwd"), ("Mean", "Std", "Max", "Min")
-    lengths = [f"{w} {d.length} {s}" for w in ways for s in ("Max", "Min", "Mean", "Std")]
-    gaps = [f"Flow IAT {s}" for s in stats]
-    for w in ways:
-        gaps += [f"{w} IAT {d.gap_total}"] + [f"{w} IAT {s}" for s in stats]
-    direction_flags = [f"{w} {f} Flags" for f in ("PSH", "URG") for w in ways]
-    flag_counts = [f"{f} {d.flag_suffix}" for f in ("FIN", "SYN", "RST", "PSH", "ACK", "URG")]
-    flag_counts += [d.reduced_flag, f"ECE {d.flag_suffix}"]
-    bulks = [b.format(w) for w in ways for b in d.bulk]
-    subflows = [f"Subflow {w} {s}" for w in ways for s in d.subflow]
-    phases = [f"{p} {s}" for p in ("Active", "Idle") for s in stats]
-    lo, hi, mid, std, var = d.overall_length
-    features = [
-        *([d.port] if d.port else []), "Protocol", "Flow Duration", *d.packet_total, *d.byte_total, *lengths,
-        f"Flow {d.rate_bytes}", f"Flow {d.rate_packets}", *gaps, *direction_flags,
-        *[f"{w} {d.header}" for w in ways], *[f"{w} {d.rate_packets}" for w in ways],
-        lo, hi, mid, std, var, *flag_counts, "Down/Up Ratio", *d.sizes,
-        *([d.header_copy] if d.header_copy else []), *bulks, *subflows, *d.windows,
-        d.active_data, d.min_segment, *phases,
-    ]
-    groups = [f"{w} {d.length} {{}}" for w in ways]
-    groups_iat = ["Flow IAT {}", "Fwd IAT {}", "Bwd IAT {}", "Active {}", "Idle {}"]
-    triples = [tuple(g.format(s) for s in ("Max", "Mean", "Min", "Std")) for g in groups]
-    triples += [(hi, mid, lo, std)]
-    triples += [tuple(g.format(s) for s in ("Max", "Mean", "Min", "Std")) for g in groups_iat]
-    signed = {d.port, "Protocol", *d.windows}
-    port_range = [Bounded(d.port, 0, 65535)] if d.port else []
+def _flow_meter(name: str) -> FlowSchema:
+    """Rules of one flow-meter export, found from the kinds of its columns."""
+    features = FLOW_METER_FEATURES[name]
+
+    def of(test) -> list[str]:
+        return [f for f in features if test(f)]
+
+    def sibling(std: str, statistic: str) -> str:
+        """The column of the same quantity with another statistic, which some exports write in front."""
+        behind = std.replace("Std", statistic)
+        return behind if behind in features else f"{statistic} {std.removesuffix(' Std')}"
+
+    ports = of(lambda f: f.endswith(" Port"))
+    direction_flags, flag_counts = of(lambda f: f.endswith(" Flags")), of(lambda f: " Flag C" in f)
+    windows, subflows = of(lambda f: "win" in f.lower()), of(lambda f: f.startswith("Subflow"))
+    data_packets = of(lambda f: "act" in f.lower() and "data" in f.lower())
+    rates, variance = of(lambda f: f.endswith("/s")), of(lambda f: " Var" in f)
+    deviations = of(lambda f: f.endswith(" Std"))
+    totals = features.index("Flow Duration") + 1
+    packets, sizes = features[totals : totals + 2], features[totals + 2 : totals + 4]
+    copies = of(lambda f: f.endswith(".1"))
+    overall = [f for f in deviations if f.startswith(variance[0].split(" Var")[0])]
+    signed = {*ports, "Protocol", *windows}
     return FlowSchema(
-        name=d.name,
+        name=name,
         features=tuple(features),
         protocol="Protocol",
         non_negative=tuple(f for f in features if f not in signed),
-        tcp_only=(*direction_flags, *flag_counts, *d.windows),
-        discrete=(
-            *([d.port] if d.port else []), "Protocol", *d.packet_total, *direction_flags, *flag_counts,
-            subflows[0], subflows[2], d.active_data,
-        ),
-        ordered=tuple(Ordered(a, b, c) for a, b, c, _ in triples),
-        spread=tuple(Spread(s, a, c) for a, _, c, s in triples),
+        tcp_only=(*direction_flags, *flag_counts, *windows),
+        discrete=(*ports, "Protocol", *packets, *direction_flags, *flag_counts, subflows[0], subflows[2], *data_packets),
+        ordered=tuple(Ordered(sibling(s, "Max"), sibling(s, "Mean"), sibling(s, "Min")) for s in deviations),
+        spread=tuple(Spread(s, sibling(s, "Max"), sibling(s, "Min")) for s in deviations),
         derived=(
-            Derived(f"Flow {d.rate_bytes}", "sum_ratio", (*d.byte_total, "Flow Duration")),
-            Derived(f"Flow {d.rate_packets}", "sum_ratio", (*d.packet_total, "Flow Duration")),
-            *[
-                Derived(f"{w} {d.rate_packets}", "ratio", (t, "Flow Duration"))
-                for w, t in zip(ways, d.packet_total)
-            ],
-            Derived(var, "square", (std,)),
-            *[
-                Derived(s, "equal", (t,))
-                for s, t in zip(
-                    subflows,
-                    (d.packet_total[0], d.byte_total[0], d.packet_total[1], d.byte_total[1]),
-                )
-            ],
+            Derived(rates[0], "sum_ratio", (*sizes, "Flow Duration")),
+            Derived(rates[1], "sum_ratio", (*packets, "Flow Duration")),
+            *[Derived(rate, "ratio", (total, "Flow Duration")) for rate, total in zip(rates[2:], packets)],
+            Derived(variance[0], "square", (overall[0],)),
+            *[Derived(s, "equal", (t,)) for s, t in zip(subflows, (packets[0], sizes[0], packets[1], sizes[1]))],
         ),
-        bounded=(*port_range, *[Bounded(w, 0, 65535) for w in d.windows]),
-        duplicates=((f"Fwd {d.header}", d.header_copy),) if d.header_copy else (),
+        bounded=tuple(Bounded(f, 0, 65535) for f in (*ports, *windows)),
+        duplicates=tuple((c.removesuffix(".1"), c) for c in copies),
     )
 
 
@@ -243,39 +200,7 @@ def _argus() -> FlowSchema:
     )
 
 
-_DIALECTS = (
-    _Dialect(
-        "CIC-IDS-2017", "Destination Port", ("Total Fwd Packets", "Total Backward Packets"),
-        ("Total Length of Fwd Packets", "Total Length of Bwd Packets"), "Packet Length",
-        ("Min Packet Length", "Max Packet Length", "Packet Length Mean", "Packet Length Std",
-         "Packet Length Variance"),
-        "Bytes/s", "Packets/s", "Total", "Header Length", "Flag Count", "CWE Flag Count",
-        ("Average Packet Size", "Avg Fwd Segment Size", "Avg Bwd Segment Size"),
-        ("{} Avg Bytes/Bulk", "{} Avg Packets/Bulk", "{} Avg Bulk Rate"), ("Packets", "Bytes"),
-        ("Init_Win_bytes_forward", "Init_Win_bytes_backward"), "act_data_pkt_fwd", "min_seg_size_forward",
-        "Fwd Header Length.1",
-    ),
-    _Dialect(
-        "CSE-CIC-IDS2018", "Dst Port", ("Tot Fwd Pkts", "Tot Bwd Pkts"), ("TotLen Fwd Pkts", "TotLen Bwd Pkts"),
-        "Pkt Len", ("Pkt Len Min", "Pkt Len Max", "Pkt Len Mean", "Pkt Len Std", "Pkt Len Var"),
-        "Byts/s", "Pkts/s", "Tot", "Header Len", "Flag Cnt", "CWE Flag Count",
-        ("Pkt Size Avg", "Fwd Seg Size Avg", "Bwd Seg Size Avg"),
-        ("{} Byts/b Avg", "{} Pkts/b Avg", "{} Blk Rate Avg"), ("Pkts", "Byts"),
-        ("Init Fwd Win Byts", "Init Bwd Win Byts"), "Fwd Act Data Pkts", "Fwd Seg Size Min",
-    ),
-    _Dialect(
-        "UNSW-NB15-CICFlowMeter", None, ("Total Fwd Packet", "Total Bwd packets"),
-        ("Total Length of Fwd Packet", "Total Length of Bwd Packet"), "Packet Length",
-        ("Packet Length Min", "Packet Length Max", "Packet Length Mean", "Packet Length Std",
-         "Packet Length Variance"),
-        "Bytes/s", "Packets/s", "Total", "Header Length", "Flag Count", "CWR Flag Count",
-        ("Average Packet Size", "Fwd Segment Size Avg", "Bwd Segment Size Avg"),
-        ("{} Bytes/Bulk Avg", "{} Packet/Bulk Avg", "{} Bulk Rate Avg"), ("Packets", "Bytes"),
-        ("FWD Init Win Bytes", "Bwd Init Win Bytes"), "Fwd Act Data Pkts", "Fwd Seg Size Min",
-    ),
-)
-
-CATALOGUE: dict[str, FlowSchema] = {s.name: s for s in [*map(_flow_meter, _DIALECTS), _kdd(), _argus()]}
+CATALOGUE: dict[str, FlowSchema] = {s.name: s for s in [*map(_flow_meter, FLOW_METER_FEATURES), _kdd(), _argus()]}
 
 DATASET_SCHEMAS = {
     "nsl-kdd": "NSL-KDD",
