@@ -37,6 +37,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.named: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,6 +47,19 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """The same, in hash buckets of ``key``: joins on it read it in place. ``df`` should come dealt by ``key``, or each task writes a file a bucket."""
+        self.named.append(f"llm_{name}_{uuid.uuid4().hex}")
+        df.write.format("parquet").bucketBy(buckets, key).option("path", self.path(name)).option("compression", "zstd").saveAsTable(self.named[-1])
+        return self.spark.table(self.named[-1])
+
+    def forget(self) -> None:
+        """Take the bucketed tables out of the catalog, and delete them."""
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.drop(name.split("_")[1])
+        self.named = []
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
