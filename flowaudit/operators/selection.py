@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from flowaudit.functions import hashing as H
-from flowaudit.functions.tables import exact_quantiles, local_rows, small_side, value_ranks
+from flowaudit.functions.tables import checkpointed, exact_quantiles, local_rows, small_side, value_ranks, with_running
 from flowaudit.operators import evaluation as E, models as M
 
 STATISTICAL = ("Chi-Squared", "PCA", "Spearman", "InfoGain")
@@ -156,40 +153,46 @@ def _digamma(c: Column) -> Column:
     return out
 
 
-def information_gain_neighbours(df: DataFrame, neighbours: int = 3, y: str = "y", seed: int = 42,
-                                max_rows: int = 50_000, key: str = "row_id") -> DataFrame:
-    """Nearest-neighbour estimate of the same quantity (continuous feature, discrete class).
+def information_gain_neighbours(df: DataFrame, neighbours: int = 3, y: str = "y", chunk_rows: int = 2_000_000) -> DataFrame:
+    """Nearest-neighbour estimate of the same quantity (continuous feature, discrete class), over all rows.
 
-    As published for mixed variables: the distance to the k-th neighbour of the same
-    class, then the rows of any class within it.  The estimator is defined on a
-    sample of ``max_rows`` rows; per feature that bounded sample is one sorted array.
+    As published for mixed variables: the distance to the k-th neighbour of the same class, then the rows
+    of any class nearer than that. Rows are collapsed to (feature, class, value) counts. Every distinct value
+    has a place in its class, so its neighbours come from an equi join on places; the rows within its radius
+    are the difference of two running counts over the feature's values. Both orders are cut into chunks where a
+    group is long (``chunk_rows``). Null or NaN values, null classes and classes of one row are left out.
     """
-    sample = df.orderBy(H.hash64(seed, F.col(key)), key).limit(max_rows)
-    long = cells(sample, [y])
-
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, c = pdf["value"].to_numpy(dtype=float), pdf[y].to_numpy()
-        everything = np.sort(v)
-        out = []
-        for label in np.unique(c):
-            own = np.sort(v[c == label])
-            k = min(neighbours, len(own) - 1)
-            if k < 1:
-                continue
-            pad = np.concatenate([np.full(k, -np.inf), own, np.full(k, np.inf)])
-            gaps = np.stack([np.abs(pad[k + s : k + s + len(own)] - own) for s in range(-k, k + 1) if s])
-            radius = np.nextafter(np.sort(gaps, axis=0)[k - 1], 0)
-            m = np.searchsorted(everything, own + radius, "right") - np.searchsorted(everything, own - radius, "left")
-            n, counts = len(own), np.unique(np.maximum(m, 1), return_counts=True)
-            out += [(int(pdf["feature_idx"].iloc[0]), n, k, int(a), int(b)) for a, b in zip(*counts)]
-        return pd.DataFrame(out, columns=["feature_idx", "n_class", "k", "m", "times"])
-
-    found = long.groupBy("feature_idx").applyInPandas(
-        estimate, "feature_idx int, n_class bigint, k bigint, m bigint, times bigint")
-    w = F.col("times").cast("double")
-    mean = lambda c: F.sum(w * _digamma(F.col(c))) / F.sum(w)
-    score = _digamma(F.sum("times")) + mean("k") - mean("n_class") - mean("m")
-    return found.groupBy("feature_idx").agg(F.greatest(score, F.lit(0.0)).alias("score"))
+    long = cells(df.filter(F.col(y).isNotNull()), [y]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = checkpointed(long.groupBy("feature_idx", y, "value").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("feature_idx", y).agg(F.sum("n").alias("n_class")).filter("n_class > 1")
+    sizes = sizes.withColumn("k", F.least(F.lit(neighbours), F.col("n_class") - 1).cast("bigint"))
+    counts = counts.join(small_side(sizes), ["feature_idx", y])  # features x classes rows
+    placed = checkpointed(with_running(counts, ["feature_idx", y], ["value"], chunk_rows=chunk_rows))
+
+    others = placed.select("feature_idx", y, F.col("pos").alias("_at"), F.col("value").alias("_u"), F.col("n").alias("_n"))
+    steps = F.explode(F.sequence(F.lit(-neighbours), F.lit(neighbours)))
+    around = placed.withColumn("_step", steps).withColumn("_at", F.col("pos") + F.col("_step")).join(others, ["feature_idx", y, "_at"])
+    near = F.struct(F.abs(F.col("_u") - F.col("value")).alias("gap"), F.col("_u").alias("u"), (F.col("_n") - F.when(F.col("_step") == 0, 1).otherwise(0)).alias("n"))
+    keys = ["feature_idx", y, "value", "n", "n_class", "k"]
+    found = around.groupBy(*keys).agg(F.array_sort(F.collect_list(near)).alias("_near"))  # 2 k + 1 values at most
+    # the first neighbour up to which there are k rows
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("u"))
+    kth = F.aggregate("_near", start, lambda s, x: F.when(s["seen"] >= F.col("k"), s).otherwise(
+        F.struct((s["seen"] + x["n"]).alias("seen"), x["gap"].alias("gap"), x["u"].alias("u"))))
+    found = found.select(*keys, kth.alias("_kth")).select(*keys, F.col("_kth.gap").alias("gap"), F.col("_kth.u").alias("u"))
+    v, gap, u = F.col("value"), F.col("gap"), F.col("u")
+    low, high = F.when(u < v, u).otherwise(v - gap), F.when(u > v, u).otherwise(v + gap)
+    # order 0 stands before the rows of a value, 2 behind them; a radius of 0 counts the value's own rows
+    ends = F.array(F.struct(high.alias("x"), F.when(gap > 0, 0).otherwise(2).alias("turn"), F.lit(1).alias("sign")),
+                   F.struct(low.alias("x"), F.when(gap > 0, 2).otherwise(0).alias("turn"), F.lit(-1).alias("sign")))
+    asked = found.select(*keys, F.explode(ends).alias("_e")).select(*keys, "_e.x", "_e.turn", "_e.sign", F.lit(0).cast("bigint").alias("rows"))
+    held = counts.groupBy("feature_idx", F.col("value").alias("x")).agg(F.sum("n").alias("rows")).withColumn("turn", F.lit(1))
+    ordered = with_running(asked.unionByName(held, allowMissingColumns=True), ["feature_idx"], ["x", "turn"], {"below": F.col("rows")}, chunk_rows=chunk_rows)
+    within = ordered.filter("sign is not null").groupBy(*keys).agg(F.sum(F.col("sign") * F.col("below")).alias("m"))
+    w = F.col("n").cast("double")
+    mean = lambda c: F.sum(w * _digamma(c)) / F.sum(w)
+    score = _digamma(F.sum("n")) + mean(F.col("k")) - mean(F.col("n_class")) - mean(F.greatest(F.col("m"), F.lit(1)))
+    return within.groupBy("feature_idx").agg(F.greatest(score, F.lit(0.0)).alias("score"))
 
 
 def select_top(scores: DataFrame, n: int, method: str) -> DataFrame:

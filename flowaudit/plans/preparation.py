@@ -741,7 +741,7 @@ def information_gain(spark, folder):
 
 @query("information_gain_neighbours")
 def information_gain_neighbours(spark, folder):
-    """The published nearest-neighbour estimator (bounded sample by definition)."""
+    """The published nearest-neighbour estimator, over all rows."""
     return S.information_gain_neighbours(class_rows(spark, folder))
 
 
