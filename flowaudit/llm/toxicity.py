@@ -67,27 +67,71 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """The cheapest word of letters that could have been written as a token."""
+    """The cheapest words of letters that could have been written as a token, or as tokens in a row."""
 
     def __init__(self, costs: np.ndarray):
-        self.costs, self.known = costs.tolist(), {}
+        self.array, self.costs, self.known = costs, costs.tolist(), {}
 
-    def decode(self, token: str) -> str:
-        out = self.known.get(token)
+    def remembered(self, key, make):
+        out = self.known.get(key)
         if out is None:
             if len(self.known) > 100_000:
                 self.known = {}
-            out = self.known[token] = self._decode(token)
+            out = self.known[key] = make(key)
         return out
 
+    def decode(self, token: str) -> str:
+        return self.remembered(token, self._decode)
+
     def _decode(self, token: str) -> str:
-        """Viterbi over the lattice of each sign's readings: a letter, nothing (a sign in between), or the letter before again.
+        states = self._read(token, (0, 0))
+        path = min(((p + self.costs[a][b][0], path) for (a, b), (p, path) in states.items()), key=lambda x: x[0])[1]
+        return "".join(ALPHABET[c] for c in _steps(path))
+
+    def cut(self, start: tuple[int, int], written: str, after: tuple[int, int] | None, closed: bool) -> tuple[list[bool], list[str]]:
+        """For each blank of ``written`` whether it stands for nothing, and the letters of the parts between blanks.
+
+        ``start`` are the two letters before (0, 0 at a border), ``after`` the two that follow for certain; ``closed``: the
+        last two letters of ``written`` are certain, so that what follows has no part in the choice.
+        """
+        return self.remembered((start, written, after, closed), self._cut)
+
+    def _cut(self, key) -> tuple[list[bool], list[str]]:
+        start, written, after, closed = key
+        states = self._read(written, start)
+
+        def end(a: int, b: int) -> float:
+            if closed:
+                return 0.0
+            return self.costs[a][b][after[0]] + self.costs[b][after[0]][after[1]] if after else self.costs[a][b][0] if a or b else 0.0
+
+        path = min(((p + end(a, b), path) for (a, b), (p, path) in states.items()), key=lambda x: x[0])[1]
+        blanks, letters = [], [[]]
+        for c in _steps(path):
+            if c > 0:
+                letters[-1].append(ALPHABET[c])
+            else:
+                blanks.append(c == NOTHING)
+                letters.append([])
+        return blanks, ["".join(x) for x in letters]
+
+    def _read(self, token: str, start: tuple[int, int]) -> dict[tuple[int, int], tuple[float, tuple | None]]:
+        """Viterbi over the lattice of each sign's readings: a letter, nothing (a sign in between), or the letter before again;
+        a blank is a word's border or nothing.
 
         A state is the last two letters, so the work is linear in the token's length.
         """
-        states = {(0, 0): (0.0, None)}
+        states = {start: (0.0, None)}
         for char in token:
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            if char == " ":
+                for (a, b), (price, path) in states.items():
+                    after[a, b] = min(after.get((a, b), (math.inf,)), (price + NOISE, (path, NOTHING)), key=lambda x: x[0])
+                    total = price + SAME + self.costs[a][b][0] if a or b else price
+                    if total < after.get((0, 0), (math.inf,))[0]:
+                        after[0, 0] = (total, (path, 0))
+                states = after
+                continue
             own = CODE.get(char)
             readings = [(own, SAME)] if own else [(CODE[c], SIGN) for c in STANDS_FOR.get(char, "")]
             skip = None if own else NOISE
@@ -104,12 +148,19 @@ class Decoder:
                 if skip is not None and price + skip < after.get((a, b), (math.inf,))[0]:
                     after[a, b] = (price + skip, path)
             states = after or states
-        path = min(((p + self.costs[a][b][0], path) for (a, b), (p, path) in states.items()), key=lambda x: x[0])[1]
-        out = []
-        while path is not None:
-            path, c = path
-            out.append(ALPHABET[c])
-        return "".join(reversed(out))
+        return states
+
+
+#: A blank read as nothing, in a path.
+NOTHING = -1
+
+
+def _steps(path: tuple | None) -> list[int]:
+    out = []
+    while path is not None:
+        path, c = path
+        out.append(c)
+    return out[::-1]
 
 
 SUSPECT = re.compile(r"[^\W\d_].*[\d@$!|+(€£¡#*._-]|[\d@$!|+(€£¡#].*[^\W\d_]|([^\W\d_])\1\1")
@@ -124,21 +175,103 @@ def restored(words: list[str], decoder: Decoder) -> list[str]:
     return out
 
 
-def spelled(words: list[str], places: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str]]:
-    """(text, word) of every run of four or more words of one sign each: letters set apart by blanks."""
-    single = np.fromiter((len(w.strip(EDGE)) == 1 for w in words), bool, len(words))[places] if len(words) else np.empty(0, bool)
-    edge = np.zeros(len(places) + 1, bool)
-    edge[bounds] = True
-    found = np.flatnonzero(single)
-    if not len(found):
+LETTERS = frozenset(ALPHABET[1:])
+LETTER_AT = np.array([CODE[chr(c)] if chr(c) in LETTERS else 0 for c in range(256)] + [0], np.int64)
+
+
+def _outer_letters(cores: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+    """Per word: its first two letters and its last two (0, 0 where they aren't certain), whether it's read as written, whether
+    it holds a letter outside the alphabet; and what follows the letters at the start of a word whose end isn't certain.
+
+    Two different letters at an end are certain: each is read as itself, or as the letter before, written again.
+    """
+    n = len(cores)
+    size = np.fromiter(map(len, cores), np.int64, n)
+    codes = LETTER_AT[np.minimum(np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32), 256)]
+    owner, begin = np.repeat(np.arange(n), size), np.cumsum(size) - size
+    lettered = np.bincount(owner, codes > 0, n) == size
+    thrice = np.zeros(n, bool)
+    thrice[owner[2:][(codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & (owner[2:] == owner[:-2])]] = True
+    written = lettered & (size > 1) & ~thrice
+    long = np.flatnonzero(size > 1)
+    first, last = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+    first[long] = codes[begin[long, None] + [0, 1]]
+    last[long] = codes[(begin + size)[long, None] + [-2, -1]]
+    for x in (first, last):
+        x[~((x > 0).all(axis=1) & (written | (x[:, 0] != x[:, 1])))] = 0
+    foreign, tails = np.zeros(n, bool), {}
+    for k in np.flatnonzero(~lettered).tolist():
+        core = cores[k]
+        foreign[k] = any(c.isalnum() and c not in LETTERS and c not in STANDS_FOR for c in core)
+        if first[k, 0] and not last[k, 0]:
+            m = next(i for i, c in enumerate(core) if c not in LETTERS)
+            if core[m - 2] != core[m - 1]:
+                tails[k] = core[m - 2 :]
+            else:
+                first[k] = 0
+    first[~lettered & (last[:, 0] == 0) & ~np.isin(np.arange(n), list(tails))] = 0
+    first[lettered & (last[:, 0] == 0)] = 0  # ends in a letter written several times
+    first[foreign] = last[foreign] = 0
+    return first, last, written, foreign, tails
+
+
+def spelled(words: list[str], places: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> list[tuple[int, str]]:
+    """(text, word) of every word written over several places of ``words``: the blanks between are read as nothing.
+
+    The cheapest reading of each whole text decides, blanks being borders or nothing. Where the two letters on each side of
+    a blank are certain, nothing further away has a part in the choice, so these blanks are decided by their own costs, all at
+    once; the lattice is run over what lies between: single letters, and words that begin or end with signs.
+    """
+    n = len(places)
+    if not n:
         return []
-    new = np.concatenate([[True], (np.diff(found) > 1) | edge[found[1:]]])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(found)))
-    out = []
-    for f, n in zip(first[size >= 4].tolist(), size[size >= 4].tolist()):
-        run = found[f : f + n]
-        out.append((int(np.searchsorted(bounds, run[0], "right") - 1), "".join(words[places[i]].strip(EDGE) for i in run.tolist())))
+    cores = [w.strip(EDGE) for w in words]
+    first, last, written, foreign, tails = _outer_letters(cores)
+    border = np.zeros(n + 1, bool)
+    border[bounds] = True
+    opens, closes = np.append(first[places, 0] > 0, False), np.append(last[places, 0] > 0, False)  # certain at the start, at the end
+    foreign = np.append(foreign[places], True)
+    joined = np.zeros(n + 1, bool)  # the blank before a place is nothing
+
+    i = np.flatnonzero(opens[1:n] & closes[: n - 1] & ~border[1:n]) + 1
+    (c, d), (a, b), costs = first[places[i]].T, last[places[i - 1]].T, decoder.array
+    joined[i] = NOISE + costs[a, b, c] + costs[b, c, d] < SAME + costs[a, b, 0] + costs[0, 0, c] + costs[0, c, d]
+
+    # a run of uncertain blanks: it begins behind a certain end, a border or a foreign word, and ends the same way
+    letters = {}
+    loose = np.zeros(n + 1, bool)
+    loose[1:n] = ~border[1:n] & ~foreign[1:n] & ~foreign[: n - 1] & ~(opens[1:n] & closes[: n - 1])
+    found = np.flatnonzero(loose)
+    new = np.ones(len(found), bool)
+    before = found[1:]
+    new[1:] = (np.diff(found) > 1) | (opens | closes)[before - 1]
+    starts = np.flatnonzero(new)
+    for f, e in zip(found[starts].tolist(), found[np.append(starts[1:], len(found))[: len(starts)] - 1].tolist()):
+        inner = [cores[p] for p in places[f:e].tolist()]  # between the run's first and last blank
+        left, right = int(places[f - 1]), int(places[e])
+        if closes[f - 1]:
+            start, head = tuple(last[left].tolist()), ""
+        elif opens[f - 1]:
+            start, head = (CODE[tails[left][0]], CODE[tails[left][1]]), tails[left][2:]
+        else:
+            start, head = (0, 0), cores[left]
+        after = tuple(first[right].tolist()) if opens[e] else None
+        blanks, read = decoder.cut(start, " ".join([head, *inner, "" if after else cores[right]]), after, not after and bool(closes[e]))
+        if any(blanks):
+            joined[f : e + 1] = blanks
+            for k, x in zip(range(f - 1, e + 1), read):
+                if not opens[k] and not (closes[k] and k == f - 1):
+                    letters[k] = x
+
+    out, hit = [], np.flatnonzero(joined)
+    new = np.diff(hit, prepend=-2) > 1
+    for f, m in zip(hit[new].tolist(), np.diff(np.append(np.flatnonzero(new), len(hit))).tolist()):
+        parts = []
+        for k in range(f - 1, f + m):
+            word = int(places[k])
+            parts.append(letters[k] if k in letters else cores[word] if written[word] else decoder.decode(cores[word]))
+        if sum(map(bool, parts)) > 1:
+            out.append((int(np.searchsorted(bounds, f, "right") - 1), "".join(parts)))
     return out
 
 
@@ -160,8 +293,8 @@ def features(words: list[str]) -> np.ndarray:
 def _words_of(part: pa.RecordBatch, decoder: Decoder):
     """Feature buckets per distinct word, then (text, word) places."""
     words, places, bounds = coded_words(part.column("text"))
-    apart = spelled(words, places, bounds)
-    found = restored(words, decoder) + [decoder.decode(w) for _, w in apart]
+    apart = spelled(words, places, bounds, decoder)
+    found = restored(words, decoder) + [w for _, w in apart]
     text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
     text = np.concatenate([text, np.array([t for t, _ in apart], np.int64)])
     places = np.concatenate([places.astype(np.int64), np.arange(len(words), len(found))])

@@ -284,6 +284,26 @@ def test_decoder_restores_words():
     assert len(decoder.decode("m0r0n" * 400)) > 1000
 
 
+def test_spaced_words():
+    import pyarrow as pa
+
+    often = {"you": 300, "are": 300, "a": 300, "i": 200, "such": 50, "fat": 30, "ass": 60, "moron": 60, "idiot": 60, "the": 400, "and": 300, "very": 100, "red": 60, "area": 20, "arm": 20}
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    for w, n in often.items():
+        codes = [0, 0, *[toxicity.CODE[c] for c in w], 0]
+        for t in zip(codes, codes[1:], codes[2:]):
+            counts[t] += n
+    decoder = toxicity.Decoder(toxicity.character_costs(counts))
+    texts = {
+        "you are a m o r o n": ["moron"], "A m o r o n": ["moron"], "m o r o n i d i o t": ["moron", "idiot"], "you a s s and": ["ass"], "such id iot": ["idiot"],
+        "very m 0 r o n.": ["moron"], "mo r on": ["moron"], "you are a moron": [], "and i": [], "": [], "мо ро н": [], "- - -": [], None: [],
+    }
+    words, places, bounds = language.coded_words(pa.array(list(texts)))
+    got = toxicity.spelled(words, places, bounds, decoder)
+    assert [[w for t, w in got if t == k] for k in range(len(texts))] == list(texts.values())
+    assert toxicity.spelled(*language.coded_words(pa.array([None, ""], pa.string())), decoder) == []
+
+
 def test_toxicity(spark, documents):
     rng = random.Random(9)
     rows, labels = [], []
