@@ -361,3 +361,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert 1 not in left and 0 in left and 60 not in left  # contaminated; the first of its copies; a copy
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == left and sizes == sorted(sizes, reverse=True)
+
+
+def test_one_of_each_group_by_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    near = a + " added"
+    rows = [(4, a), (2, near), (2, near), (None, a), (None, b), (7, c), (7, c), (None, c), (None, d), (None, d), (None, d + " added"), (9, e), (9, "other " + b[:40]),
+            (20, ""), (20, ""), (21, ""), (22, None), (22, None), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()]
+    left = [r for r in kept if r[0] is not None or r[1] not in (d, d + " added")]
+    assert len(kept) - len(left) == 1  # one of three near copies without an id
+    want = [(2, near), (None, b), (7, c), (9, e), (9, "other " + b[:40]), (20, ""), (21, ""), (22, None), (None, None), (None, None)]
+    assert sorted(left, key=str) == sorted(want, key=str)
