@@ -122,6 +122,8 @@ def class_baselines(spark, folder):
 
 
 WIDTH = 64
+#: Background rows of the SHAP queries, as many as the reference's studies take.
+BACKGROUND = 100
 
 
 def _labelled(spark, folder):
@@ -141,19 +143,19 @@ SAME_SQL = "SELECT count(*) AS n, true AS routes_agree FROM embeddings"
 @query("random_forest", SAME_SQL)
 def random_forest(spark, folder):
     d = _labelled(spark, folder)
-    return _agree(M.random_forest(d, 10, 5), d)
+    return _agree(M.random_forest(d), d)
 
 
 @query("boosted_trees", SAME_SQL)
 def boosted_trees(spark, folder):
     d = _labelled(spark, folder)
-    return _agree(M.boosted_trees(d, 3, 3, 3), d)
+    return _agree(M.boosted_trees(d, 3), d)
 
 
 @query("feed_forward", SAME_SQL)
 def feed_forward(spark, folder):
     d = _labelled(spark, folder)
-    return _agree(M.feed_forward(d, WIDTH, 3, (6,), 20), d)
+    return _agree(M.feed_forward(d, WIDTH, 3), d)
 
 
 @query("single_feature_classifier", SAME_SQL)
@@ -166,7 +168,7 @@ def single_feature_classifier(spark, folder):
 def kernel_svm(spark, folder):
     """Class counts predicted by the kernel machine."""
     d = _labelled(spark, folder)
-    model, lift = M.kernel_svm(d, WIDTH, 32, iterations=10)
+    model, lift = M.kernel_svm(d, WIDTH)
     return M.score(model, d.withColumn("features", lift(F.col("features")))).groupBy("pred").agg(F.count("*").alias("n"))
 
 
@@ -177,7 +179,7 @@ def perturbation_detector(spark, folder):
     names = [f"x{i}" for i in range(WIDTH)]
     real = C.unpack(d.select("row_id", "features"), "features", names)
     shuffled = C.pack(R.marginal_shuffle(real, real, names), names)
-    model = M.perturbation_detector(d, shuffled, 5)
+    model = M.perturbation_detector(d, shuffled)
     both = d.select("row_id", "features", F.lit(0).alias("perturbed")).unionByName(
         shuffled.select("row_id", "features", F.lit(1).alias("perturbed")))
     return M.score(model, both).groupBy("perturbed").agg(F.avg(F.get("proba", F.lit(1))).alias("mean_alpha"))
@@ -249,7 +251,7 @@ def kernel_shap_repaired(spark, folder):
 @query("protocol_lime", "SELECT count(*) AS n, 4 AS width, true AS fitted FROM part")
 def protocol_lime(spark, folder):
     """Local surrogates of a linear score fit almost perfectly."""
-    x = X.protocol_lime(parts(spark, folder).select("row_id", *PART_FEATURES), PART_RULES, part_scorer(), 40, 1.0)
+    x = X.protocol_lime(parts(spark, folder).select("row_id", *PART_FEATURES), PART_RULES, part_scorer(), sigma=1.0)
     return x.agg(F.count("*").alias("n"), big(F.max(F.size("attrs"))).alias("width"),
                  (F.min("r_squared") > 0.9).alias("fitted"))
 
@@ -258,7 +260,7 @@ def protocol_lime(spark, folder):
 def quartile_lime(spark, folder):
     p = parts(spark, folder)
     bins = X.quartile_bins(p, list(PART_FEATURES))
-    x = X.quartile_lime(p, bins, flow_scorer(), 40, kept=3)
+    x = X.quartile_lime(p, bins, flow_scorer(), kept=3)
     nonzero = F.size(F.filter("attrs", lambda v: v != 0))
     return x.agg(F.count("*").alias("n"), big(F.max(F.size("attrs"))).alias("width"),
                  F.count(F.when(nonzero > 3, 1)).alias("beyond_kept"))
@@ -270,12 +272,12 @@ def stable_sample_count(spark, folder):
     p = parts(spark, folder)
     bins = X.quartile_bins(p, list(PART_FEATURES))
     explain = lambda count, run: X.quartile_lime(p, bins, flow_scorer(), count, 3, run=run)
-    return X.stable_sample_count(explain, (10, 20), 2, 0.85, 2)
+    return X.stable_sample_count(explain, top_k=2)
 
 
 def _forest(spark, folder):
     d = _labelled(spark, folder)
-    return d, M.export(M.random_forest(d, 5, 4)), X.background_matrix(X.background_rows(d, 20))
+    return d, M.export(M.random_forest(d)), X.background_matrix(X.background_rows(d, BACKGROUND))
 
 
 @query("tree_shap", "SELECT count(*) AS n, true AS additive FROM embeddings")
@@ -303,13 +305,13 @@ def tree_interactions(spark, folder):
 
 def _net(spark, folder):
     d = _labelled(spark, folder)
-    return d, M.export(M.feed_forward(d, WIDTH, 3, (6,), 20))
+    return d, M.export(M.feed_forward(d, WIDTH, 3))
 
 
 @query("deep_shap", "SELECT count(*) AS n, true AS additive FROM embeddings")
 def deep_shap(spark, folder):
     d, net = _net(spark, folder)
-    bg = X.background_matrix(X.background_rows(d, 20))
+    bg = X.background_matrix(X.background_rows(d, BACKGROUND))
     x = X.deep_shap(d, net, bg)
     logits = _logits(x, net)
     gap = F.abs(A.total(F.col("attrs")) + F.col("expected_value") - F.get("z", F.col("predicted_class").cast("int")))
@@ -420,7 +422,7 @@ def explainer_robustness(spark, folder):
     """Attributions of a linear score hardly move under rule-abiding mutations of the row."""
     p = parts(spark, folder).select("row_id", *PART_FEATURES)
     mutants = N.neighbourhood(p, PART_RULES, 3, 0.05).filter("sample > 0")
-    explain = lambda d: X.integrated_gradients(C.pack(d, list(PART_FEATURES)), flow_scorer(), 10)
+    explain = lambda d: X.integrated_gradients(C.pack(d, list(PART_FEATURES)), flow_scorer())
     r = Q.semantic_robustness(explain(p), explain(mutants.withColumnRenamed("sample", "copy")))
     return r.agg(F.count("*").alias("n"), (F.avg("robustness") > 0.7).alias("stable"))
 
@@ -460,8 +462,8 @@ def pgd_success(spark, folder):
     """The iterated attack, free and held to the rules."""
     scorer = flow_scorer()
     f = scaled_flows(spark, folder)
-    both = AT.adversarial_table(f, scorer, "unconstrained", fgsm_epsilons=(0.1,), steps=10).unionByName(
-        AT.adversarial_table(f, scorer, "constrained", ATTACK_RULES, SCALES, fgsm_epsilons=(0.1,), pgd_epsilons=(0.1,), steps=3))
+    both = AT.adversarial_table(f, scorer, "unconstrained").unionByName(
+        AT.adversarial_table(f, scorer, "constrained", ATTACK_RULES, SCALES))
     return R.attack_success(both)
 
 
@@ -469,7 +471,7 @@ def pgd_success(spark, folder):
 SELECT 0.05e0 AS epsilon, count(*) AS n, 0 AS outside FROM lineitem UNION ALL SELECT 0.1e0, count(*), 0 FROM lineitem""")
 def pgd_inside_ball(spark, folder):
     """Every attacked row stays in its ball and in [0, 1]."""
-    adv = AT.pgd(scaled_flows(spark, folder), flow_scorer(), (0.05, 0.1), 10)
+    adv = AT.pgd(scaled_flows(spark, folder), flow_scorer(), (0.05, 0.1))
     out = A.distance(F.col("features"), F.col("original"), "linf") > F.col("epsilon") + 1e-9
     out = out | (F.array_max("features") > 1) | (F.array_min("features") < 0)
     return adv.groupBy("epsilon").agg(F.count("*").alias("n"), F.count(F.when(out, 1)).alias("outside"))
@@ -480,11 +482,11 @@ def robustness_of_explainer(spark, folder):
     """Clean and attacked rows explained in one pass, then all three robustness metrics."""
     scorer = flow_scorer()
     f = scaled_flows(spark, folder)
-    adv = AT.fgsm(f, scorer, (0.05, 0.1)).select(
+    adv = AT.fgsm(f, scorer).select(
         F.lit("unconstrained").alias("mode"), "attack", "epsilon", "row_id", "features",
         A.argmax(scorer.proba(F.col("original"))).alias("pred_clean"),
         A.argmax(scorer.proba(F.col("features"))).alias("pred_adv"))
-    pairs = R.paired_explanations(f.select("row_id", "features"), adv, lambda d: X.integrated_gradients(d, scorer, 10))
+    pairs = R.paired_explanations(f.select("row_id", "features"), adv, lambda d: X.integrated_gradients(d, scorer))
     by = ["mode", "attack", "epsilon"]
     lip = R.lipschitz(pairs, by).select(*by, "lipschitz_max", "lipschitz_mean", "lipschitz_median")
     sim = R.explanation_similarity(pairs, by).select(*by, "similarity_satisfaction_rate", "cosine_similarity_mean")

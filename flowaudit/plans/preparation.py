@@ -763,12 +763,15 @@ def _train_test(rows):
 
 @query("iterative_pruning")
 def iterative_pruning(spark, folder):
-    """Pruning history on the embedding vectors (small forests)."""
+    """Pruning history on the embedding vectors, by the mean size of a forest's attributions on the training rows."""
+    from flowaudit.operators import explainers as X, models as M
     from flowaudit.plans.inputs import vectors
+    from flowaudit.plans.modelling import BACKGROUND
 
     train, val = _train_test(vectors(spark, folder))
-    importance = [1.0 / (i + 1) for i in range(64)]
-    kept, history = S.iterative_pruning(train, val, importance, 3, ratio=0.5, trees=5, depth=4)
+    shap = X.tree_shap(train, M.export(M.random_forest(train)), X.background_matrix(X.background_rows(train, BACKGROUND)))
+    importance = list(shap.agg(*[F.avg(F.abs(F.get("attrs", F.lit(i)))) for i in range(64)]).first())
+    kept, history = S.iterative_pruning(train, val, importance, 3)
     return spark.createDataFrame([(h["n_features"], float(h["f1"]), float(h["f1_drop"]), len(kept)) for h in history],
                                  "n_features int, f1 double, f1_drop double, kept int")
 
@@ -780,7 +783,7 @@ def model_benchmark(spark, folder):
     from flowaudit.plans.inputs import vectors
 
     train, test = _train_test(vectors(spark, folder))
-    fits = {"RF": lambda d: M.random_forest(d, 5, 4), "LR": lambda d: M.fit(M.LogisticRegression(maxIter=10), d)}
+    fits = {"RF": lambda d: M.random_forest(d), "LR": lambda d: M.fit(M.LogisticRegression(), d)}
     b = S.benchmark(train, test, 3, {"Full": list(range(64)), "Chi-Squared": [0, 3, 5]}, fits)
     return b.withColumn("method_class", S.method_class(F.col("selection_method")))
 

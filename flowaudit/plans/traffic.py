@@ -177,8 +177,12 @@ def _packet_features():
     return F.array(F.col("ip_ttl").cast("double"), F.col("ip_tos").cast("double"), F.col("ip_total_length").cast("double"))
 
 
+#: Perturbed packets a surrogate is fitted to, as many as row surrogates take by default.
+PACKET_SAMPLES = 5000
+
+
 def _packet_lime(spark, folder, seed):
-    near = P.packet_neighbourhood(packets(spark, folder), 30, 5.0, ["flow", "pkt_no"], group=["flow"], seed=seed)
+    near = P.packet_neighbourhood(packets(spark, folder), PACKET_SAMPLES, 5.0, ["flow", "pkt_no"], group=["flow"], seed=seed)
     return X.packet_lime(near, _packet_features(), PACKET_SCORER, ["flow"])
 
 
