@@ -109,3 +109,17 @@ def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
 
     records = fixity.warc_records(table(spark, folder, "pages"))
     return fixity.audit(records, fixity.damaged(records))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import runs
+
+    return runs.run_digest(runs.find_runs(runs.planted(table(spark, folder, "documents"))))
+
+
+@query
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import secrets
+
+    return secrets.span_digest(secrets.find_secrets(table(spark, folder, "documents")))
