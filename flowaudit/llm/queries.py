@@ -123,3 +123,11 @@ def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from flowaudit.llm import secrets
 
     return secrets.span_digest(secrets.find_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from flowaudit.llm import conversations
+
+    original = table(spark, folder, "conversations")
+    return conversations.repair_digest(original, conversations.repair(conversations.damaged(original)))
