@@ -73,6 +73,12 @@ def spread(spark: SparkSession, factor: int = 1) -> int:
     return factor * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of ``df`` (for files, their bytes); 0 where it knows nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
 # ---------------------------------------------------------------- texts inside tasks
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``limit`` bytes; a longer text is a part of its own."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowaudit.llm import common
 from flowaudit.llm.common import U64
@@ -16,6 +16,10 @@ from flowaudit.llm.common import U64
 LENGTHS = (2, 3, 4)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+#: Up to about so many different texts of a language all are candidates for the training sample.
+MANY_TEXTS = 32
+#: Text scored at once inside a task.
+SCORED_BYTES = 1 << 20
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +113,20 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs:
 
 
 def training_rows(documents: DataFrame, chosen: Column, train_rows: int) -> list:
-    """Subword shares of at most ``train_rows`` documents with a language, evenly over languages, by a hash of the text."""
-    known = documents.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(train_rows).collect()}
+    """Subword shares of at most ``train_rows`` documents with a language, evenly over languages, by a hash of the text.
+
+    The share taken of a language follows its number of different texts, so a language that consists of copies of a few texts gives all of them.
+    """
+    known = documents.where(chosen & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(train_rows).collect()}
     if not counts:
         return []
     each = max(1, train_rows // len(counts))
     rule = F.lit(False)
     for lang, n in counts.items():
-        rule = rule | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, each / n)) + 1))
+        # a language of few texts gives them all, so that none is left without a training row
+        share = 1.0 if n <= MANY_TEXTS else min(1.0, each / n)
+        rule = rule | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share) + 1))
 
     def shares(batches):
         for batch in batches:
@@ -132,12 +141,17 @@ def training_rows(documents: DataFrame, chosen: Column, train_rows: int) -> list
                     for w, n in zip(used.tolist(), times.tolist()):
                         np.add.at(sums, found[starts[w] : starts[w + 1]], n)
                     hit = np.flatnonzero(sums)
-                    buckets.append(hit.tolist())
-                    share.append((sums[hit] / max(1, sums.sum())).tolist())
+                    buckets.append(hit.astype(np.int32))
+                    share.append((sums[hit] / max(1, sums.sum())).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), part.column("lang")], ["buckets", "shares", "lang"])
 
     # a group of exact copies shares one hash, so it would be chosen as a whole: copies count once
-    taken = known.where(rule).dropDuplicates(["text", "lang"]).limit(train_rows).mapInArrow(shares, "buckets array<int>, shares array<float>, lang string").toArrow()
+    chosen_rows = known.where(rule).dropDuplicates(["text", "lang"])
+    # the bound cuts by a place within the language, so that no language is cut off whole
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
+    first = chosen_rows.withColumn("place", place).orderBy("place", "lang").limit(train_rows).select("text", "lang")
+    spread = first.repartition(common.spread(documents.sparkSession), "text")
+    taken = spread.mapInArrow(shares, "buckets array<int>, shares array<float>, lang string").toArrow()
     taken = taken.combine_chunks()  # flat arrays: Python lists of the same numbers would take ten times the memory
     rows = []
     for batch in taken.to_batches():
@@ -165,7 +179,7 @@ def identify(documents: DataFrame, chosen: Column, train_rows: int = 2400) -> Da
     def predict(batches):
         m = model.value
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=SCORED_BYTES):
                 words, places, bounds = coded_words(part.column("text"))
                 lettered = pc.fill_null(pc.match_substring_regex(part.column("text").cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 n = part.num_rows
@@ -177,9 +191,8 @@ def identify(documents: DataFrame, chosen: Column, train_rows: int = 2400) -> Da
                     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
                     if len(words):
                         own = np.add.reduceat(m.scores[found], begin, axis=0)  # each word has a subword: its two borders
-                    sums = np.zeros((len(places) + 1, own.shape[1] + 1))
-                    np.cumsum(np.column_stack([own, sizes])[places], axis=0, out=sums[1:])
-                    text = sums[bounds[1:]] - sums[bounds[:-1]]
+                    owner = np.repeat(np.arange(n), np.diff(bounds))
+                    text = np.column_stack([np.bincount(owner, own[places, k], n) for k in range(own.shape[1])] + [np.bincount(owner, sizes[places], n)])
                     p = m.probabilities(text[:, :-1] / np.maximum(text[:, -1:], 1))
                     top = p.argmax(axis=1)
                     best = np.where(lettered, p[np.arange(n), top], 0.0)

@@ -15,8 +15,10 @@ from flowaudit.llm.tokens import Encoder
 #: Written uncompressed stripes of about this size; one reading task takes whole stripes.
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+#: Stored (compressed) input of one file.
+FILE_BYTES = 64 << 20
 #: Text encoded at once; larger parts repeat more words.
-ENCODED_BYTES = 12 << 20
+ENCODED_BYTES = 4 << 20
 
 
 @cache
@@ -32,7 +34,7 @@ def write_token_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int
     Null texts are empty (the end id only), rows without doc_id come first, repeated rows stay, columns
     other than doc_id and text are ignored, an empty table gives no rows.
     """
-    n = partitions or common.spread(documents.sparkSession)
+    n = partitions or max(common.spread(documents.sparkSession), common.estimated_bytes(documents) // FILE_BYTES)
 
     def encode(batches):
         encoder = _encoder(tokenizer, True)
@@ -78,6 +80,7 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
     files = stored.groupBy("part").agg(F.sum("n_tokens").alias("held"))  # as many rows as files
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
+    # rows that repeat an id differ at most in their text; ties go by length, then checksum, whatever order they are read in
+    inside = W.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
     return rows.join(F.broadcast(files), "part").select(
         "doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")

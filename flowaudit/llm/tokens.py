@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts remembered by a worker; a longer list is forgotten and built anew.
-REMEMBERED = 1_000_000
+#: Bytes that a worker's remembered parts may take, all in all; beyond it they are forgotten and built anew.
+REMEMBERED_BYTES = 24 << 20
+#: About what a remembered part takes besides its characters and ids, and the longest part worth it.
+PART_BYTES, LONGEST = 160, 64
 #: Letters that stay single through normalization; the tokenizers' patterns cut between them and the signs.
 LETTERS = "".join(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
 SIMPLE = re.compile(rf"( ?)([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
@@ -22,7 +23,7 @@ class Encoder:
 
     Neither pre-tokenizer joins characters across a single blank between other characters, so a text is
     cut at its blanks, every distinct part is encoded once and the ids are put together by position. Texts
-    with two blanks in a row are encoded as they are (white space may join there).
+    with two blanks in a row (white space may join there) or with the first signs of a special token are encoded as they are.
     """
 
     def __init__(self, path: str, keep_blank: bool):
@@ -31,60 +32,83 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.keep_blank, self.known, self.words, self.signs = keep_blank, {}, {}, {"": []}
+        self.keep_blank = keep_blank
         levels = ByteLevel(add_prefix_space=False, use_regex=False)
         lower = self.tokenizer.normalizer is not None
         self.bytes = str.maketrans({c: levels.pre_tokenize_str(c.lower() if lower else c)[0][0] for c in LETTERS + " "})
-        self.flat, self.start = np.empty(1 << 20, np.int32), np.zeros(1, np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # place of a part's ids
+        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.flat, self.start, self.held, self.passing = np.empty(0, np.int32), np.zeros(1, np.int64), 0, []
 
     def whole(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _encode(self, parts: list[str]) -> list[list[int]]:
+    def _remember(self, store: dict, part: str, ids: list[int]) -> bytes:
+        raw = np.array(ids, np.int32).tobytes()
+        if len(part) <= LONGEST:
+            store[part] = raw
+            self.held += PART_BYTES + len(part) + len(raw)
+        return raw
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part; a plain word with signs behind it goes straight to the model, which is faster."""
         out, odd, words, signs, model = [], [], self.words, self.signs, self.tokenizer.model
-        if len(words) > REMEMBERED:
-            words.clear()
         for i, part in enumerate(parts):
             found = SIMPLE.fullmatch(part)
             if found is None:
                 odd.append(i)
-                out.append([])
+                out.append(b"")
                 continue
             blank, letters, tail = found.groups()
             word = blank + letters
             ids = words.get(word)
             if ids is None:
-                ids = words[word] = [t.id for t in model.tokenize(word.translate(self.bytes))]
-            if tail not in signs:
-                signs[tail] = self.whole([tail])[0]
-            out.append(ids + signs[tail] if tail else ids)
+                ids = self._remember(words, word, [t.id for t in model.tokenize(word.translate(self.bytes))])
+            if tail:
+                end = signs.get(tail)
+                if end is None:
+                    end = self._remember(signs, tail, self.whole([tail])[0])
+                ids += end
+            out.append(ids)
         for i, ids in zip(odd, self.whole([parts[i] for i in odd])):
-            out[i] = ids
+            out[i] = np.array(ids, np.int32).tobytes()
         return out
 
     def _places(self, parts: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known, self.start = {}, np.zeros(1, np.int32)
+        """Where the ids of each part lie; long parts stay known until the next call only."""
+        if self.held > REMEMBERED_BYTES:
+            self.forget()
+        for part in self.passing:
+            del self.known[part]
+        keep = len(self.start) - len(self.passing)
+        self.start = self.start[:keep]
+        self.flat = self.flat[: self.start[-1]]
         known = self.known
         new = [p for p in parts if p not in known]
         if new:
+            new.sort(key=lambda p: len(p) > LONGEST)  # passing parts last, so that they can be cut off
+            self.passing = [p for p in new if len(p) > LONGEST]
             ids = self._encode(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             end = self.start[-1]
-            if end + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat[:end], np.empty(len(self.flat) + len(flat), np.int32)])
-            self.flat[end : end + len(flat)] = flat
-            known.update(zip(new, range(len(self.start) - 1, len(self.start) - 1 + len(new))))
-            self.start = np.concatenate([self.start, (end + np.cumsum(sizes)).astype(np.int32)])
-        return np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
+            first = len(self.start) - 1
+            known.update(zip(new, range(first, first + len(new))))
+            self.start = np.concatenate([self.start, end + np.cumsum(sizes)])
+            short = len(new) - len(self.passing)
+            self.held += PART_BYTES * short + 5 * int(sizes[:short].sum()) + sum(map(len, new[:short]))
+        else:
+            self.passing = []
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, position where each text begins, with the end); null is the empty text."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
-        odd = pc.match_substring(column, "  ").to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, "<|")).to_numpy(zero_copy_only=False)
         if odd.any():
             plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), column)
         else:
@@ -106,12 +130,12 @@ class Encoder:
         place = self._places(parts)
         begin = self.start[place]
         size = (self.start[place + 1] - begin)[index]
-        total = np.zeros(len(size) + 1, np.int32)
+        total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         step = np.repeat(begin[index] - total[:-1], size)
-        step += np.arange(len(step), dtype=np.int32)
+        step += np.arange(len(step))
         ids = self.flat[step]
-        bounds = total[offsets].astype(np.int64)
+        bounds = total[offsets]
         if odd.any():
             pieces = np.split(ids, bounds[1:-1])
             which = np.flatnonzero(odd).tolist()
