@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that a worker's remembered parts may take, all in all; beyond it they are forgotten and built anew.
-REMEMBERED_BYTES = 24 << 20
-#: About what a remembered part takes besides its characters and ids, and the longest part worth it.
-PART_BYTES, LONGEST = 160, 64
+#: Bytes, by a generous estimate, that a worker's remembered parts may take; beyond it they are forgotten and built anew.
+REMEMBERED_BYTES = 192 << 20
+#: About what a remembered part takes with its ids and its place in a table, and the longest part worth it.
+PART_BYTES, LONGEST = 200, 64
 #: Letters that stay single through normalization; the tokenizers' patterns cut between them and the signs.
 LETTERS = "".join(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
 SIMPLE = re.compile(rf"( ?)([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
@@ -42,21 +43,14 @@ class Encoder:
         self.known: dict[str, int] = {}  # place of a part's ids
         self.words: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
-        self.flat, self.start, self.held, self.passing = np.empty(0, np.int32), np.zeros(1, np.int64), 0, []
+        self.flat, self.start, self.held, self.passing = np.empty(0, np.int32), np.zeros(1, np.int32), 0, []
 
     def whole(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _remember(self, store: dict, part: str, ids: list[int]) -> bytes:
-        raw = np.array(ids, np.int32).tobytes()
-        if len(part) <= LONGEST:
-            store[part] = raw
-            self.held += PART_BYTES + len(part) + len(raw)
-        return raw
-
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part; a plain word with signs behind it goes straight to the model, which is faster."""
-        out, odd, words, signs, model = [], [], self.words, self.signs, self.tokenizer.model
+        out, odd, words, signs, tokenize, before = [], [], self.words, self.signs, self.tokenizer.model.tokenize, len(self.words)
         for i, part in enumerate(parts):
             found = SIMPLE.fullmatch(part)
             if found is None:
@@ -67,15 +61,21 @@ class Encoder:
             word = blank + letters
             ids = words.get(word)
             if ids is None:
-                ids = self._remember(words, word, [t.id for t in model.tokenize(word.translate(self.bytes))])
+                ids = array("i", [t.id for t in tokenize(word.translate(self.bytes))]).tobytes()
+                if len(word) <= LONGEST:
+                    words[word] = ids
             if tail:
                 end = signs.get(tail)
                 if end is None:
-                    end = self._remember(signs, tail, self.whole([tail])[0])
+                    end = array("i", self.whole([tail])[0]).tobytes()
+                    if len(tail) <= LONGEST:
+                        signs[tail] = end
+                        self.held += PART_BYTES
                 ids += end
             out.append(ids)
+        self.held += (len(words) - before) * PART_BYTES
         for i, ids in zip(odd, self.whole([parts[i] for i in odd])):
-            out[i] = np.array(ids, np.int32).tobytes()
+            out[i] = array("i", ids).tobytes()
         return out
 
     def _places(self, parts: list[str]) -> np.ndarray:
@@ -98,12 +98,12 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
             first = len(self.start) - 1
             known.update(zip(new, range(first, first + len(new))))
-            self.start = np.concatenate([self.start, end + np.cumsum(sizes)])
+            self.start = np.concatenate([self.start, (end + np.cumsum(sizes)).astype(np.int32)])
             short = len(new) - len(self.passing)
-            self.held += PART_BYTES * short + 5 * int(sizes[:short].sum()) + sum(map(len, new[:short]))
+            self.held += short * PART_BYTES
         else:
             self.passing = []
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        return np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, position where each text begins, with the end); null is the empty text."""
@@ -130,12 +130,12 @@ class Encoder:
         place = self._places(parts)
         begin = self.start[place]
         size = (self.start[place + 1] - begin)[index]
-        total = np.zeros(len(size) + 1, np.int64)
+        total = np.zeros(len(size) + 1, np.int32)
         np.cumsum(size, out=total[1:])
         step = np.repeat(begin[index] - total[:-1], size)
-        step += np.arange(len(step))
+        step += np.arange(len(step), dtype=np.int32)
         ids = self.flat[step]
-        bounds = total[offsets]
+        bounds = total[offsets].astype(np.int64)
         if odd.any():
             pieces = np.split(ids, bounds[1:-1])
             which = np.flatnonzero(odd).tolist()

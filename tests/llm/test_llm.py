@@ -109,14 +109,13 @@ def vocabulary(name):
     return str(pytest.importorskip("public_tokenizers").path(name))
 
 
-ODD = ["a  b", " x", "x ", None, "", "foo \n bar", "foo\n bar", "a   b", "don't it's 12,5", "<|endoftext|> a", "É́ x ß", "  ", "Zürich%%% AB.,"]
+ODD = ["a  b", " x", "x ", None, "", "foo \n bar", "foo\n bar", "a   b", "don't it's 12,5", "<|endoftext|> a", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "w" * 300 + " " + "w" * 300, "É́ x ß", "  ", "Zürich%%% AB.,"]
 
 
 def plain_ids(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
