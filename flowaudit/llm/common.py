@@ -75,7 +75,7 @@ def spread(spark: SparkSession, factor: int = 1) -> int:
 
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimizer takes for the size of ``df`` (for files, their bytes); 0 where it knows nothing."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 

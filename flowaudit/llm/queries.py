@@ -108,7 +108,11 @@ def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     from flowaudit.llm import fixity
 
     records = fixity.warc_records(table(spark, folder, "pages"))
-    return fixity.audit(records, fixity.damaged(records))
+    record = F.col("record")
+    placed = fixity.placed(records, first=record, second=fixity.damaged(record, F.col("page_id")))
+    placed = common.Workspace(spark, "fixity-leaves").table(placed, "leaves")
+    sides = [placed.select("archive", "offset", F.col(n).alias("hash")) for n in ("first", "second")]
+    return fixity.audit(*sides)
 
 
 @query

@@ -39,55 +39,69 @@ def near_duplicates(
     vectors are one vector with a count. Large buckets are cut into blocks of BLOCK; a task compares two
     blocks and returns a count and one tree edge per vector, never the pairs.
 
-    Defined results: null, zero or non-finite vectors, and vectors of another dimension than the most
-    frequent one, link with nothing and are kept; a null vec_id is kept without component; other columns are ignored.
+    Vectors of different dimension never share a bucket; each dimension has its own projections.
+
+    Defined results: null, empty, zero or non-finite vectors link with nothing and are kept; a null vec_id is kept without component;
+    rows that repeat a vec_id with its vector count once among links and each get a row; an empty table gives an empty one; other columns are ignored.
     """
     spark = vectors.sparkSession
     work = common.Workspace(spark, "vectors")
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = sizes[0] if sizes else 0
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0)
+    usable = ~bad & F.exists("v", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
     same = work.table(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("copies")), "same")
-    if dim == 0 or same.isEmpty():
+    if same.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     def keys(batches):
-        plane, shift = projections(dim, tables, width)
+        planes = {}
+        lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), t))
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy().reshape(-1, dim)
-            v = v / np.abs(v).max(axis=1, keepdims=True)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            made = _mixed(np.floor(v @ plane / cell + shift), tables, width)
-            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), t))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), lists(v, pa.float64()), lists(made, pa.int32())], ["id", "copies", "v", "keys"])
-
-    hashed = work.table(same.mapInArrow(keys, "id long, copies long, v array<double>, keys array<int>"), "hashed")
-    members = hashed.select("id", F.posexplode("keys").alias("t", "key"))
-    full = members.groupBy("t", "key").agg(F.count("*").alias("held")).where("held > 1")
+            sizes = np.diff(batch.column("v").offsets.to_numpy())
+            for dim in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dim))
+                if dim not in planes:
+                    planes[dim] = projections(dim, tables, width)
+                plane, shift = planes[dim]
+                v = part.column("v").flatten().to_numpy().reshape(-1, dim)
+                v = v / np.abs(v).max(axis=1, keepdims=True)
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                made = _mixed(np.floor(v @ plane / cell + shift), tables, width)
+                d = pa.array(np.full(len(v), dim, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), d, lists(v, pa.float64()), lists(made, pa.int32())], ["id", "copies", "d", "v", "keys"])
+
+    hashed = work.table(same.mapInArrow(keys, "id long, copies long, d int, v array<double>, keys array<int>"), "hashed")
+    members = hashed.select("id", "d", F.posexplode("keys").alias("t", "key"))
+    full = members.groupBy("d", "t", "key").agg(F.count("*").alias("held")).where("held > 1")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    placed = members.join(full, ["t", "key"]).withColumn("blocks", blocks).withColumn("own", own)
-    placed = placed.select("id", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    placed = placed.select("id", "t", F.xxhash64("t", "key", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "own", (F.col("own") == F.col("with")).alias("within"))
+    placed = members.join(full, ["d", "t", "key"]).withColumn("blocks", blocks).withColumn("own", own)
+    placed = placed.select("id", "d", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    placed = placed.select("id", "t", F.xxhash64("d", "t", "key", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "own", (F.col("own") == F.col("with")).alias("within"))
     # a block pair {x, y} gets block x from "with = y" and block y from "with = x"; {x, x} gets x once
-    carried = placed.join(hashed, "id").repartition(common.spread(spark, 2), "cell").sortWithinPartitions("cell", "own")
+    carried = placed.join(hashed, "id").repartition(common.spread(spark, 2), "cell").sortWithinPartitions("d", "cell", "own")
 
     def links(batches):
         rest = None
         for batch in batches:
             now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            cells = now.column("cell").to_numpy()
-            end = int(np.searchsorted(cells, cells[-1], "left"))  # the last cell may go on in the next batch
+            cells, d = now.column("cell").to_numpy(), now.column("d").to_numpy()
+            ends = np.flatnonzero((cells[1:] != cells[:-1]) | (d[1:] != d[:-1])) + 1
+            end = int(ends[-1]) if len(ends) else 0  # the last cell may go on in the next batch
             rest = now.slice(end)
-            if end:
-                yield from compare(now.slice(0, end))
-        if rest is not None and rest.num_rows:
-            yield from compare(rest)
-
-    def compare(rows):
+            yield from by_dimension(now.slice(0, end))
+        if rest is not None:
+            yield from by_dimension(rest)
+
+    def by_dimension(rows):
+        d = rows.column("d").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(d)) + 1).tolist(), len(d)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield from compare(rows.slice(a, b - a), int(d[a]))
+
+    def compare(rows, dim):
         rows = rows.combine_chunks()
         cells, t = rows.column("cell").to_numpy(), rows.column("t").to_numpy()
         ids, copies, part = rows.column("id").to_numpy(), rows.column("copies").to_numpy(), rows.column("own").to_numpy()
@@ -132,7 +146,7 @@ def near_duplicates(
         hit = count > 0
         yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(count[hit]), pa.array(ids[parent[hit]])], ["id", "links", "root"])
 
-    found = work.table(carried.select("id", "t", "cell", "own", "within", "copies", "v", "keys").mapInArrow(links, "id long, links long, root long"), "links")
+    found = work.table(carried.select("id", "d", "t", "cell", "own", "within", "copies", "v", "keys").mapInArrow(links, "id long, links long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = common.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), work)
     joined = good.join(same.select("v", "id", "copies"), "v").select("vec_id", "id", "copies").distinct()

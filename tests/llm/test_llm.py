@@ -219,7 +219,20 @@ def test_vectors(spark, monkeypatch):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_dimensions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(2).tolist()) for i in range(60)]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [1.01, 2.0, 3.0]), (102, [3.0, -2.0, 1.0]), (103, [1.0, 2.0, 3.0]), (104, [5.0]), (105, [7.0]), (106, [])]
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        close = [j for j, w in rows if j != i and len(w) == len(v) and v and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9]
+        if i >= 100:
+            assert got[i].n_links == len(close) and got[i].component_id == min([i, *close])
+    assert sum(r.n_links for r in got.values()) > 60
+
+
 def test_pii_base_spans():
+    assert [s for s in pii.base_spans("0" * 5000 + "1.2.3.4 " + "9" * 5000 + ".1.1.1") if s[0] == "ip"] == [("ip", 0, 5007)]
     rng = random.Random(6)
     patterns = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
                 ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x) <= 255 for x in m.split("."))),
@@ -329,19 +342,47 @@ def test_fixity(spark):
     rows = [(k, f"http://h/{k % 7}", "x" * (k * 37 % 900)) for k in range(2500)] + [(3, None, None), (None, "u", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("hash", F.lit("clash"))
     records = fixity.warc_records(pages)
-    kept = {(r.archive, r.offset): bytes(r.record) for r in records.collect()}
-    assert len(kept) == 2501
-    at = dict.fromkeys(range(3), 0)
-    for (archive, offset), record in sorted(kept.items()):  # offsets follow one another
-        assert offset == at[archive]
-        at[archive] += len(record)
-    other = fixity.damaged(records)
-    copy = {(r.archive, r.offset): bytes(r.record) for r in other.collect()}
-    want = {k for k in kept if copy.get(k) != kept[k]}
-    got = fixity.audit(records, other)
-    assert {(r.archive, r.offset) for r in got.collect()} == want and want
-    assert fixity.audit(records, records).count() == 0
-    assert fixity.audit(records.limit(0), records.limit(0)).count() == 0
+    record = F.col("record")
+    both = fixity.placed(records, first=record, second=fixity.damaged(record, F.col("page_id"))).cache()
+    kept = {(r.archive, r.page_id, r.tie): bytes(r.record) for r in records.collect()}
+    assert both.count() == 2501
+    at, seen = dict.fromkeys(range(3), 0), 0
+    placed = {(r.archive, r.offset): r for r in both.collect()}
+    for (archive, _, _), data in sorted(kept.items()):  # offsets follow one another
+        r = placed[archive, at[archive]]
+        seen += r.first == hashlib.sha256(data).hexdigest()
+        at[archive] += len(data)
+    assert seen >= 2500  # two rows repeat an id and may swap
+    sides = [both.select("archive", "offset", F.col(n).alias("hash")) for n in ("first", "second")]
+    want = {(r.archive, r.offset) for r in placed.values() if r.first != r.second}
+    got = fixity.audit(*sides).collect()
+    assert {(r.archive, r.offset) for r in got} == want and any(r.second_hash is None for r in got)
+    assert fixity.audit(sides[0], sides[0]).count() == 0
+    assert fixity.audit(sides[0].limit(0), sides[0].limit(0)).count() == 0
+
+
+def test_fixity_descends(spark):
+    """Shifted, lost, added, swapped and changed leaves against a plain comparison; compared nodes follow the damage."""
+    base = {(a, 900 * k): f"h{a}-{k}" for a in range(3) for k in range(1500)}
+
+    def leaves(rows):
+        return spark.createDataFrame([(a, o, h) for (a, o), h in rows.items()], "archive long, offset long, hash string")
+
+    def differing(x, y):
+        return {(a, o, x.get((a, o)), y.get((a, o))) for a, o in x.keys() | y.keys() if x.get((a, o)) != y.get((a, o))}
+
+    swapped = base | {(1, 900): base[1, 1800], (1, 1800): base[1, 900]}
+    cases = {
+        "changed": base | {(0, 9000): "other"}, "lost": {k: h for k, h in base.items() if k != (2, 0)}, "added": base | {(1, 5): "new"},
+        "swapped": swapped, "shifted": {(a, o + 5 if a == 2 else o): h for (a, o), h in base.items()}, "archive": {k: h for k, h in base.items() if k[0]}}
+    compared = {}
+    for name, other in cases.items():
+        got = fixity.audit(leaves(base), leaves(other)).collect()
+        assert {(r.archive, r.offset, r.first_hash, r.second_hash) for r in got} == differing(base, other), name
+        compared[name] = sum({r.archive: r.compared for r in got}.values())
+    nodes = 1500 + 21 + 2 + 1 + 1
+    assert compared["changed"] < 150 and compared["lost"] < 150 and compared["added"] < 150 and compared["swapped"] < 150  # of 1500 leaves
+    assert compared["shifted"] > nodes
 
 
 def test_pipeline_stages(spark, tmp_path):
