@@ -181,7 +181,7 @@ class Tree:
 
 @dataclass(frozen=True)
 class TreeScorer(Scorer):
-    """Sum of weighted trees, then ``link``: identity (forest) or the boosted logit."""
+    """Sum of weighted trees, then ``link``: identity (forest), softmax over class margins, or the boosted logit of two classes."""
 
     trees: tuple = field(repr=False)
     weights: tuple = field(repr=False)
@@ -201,6 +201,8 @@ class TreeScorer(Scorer):
         raw = self.predict_raw(x)
         if self.link == "identity":
             return raw
+        if self.link == "softmax":
+            return np_softmax(raw)
         p = np_sigmoid(2.0 * raw[:, :1])
         return np.hstack([1.0 - p, p])
 
@@ -236,10 +238,12 @@ def random_forest(df: DataFrame, trees: int = 100, depth: int = 10, seed: int =
 
 
 def boosted_trees(df: DataFrame, classes: int, rounds: int = 300, depth: int = 8, rate: float = 0.1,
-                  subsample: float = 0.8, seed: int = 42, **kw):
-    """Gradient-boosted trees; one model per class when there are more than two."""
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)
-    return fit(gbt if classes == 2 else _one_vs_rest(gbt), df, **kw)
+                  subsample: float = 0.8, seed: int = 42, features: str = "features", label: str = "y", **kw):
+    """Gradient-boosted trees for all classes at once (softmax loss), on binned features."""
+    from flowaudit.operators import boosting
+
+    train = df.withColumnsRenamed({features: "features", label: "y"})
+    return boosting.fit(train, boosting.Boosting(classes, rounds, depth, rate, subsample, seed=seed, **kw))
 
 
 def _one_vs_rest(binary):
@@ -299,8 +303,10 @@ def score(model, df: DataFrame, features: str = "features") -> DataFrame:
     """JVM-side scoring: adds ``proba array<double>`` and ``pred``.
 
     One-vs-rest models give raw scores only; they pass through a sigmoid
-    (boosted: 2 x raw) and are renormalised.
+    (boosted: 2 x raw) and are renormalised.  Models fitted on histograms are scored in Arrow batches.
     """
+    if hasattr(model, "scorer"):
+        return df.withColumn("proba", model.scorer.proba(F.col(features))).withColumn("pred", A.argmax(F.col("proba")).cast("int"))
     out = model.transform(with_vector(df, features))
     if "probability" in out.columns:
         p = vector_to_array("probability")
@@ -343,6 +349,8 @@ def _class_share(classes: int):
 
 def export(model) -> Scorer:
     """The fitted Spark ML model as a scorer usable inside tasks."""
+    if hasattr(model, "scorer"):
+        return model.scorer
     name = type(model).__name__
     if name == "RandomForestClassificationModel":
         trees = tuple(_export_tree(t, _class_share(model.numClasses)) for t in model._java_obj.trees())

@@ -146,10 +146,20 @@ def random_forest(spark, folder):
     return _agree(M.random_forest(d), d)
 
 
-@query("boosted_trees", SAME_SQL)
+@query("boosted_trees", """
+SELECT count(*) AS n, 300 AS rounds, round(ln(3e0), 6) AS loss_at_start, true AS loss_falls, true AS loss_is_scored, true AS beats_majority FROM embeddings""")
 def boosted_trees(spark, folder):
+    """Before the first round all three classes are equally likely; the last loss is that of the exported trees."""
     d = _labelled(spark, folder)
-    return _agree(M.boosted_trees(d, 3), d)
+    model = M.boosted_trees(d, 3)
+    start, end = model.history[0], model.history[-1]
+    scored = M.score(model, d)
+    loss = F.avg(-F.log(F.get("proba", F.col("y").cast("int"))))
+    largest = d.groupBy("y").count().agg(F.max("count").alias("largest"))
+    out = scored.agg(F.count("*").alias("n"), loss.alias("loss"), F.count(F.when(F.col("pred") == F.col("y"), 1)).alias("hits")).crossJoin(F.broadcast(largest))
+    return rounded(out.select(
+        "n", F.lit(len(model.history) - 1).cast("bigint").alias("rounds"), F.lit(start).alias("loss_at_start"), F.lit(end < start).alias("loss_falls"),
+        (F.abs(F.col("loss") - end) < 1e-9).alias("loss_is_scored"), (F.col("hits") > F.col("largest")).alias("beats_majority")))
 
 
 @query("feed_forward", SAME_SQL)
