@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowaudit.llm import common
-from flowaudit.llm.token_store import ENCODED_BYTES, _encoder
+from flowaudit.llm.token_store import ENCODED_BYTES, encoder_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Items packed by one task of a round; rounds merge until one group of this size holds all open bins.
@@ -25,21 +25,23 @@ def token_pieces(documents: DataFrame, tokenizer: str, size: int = 2048, end_id:
     """
 
     def cut(batches):
-        encoder = _encoder(tokenizer, False)
-        for batch in batches:
-            for part in common.slices(batch, limit=ENCODED_BYTES):
-                ids, bounds = encoder(part.column("text"))
-                ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
-                bounds = bounds + np.arange(len(bounds))
-                raw, rows = ids.tobytes(), []
-                for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                    for k, s in enumerate(range(a, b, size)):
-                        e = min(s + size, b)
-                        rows.append((doc, k, s - a, e - s, zlib.crc32(raw[4 * s : 4 * e])))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with encoder_of(tokenizer, False) as encoder:
+            for batch in batches:
+                for part in common.slices(batch, limit=ENCODED_BYTES):
+                    yield pieces_of(part, *encoder(part.column("text")))
+
+    def pieces_of(part, ids, bounds):
+        ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+        bounds = bounds + np.arange(len(bounds))
+        raw, rows = ids.tobytes(), []
+        for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            for k, s in enumerate(range(a, b, size)):
+                e = min(s + size, b)
+                rows.append((doc, k, s - a, e - s, zlib.crc32(raw[4 * s : 4 * e])))
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+            ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return documents.select("doc_id", "text").mapInArrow(cut, PIECES)
 

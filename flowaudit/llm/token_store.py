@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -26,6 +27,17 @@ def _encoder(path: str, keep_blank: bool) -> Encoder:
     return Encoder(path, keep_blank)
 
 
+@contextmanager
+def encoder_of(path: str, keep_blank: bool):
+    """The worker's encoder for one task. What it remembers is dropped at the end: a task's text is enough to fill it again, and idle workers stay small."""
+    encoder = _encoder(path, keep_blank)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+        common.release_memory()
+
+
 def write_token_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, partitions: int | None = None) -> None:
     """Encode whole texts and write (doc_id, n_tokens, part, ids) as ORC, ascending by doc_id.
 
@@ -37,15 +49,15 @@ def write_token_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int
     n = partitions or max(common.spread(documents.sparkSession), common.estimated_bytes(documents) // FILE_BYTES)
 
     def encode(batches):
-        encoder = _encoder(tokenizer, True)
-        for batch in batches:
-            for part in common.slices(batch, limit=ENCODED_BYTES):
-                ids, bounds = encoder(part.column("text"))
-                ids = np.insert(ids, bounds[1:], end_id)
-                bounds = (bounds + np.arange(len(bounds))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), part.column("part"),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))], ["doc_id", "n_tokens", "part", "ids"])
+        with encoder_of(tokenizer, True) as encoder:
+            for batch in batches:
+                for part in common.slices(batch, limit=ENCODED_BYTES):
+                    ids, bounds = encoder(part.column("text"))
+                    ids = np.insert(ids, bounds[1:], end_id)
+                    bounds = (bounds + np.arange(len(bounds))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), part.column("part"),
+                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))], ["doc_id", "n_tokens", "part", "ids"])
 
     ordered = documents.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     rows = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(encode, "doc_id long, n_tokens long, part int, ids array<int>")
