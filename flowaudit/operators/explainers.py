@@ -1,23 +1,25 @@
 """Explainers as batch jobs over rows ``(row_id, features array<double>, ...)``.
 
 Spark partitions the rows; model parameters and the bounded background sample
-travel with the task.  Neighbourhoods and coalitions are built, repaired and
-scored as DataFrame columns, and all copies of a row stay in the row's partition.
+travel with the task.  Neighbourhoods and coalitions are drawn, repaired, scored and summed
+inside the Arrow batch of their row; only packet and pool neighbourhoods are tables of copies.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowaudit.functions import arrays as A, hashing as H, kernels as K
+from flowaudit.functions import arrays as A, hashing as H, kernels as K, samples as S
 from flowaudit.functions.tables import exact_quantiles, local_rows, long_form
-from flowaudit.operators.constraints import enforce, pack, unpack
+from flowaudit.operators.constraints import pack
 from flowaudit.operators.models import Scorer, TreeScorer
 from flowaudit.operators.neighbors import neighbourhood, spread_by_key
+from flowaudit.operators.rule_program import RuleProgram
 from flowaudit.operators.schemas import FlowSchema
 
 MAX_BACKGROUND = 1000
@@ -245,19 +247,60 @@ def _surrogate(scored: DataFrame, kernel_width: float | None, halve: bool, alpha
     return scored.groupBy(*group).applyInArrow(solve, schema)
 
 
+#: Cells (copies x features) of a batch part that a task holds at once.
+COPY_CELLS = 1 << 20
+
+
+def _row_parts(rows: int, cells_per_row: int):
+    """Slices of a batch's rows of about COPY_CELLS cells."""
+    step = max(1, COPY_CELLS // max(1, cells_per_row))
+    return [slice(a, min(rows, a + step)) for a in range(0, rows, step)]
+
+
 def protocol_lime(rows: DataFrame, schema: FlowSchema, scorer, samples: int = 5000, sigma=0.1, pools=None,
                   kernel_width: float | None = None, alpha: float = 1.0, seed: int = 42,
                   class_to_explain: int | None = None, key: str = "PA-LIME") -> DataFrame:
     """Local ridge surrogate on a rule-abiding neighbourhood of every row.
 
-    ``rows(row_id, <feature columns>)``.
+    ``rows(row_id, <feature columns>)``.  The copies of a row are drawn, repaired, scored and
+    summed inside the row's Arrow batch, so no copy is a row of a table and nothing is
+    grouped.  With ``pools`` the protocol and the discrete features come from training values, which are
+    tables: then the copies are rows, dealt by ``row_id``.
     """
     names = list(schema.features)
-    near = pack(neighbourhood(rows.select("row_id", *[F.col(f"`{n}`") for n in names]), schema, samples, sigma,
-                              pools, seed), names)
-    scored = near.select("row_id", "sample", "features", scorer.proba(F.col("features")).alias("proba"))
-    out = _surrogate(scored, kernel_width, True, alpha, False, ["row_id"], class_to_explain)
-    return out.select(F.lit(key).alias("explainer_key"), "*")
+    cols = [F.col(f"`{n}`") for n in names]
+    if pools:
+        near = pack(neighbourhood(rows.select("row_id", *cols), schema, samples, sigma, pools, seed), names)
+        scored = near.select("row_id", "sample", "features", scorer.proba(F.col("features")).alias("proba"))
+        out = _surrogate(scored, kernel_width, True, alpha, False, ["row_id"], class_to_explain)
+        return out.select(F.lit(key).alias("explainer_key"), "*")
+    program, width = RuleProgram(schema), len(names)
+    moving = [names.index(n) for n in schema.continuous]
+    spread = np.array([float(sigma[n] if isinstance(sigma, dict) else sigma) for n in schema.continuous])
+    reach = 0.75 * np.sqrt(width) if kernel_width is None else kernel_width
+
+    def kernel(x, batch):
+        ids, made = batch["row_id"].to_numpy(), []
+        for part in _row_parts(len(x), samples * width):
+            own = x[part]
+            near = np.repeat(own[:, None, :], samples, axis=1)
+            near[:, 1:, moving] += spread * S.normals(seed, ids[part], np.arange(1, samples), len(moving), 0)
+            near = program(near.reshape(-1, width))
+            p = scorer.predict(near).reshape(len(own), samples, -1)
+            near = near.reshape(len(own), samples, width)
+            cls = p[:, 0].argmax(axis=1) if class_to_explain is None else np.full(len(own), class_to_explain)
+            y = p[np.arange(len(own)), :, cls]
+            centred = near - near[:, :1]  # from the row itself, so that sums of squares lose no digits
+            w = np.exp(-(centred**2).sum(axis=2) / (2.0 * reach**2))
+            coef, icpt, r2 = S.ridge(S.moments(centred, y, w), alpha)
+            made.append((coef, cls, r2, icpt - (near[:, 0] * coef).sum(1), icpt))
+        coef, cls, r2, icpt, local = (np.concatenate(c) for c in zip(*made))
+        return coef, {"predicted_class": cls, "r_squared": r2, "intercept": icpt, "local_prediction": local}
+
+    packed = spread_by_key(rows.select("row_id", A.as_doubles(F.array(*cols)).alias("features")), "row_id")
+    out = batch_explain(packed, kernel, ["predicted_class", "r_squared", "intercept", "local_prediction"], key)
+    return out.select("explainer_key", "row_id", "attrs", "predicted_class", "r_squared", "intercept", "local_prediction",
+                      F.lit(samples).cast("bigint").alias("num_samples"))
 
 
 def packet_lime(near: DataFrame, features: Column, scorer, group: list[str], kernel_width: float | None = None,
@@ -301,66 +344,95 @@ def quartile_lime(rows: DataFrame, bins: dict[str, dict], scorer, samples: int =
     ``rows(row_id, <feature columns>)``.  A sample draws each feature's bin by
     training frequency and a clipped normal value inside it; sample 0 is the row.
     """
-    names = list(bins)
-    df = rows.select("row_id", *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
-    df = spread_by_key(df, "row_id")
-    df = df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    k = [F.col("row_id"), F.col("sample"), F.lit(run)]
-    z, x = [], []
-    for n in names:
-        cuts, stats = bins[n]["cuts"], bins[n]["bins"]
-        own = F.lit(0)
-        for c in cuts:
-            own = own + F.when(F.col(f"`{n}`") > c, 1).otherwise(0)
-        total, seen = sum(b["n"] for b in stats), 0
-        u = H.uniform(seed, *k, F.lit(n), F.lit("bin"))
-        drawn, value = F.lit(len(stats) - 1), None
-        for b in range(len(stats) - 1, -1, -1):
-            seen = sum(s["n"] for s in stats[: b + 1])
-            drawn = F.when(u < seen / total, b).otherwise(drawn)
-        noise = H.normal(seed, *k, F.lit(n))
-        for b, s in enumerate(stats):
-            if not s["n"]:
-                continue
-            v = F.least(F.greatest(F.lit(s["mean"]) + F.lit(s["std"]) * noise, F.lit(s["min"])), F.lit(s["max"]))
-            value = F.when(drawn == b, v) if value is None else value.when(drawn == b, v)
-        first = F.col("sample") == 0
-        z.append(F.when(first | (drawn == own), 1.0).otherwise(0.0))
-        x.append(F.when(first, F.col(f"`{n}`")).otherwise(value))
-    near = df.select("row_id", "sample", F.array(*z).alias("z"), F.array(*x).alias("features"))
-    scored = near.select("row_id", "sample", "z", scorer.proba(F.col("features")).alias("proba"))
-    width = len(names)
+    out = quartile_lime_counts(rows, bins, scorer, (samples,), (run,), kept, seed)
+    return out.select(F.lit(key).alias("explainer_key"), "row_id", "attrs", "predicted_class", "r_squared", "intercept",
+                      "local_prediction", "num_samples")
 
-    def solve(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["sample"].to_numpy())
-        zz, p = _column_matrix(table, "z", order), _column_matrix(table, "proba", order)
-        cls = int(p[0].argmax())
-        d2 = ((1.0 - zz) ** 2).sum(axis=1)
-        w = np.sqrt(np.exp(-d2 / (0.75**2 * width)))
-        coef, _, _ = K.weighted_ridge(zz, p[:, cls], w, 0.01)
-        top = np.sort(np.argsort(-np.abs(coef * zz[0]), kind="stable")[:kept])
-        coef, icpt, r2 = K.weighted_ridge(zz[:, top], p[:, cls], w, 1.0)
-        attrs = np.zeros(width)
-        attrs[top] = coef
-        return _solved(table, ["row_id"], _RIDGE, [attrs, float(cls), r2, icpt, float(coef.sum() + icpt), len(zz)])
 
-    return scored.groupBy("row_id").applyInArrow(solve, _RIDGE).select(F.lit(key).alias("explainer_key"), "*")
+def quartile_lime_counts(rows: DataFrame, bins: dict[str, dict], scorer, counts=(200, 500, 1000, 2000, 5000), runs=(0,),
+                         kept: int = 10, seed: int = 42) -> DataFrame:
+    """Quartile surrogates for several sample counts and repeated draws in one pass: (num_samples, run, row_id, attrs, ...).
+
+    A smaller count is a prefix of a larger one's samples, so weighted sums are kept at every count and only the
+    largest count is drawn and scored, inside the row's Arrow batch.
+    """
+    names, counts = list(bins), sorted(counts)
+    width, largest = len(names), counts[-1]
+    edges = [np.array(bins[n]["cuts"], float) for n in names]
+    total = [np.cumsum([b["n"] for b in bins[n]["bins"]]) for n in names]
+    shares = [t / t[-1] for t in total]
+    stat = lambda n, k: np.array([0.0 if b[k] is None else float(b[k]) for b in bins[n]["bins"]])
+    stats = [tuple(stat(n, k) for k in ("mean", "std", "min", "max")) for n in names]
+    out = T.StructType([
+        T.StructField("num_samples", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("row_id", T.LongType()),
+        T.StructField("attrs", T.ArrayType(T.DoubleType())),
+        *[T.StructField(n, T.DoubleType()) for n in ("predicted_class", "r_squared", "intercept", "local_prediction")]])
+
+    def drawn(ids, own, run):
+        """Samples 0 to ``largest`` - 1 of some rows: values, and whether they lie in the row's own bins."""
+        who = np.arange(1, largest)
+        u = S.uniforms(seed, ids, who, width, 0, run)
+        noise = S.normals(seed, ids, who, width, 1, run)
+        values = np.empty((len(own), largest, width))
+        same = np.ones(values.shape)
+        values[:, 0] = own
+        for j in range(width):
+            drawn_bin = np.minimum(np.searchsorted(shares[j], u[:, :, j], side="right"), len(shares[j]) - 1)
+            mean, std, low, high = (v[drawn_bin] for v in stats[j])
+            values[:, 1:, j] = np.clip(mean + std * noise[:, :, j], low, high)
+            same[:, 1:, j] = drawn_bin == np.searchsorted(edges[j], own[:, j], side="left")[:, None]
+        return values, same
+
+    def explained(ids, own):
+        for run in runs:
+            values, z = drawn(ids, own, run)
+            p = scorer.predict(values.reshape(-1, width)).reshape(len(own), largest, -1)
+            cls = p[:, 0].argmax(axis=1)
+            y = p[np.arange(len(own)), :, cls]
+            w = np.sqrt(np.exp(-((1.0 - z) ** 2).sum(axis=2) / (0.75**2 * width)))
+            sums = None
+            for a, b in zip([0, *counts], counts):
+                part = S.moments(z[:, a:b], y[:, a:b], w[:, a:b])
+                sums = part if sums is None else tuple(x + v for x, v in zip(sums, part))
+                coef, _, _ = S.ridge(sums, 0.01)
+                top = np.sort(np.argsort(-np.abs(coef), axis=1, kind="stable")[:, :kept], axis=1)
+                coef, icpt, r2 = S.ridge(S.chosen(sums, top), 1.0)
+                attrs = np.zeros((len(own), width))
+                np.put_along_axis(attrs, top, coef, axis=1)
+                yield b, run, attrs, cls, r2, icpt, icpt + coef.sum(1)
+
+    def run_batches(batches):
+        for batch in batches:
+            x = batch["features"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            ids = batch["row_id"].to_numpy()
+            for part in _row_parts(len(x), largest * width):
+                for count, run, attrs, *numbers in explained(ids[part], x[part]):
+                    n = len(attrs)
+                    offsets = pa.array(np.arange(0, attrs.size + 1, width, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(n, count)), pa.array(np.full(n, run, np.int32)), pa.array(ids[part]),
+                        pa.ListArray.from_arrays(offsets, pa.array(attrs.ravel())), *[pa.array(v.astype(float)) for v in numbers]], names=out.names)
+
+    packed = rows.select(F.col("row_id").cast("bigint").alias("row_id"), A.as_doubles(F.array(*[F.col(f"`{n}`") for n in names])).alias("features"))
+    return spread_by_key(packed, "row_id").mapInArrow(run_batches, out)
 
 
 def stable_sample_count(explain, candidates=(200, 500, 1000, 2000, 5000), repeats: int = 5, threshold: float = 0.85,
-                        top_k: int = 10) -> DataFrame:
+                        top_k: int = 10, at_once: bool = False) -> DataFrame:
     """Smallest sample count whose repeated explanations agree: ``(num_samples, stability, chosen)`` rows.
 
-    ``explain(count, run)`` returns ``(row_id, attrs)``.  All counts and repeats form
-    one job; agreement is the mean pairwise Jaccard of top-k sets.
+    ``explain(count, run)`` returns ``(row_id, attrs)``; with ``at_once``, ``explain(candidates, runs)`` returns
+    ``(num_samples, run, row_id, attrs)`` of all of them, as :func:`quartile_lime_counts` does in one pass.
+    Agreement is the mean pairwise Jaccard of top-k sets.
     """
     from flowaudit.operators.quality import stability
 
-    runs = None
-    for c in sorted(candidates):
-        for r in range(repeats):
-            part = explain(c, r).select(F.lit(c).alias("num_samples"), F.lit(r).alias("run"), "row_id", "attrs")
-            runs = part if runs is None else runs.union(part)
+    if at_once:
+        runs = explain(tuple(sorted(candidates)), tuple(range(repeats)))
+    else:
+        parts = [explain(c, r).select(F.lit(c).alias("num_samples"), F.lit(r).alias("run"), "row_id", "attrs")
+                 for c in sorted(candidates) for r in range(repeats)]
+        runs = reduce(DataFrame.union, parts)
     per_row = stability(runs, top_k, ["num_samples"])
     score = F.coalesce(F.col("jaccard_mean"), F.lit(1.0))
     s = per_row.groupBy("num_samples").agg(F.avg(score).alias("stability"))
@@ -374,51 +446,37 @@ def kernel_shap(rows: DataFrame, scorer, background: np.ndarray, schema: FlowSch
                 samples: int = 2048, seed: int = 42, key: str = "PA-KernelSHAP") -> DataFrame:
     """Shapley estimates from feature coalitions over a background, repaired before scoring.
 
-    ``rows(row_id, features)``.  One coalition table serves all rows, so the
-    least-squares solution is a constant matrix: each row needs only the mean score
-    per coalition.  Copies, means and the final sum all stay in the row's partition.
+    ``rows(row_id, features)``.  One coalition table serves all rows, so the least-squares solution is a constant
+    matrix: each row needs only the mean score per coalition.  Coalitions are mixed with the background, repaired at the
+    row's protocol, scored and averaged inside the row's Arrow batch; no mixed copy is a row of a table.
     """
     width = background.shape[1]
     masks, p_matrix, q = K.coalition_design(width, samples, seed)
-    ends = np.vstack([np.zeros((1, width), dtype=int), np.ones((1, width), dtype=int), masks])
-    spark = rows.sparkSession
-    design = F.broadcast(local_rows(
-        spark, [(ends.astype(bool).tolist(), background.tolist())],
-        "_masks array<array<boolean>>, _bg array<array<double>>"))
-    base = rows.select("row_id", A.as_doubles(F.col("features")).alias("features"))
-    base = spread_by_key(base, "row_id")
-    proto = None
-    if schema is not None and schema.protocol:
-        proto = list(schema.features).index(schema.protocol)
-        base = base.withColumn("_protocol", F.get("features", F.lit(proto)))
-    cells = base.join(design).select("*", F.posexplode("_masks").alias("_c", "_mask")).drop("_masks")
-    cells = cells.withColumn("_b", F.explode("_bg")).drop("_bg")
-    mixed = F.zip_with(F.zip_with("_mask", "features", lambda m, v: F.when(m, v)), "_b",
-                       lambda v, b: F.coalesce(v, b))
-    cells = cells.select(*[c for c in base.columns if c != "features"], "_c", mixed.alias("features"))
-    if schema is not None:
-        names = list(schema.features)
-        cells = pack(enforce(unpack(cells, "features", names), schema,
-                             F.col("_protocol") if proto is not None else None), names)
-    scored = cells.select("row_id", "_c", scorer.proba(F.col("features")).alias("p"))
-    means = scored.groupBy("row_id", "_c").agg(
-        *[F.avg(F.get("p", F.lit(c))).alias(f"_y{c}") for c in range(scorer.classes)])
-    y = F.array(*[f"_y{c}" for c in range(scorer.classes)])
-    tops = means.groupBy("row_id").agg(
-        F.max(F.when(F.col("_c") == 0, y)).alias("_f0"), F.max(F.when(F.col("_c") == 1, y)).alias("_fx"),
-        F.collect_list(F.when(F.col("_c") > 1, F.struct((F.col("_c") - 2).alias("_c"), y.alias("y")))).alias("_s"))
-    tops = tops.withColumn("_k", A.argmax(F.col("_fx")))
-
-    @F.pandas_udf("array<double>")
-    def solve(ys: pd.Series, f0: pd.Series, fx: pd.Series) -> pd.Series:
-        m = np.vstack(ys.to_numpy())
-        a, b = f0.to_numpy()[:, None], fx.to_numpy()[:, None]
-        return pd.Series(list((m - a) @ p_matrix.T + (b - a) * q))
-
-    f0, fx = F.get("_f0", F.col("_k")), F.get("_fx", F.col("_k"))
-    ordered = F.transform(F.array_sort("_s"), lambda s: F.get(s["y"], F.col("_k")))
-    return tops.select(F.lit(key).alias("explainer_key"), "row_id", solve(ordered, f0, fx).alias("attrs"),
-                       F.col("_k").cast("double").alias("predicted_class"), f0.alias("expected_value"))
+    ends = np.vstack([np.zeros((1, width), dtype=int), np.ones((1, width), dtype=int), masks]).astype(bool)
+    program = None if schema is None else RuleProgram(schema)
+    proto = program.protocol if program is not None else None
+    # coalitions of one row that are mixed at once
+    step = max(1, COPY_CELLS // background.size)
+
+    def kernel(x, batch):
+        attrs, cls, base = np.empty(x.shape), np.empty(len(x), int), np.empty(len(x))
+        for i, row in enumerate(x):
+            means = []
+            for s in range(0, len(ends), step):
+                mixed = np.where(ends[s : s + step, None, :], row, background).reshape(-1, width)
+                if program is not None:
+                    mixed = program(mixed, None if proto is None else np.full(len(mixed), row[proto]))
+                p = scorer.predict(mixed)
+                means.append(p.reshape(-1, len(background), p.shape[1]).mean(axis=1))
+            y = np.vstack(means)
+            k = cls[i] = int(y[1].argmax())
+            f0, fx = y[0, k], y[1, k]
+            attrs[i], base[i] = p_matrix @ (y[2:, k] - f0) + q * (fx - f0), f0
+        return attrs, {"predicted_class": cls, "expected_value": base}
+
+    packed = spread_by_key(rows.select("row_id", A.as_doubles(F.col("features")).alias("features")), "row_id")
+    return batch_explain(packed, kernel, ["predicted_class", "expected_value"], key).select(
+        "explainer_key", "row_id", "attrs", "predicted_class", "expected_value")
 
 
 def ablation_interactions(rows: DataFrame, explain, top_n: int = 20) -> DataFrame:

@@ -281,8 +281,8 @@ def stable_sample_count(spark, folder):
     """Agreement of repeated explanations per sample count, and the chosen count."""
     p = parts(spark, folder)
     bins = X.quartile_bins(p, list(PART_FEATURES))
-    explain = lambda count, run: X.quartile_lime(p, bins, flow_scorer(), count, 3, run=run)
-    return X.stable_sample_count(explain, top_k=2)
+    explain = lambda counts, runs: X.quartile_lime_counts(p, bins, flow_scorer(), counts, runs, 3)
+    return X.stable_sample_count(explain, top_k=2, at_once=True)
 
 
 def _forest(spark, folder):
