@@ -83,12 +83,123 @@ def deep_shap(scorer, x, background, target, softmax=False):
     return attrs / len(background), z.mean(0)[target]
 
 
-def tree_leaves(tree):
-    """Every leaf with its path as ``(value, [(feature, lower, upper), ...])``, one range per feature."""
+class LeafTable:
+    """All leaves of weighted trees as arrays, grouped by the number of different features on their paths.
+
+    A row meets a path feature or not, so its state at a leaf is a bit mask, and rows with equal masks are one case. A leaf is a
+    game in which the features that only the row meets must be present and those that only the background row meets absent; a
+    pair plays it only if together they meet every feature. Which pairs of distinct masks do is one AND.
+    """
+
+    #: Pairs of masks compared, or cells of a share matrix held, at once.
+    CELLS = 1 << 22
+
+    def __init__(self, trees, weights, background: np.ndarray):
+        self.outputs, self.size = trees[0].value.shape[1], len(background)
+        found: dict[int, list] = {}
+        for tree, w in zip(trees, weights):
+            for value, path in _leaves(tree):
+                if path and np.any(value):
+                    found.setdefault(len(path), []).append((w * value, path))
+        self.groups = []
+        for k, leaves in sorted(found.items()):
+            paths = np.array([p for _, p in leaves])  # leaf, place, (feature, above, up to)
+            feature, low, high = paths[:, :, 0].astype(int), paths[:, :, 1], paths[:, :, 2]
+            missed = _missed(background, feature, low, high)
+            self.groups.append((k, np.array([v for v, _ in leaves]), feature, low, high, missed))
+
+    def parts(self, x: np.ndarray):
+        """Leaves by parts: (k, values, features, case of each (leaf, row), pairs that play: case, only row's and only background's masks, weight)."""
+        for k, value, feature, low, high, zm in self.groups:
+            xm = _missed(x, feature, low, high)
+            step = max(1, self.CELLS // max(1, min(len(x), 1 << k) * min(self.size, 1 << k), len(x) * k))
+            for a in range(0, len(value), step):
+                cases, owner, of = _cases(xm[a : a + step])
+                others, theirs, back = _cases(zm[a : a + step])
+                times = np.bincount(back.ravel(), minlength=len(others)) / self.size
+                # every case of a leaf meets every background case of the same leaf
+                first = np.searchsorted(theirs, owner)
+                count = np.searchsorted(theirs, owner, side="right") - first
+                left = np.repeat(np.arange(len(cases)), count)
+                right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+                play = np.flatnonzero((cases[left] & others[right]) == 0)
+                left, right = left[play], right[play]
+                yield k, value[a : a + step], feature[a : a + step], of, len(cases), left, others[right], cases[left], times[right]
+
+    def shapley(self, x: np.ndarray, target: np.ndarray | None = None) -> np.ndarray:
+        """Interventional Shapley values averaged over the background: (rows, features, outputs), or (rows, features) of each row's output ``target``."""
+        n, d = x.shape
+        outputs = range(self.outputs) if target is None else [None]
+        phi = np.zeros((len(outputs), n, d))
+        for k, value, feature, of, cases, left, only_x, only_z, times in self.parts(x):
+            a, b = np.bitwise_count(only_x), np.bitwise_count(only_z)
+            up, down = times * _weights(k, a, b, _gain), times * _weights(k, a, b, _loss)
+            share = np.empty((cases, k))
+            for j in range(k):
+                bit = np.uint64(1 << j)
+                share[:, j] = np.bincount(left, np.where(only_x & bit, up, 0.0) - np.where(only_z & bit, down, 0.0), cases)
+            order = np.argsort(feature.ravel(), kind="stable")  # (leaf, place) by feature
+            names, start = np.unique(feature.ravel()[order], return_index=True)
+            rows = share[of].transpose(0, 2, 1).reshape(-1, n)[order]  # (leaf, place), row
+            leaf = order // k
+            for o, output in enumerate(outputs):
+                own = value[:, target][leaf] if output is None else value[leaf, output][:, None]
+                phi[o][:, names] += np.add.reduceat(rows * own, start, axis=0).T
+        return phi[0] if target is not None else phi.transpose(1, 2, 0)
+
+    def interactions(self, x: np.ndarray) -> np.ndarray:
+        """Shapley interaction values (rows, features, features, outputs); rows sum to the Shapley values."""
+        n, d = x.shape
+        out = np.zeros((n, d, d, self.outputs))
+        for k, value, feature, of, cases, left, only_x, only_z, times in self.parts(x):
+            if k < 2:
+                continue
+            a, b = np.bitwise_count(only_x), np.bitwise_count(only_z)
+            both_x, both_z, mixed = (0.5 * times * _weights(k, a, b, rule) for rule in (_both_x, _both_z, _mixed))
+            in_x, in_z = (((m[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(bool) for m in (only_x, only_z))
+            for i in range(k):
+                for j in range(i + 1, k):
+                    v = np.where(in_x[:, i] & in_x[:, j], both_x, 0.0) + np.where(in_z[:, i] & in_z[:, j], both_z, 0.0)
+                    v -= np.where((in_x[:, i] & in_z[:, j]) | (in_z[:, i] & in_x[:, j]), mixed, 0.0)
+                    per = np.bincount(left, v, cases)[of]  # leaf, row
+                    for leaf, (fi, fj) in enumerate(zip(feature[:, i].tolist(), feature[:, j].tolist())):
+                        cell = per[leaf][:, None] * value[leaf]
+                        out[:, fi, fj] += cell
+                        out[:, fj, fi] += cell
+        idx = np.arange(d)
+        out[:, idx, idx] = self.shapley(x) - out.sum(axis=2)
+        return out
+
+
+def _missed(x: np.ndarray, feature: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(leaf, row) masks of the path features that a row doesn't meet."""
+    out = np.zeros((len(feature), len(x)), np.uint64)
+    for j in range(feature.shape[1]):
+        v = x[:, feature[:, j]].T
+        out |= (~((v > low[:, j, None]) & (v <= high[:, j, None]))).astype(np.uint64) << np.uint64(j)
+    return out
+
+
+def _cases(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct masks of each leaf, their leaf, number of the case of each (leaf, row)), leaves in order."""
+    order = np.argsort(masks, axis=1, kind="stable")
+    ranked = np.take_along_axis(masks, order, axis=1)
+    new = np.ones(masks.shape, bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    number = np.cumsum(new.ravel()).reshape(masks.shape) - 1
+    of = np.empty(masks.shape, np.int64)
+    np.put_along_axis(of, order, number, axis=1)
+    return ranked[new], np.nonzero(new)[0], of
+
+
+def _leaves(tree):
+    """Every leaf with its path as ``(value, [(feature, above, up to), ...])``, one range per feature."""
     stack = [(0, {})]
     while stack:
         node, ranges = stack.pop()
         if tree.left[node] < 0:
+            if len(ranges) > 64:
+                raise ValueError("a path has more than 64 different features")
             yield tree.value[node], [(f, lo, hi) for f, (lo, hi) in ranges.items()]
             continue
         f, t = int(tree.feature[node]), float(tree.threshold[node])
@@ -97,81 +208,40 @@ def tree_leaves(tree):
         stack.append((tree.right[node], {**ranges, f: (max(lo, t), hi)}))
 
 
-def _inside(m, path):
-    return np.column_stack([(m[:, f] > lo) & (m[:, f] <= hi) for f, lo, hi in path]).astype(float)
+def _gain(p, q):
+    return factorial(p - 1) * factorial(q) / factorial(p + q) if p else 0.0
 
 
-def _leaf_states(x, z, path):
-    """For all (row, background) pairs: counts of path features only x / only z satisfies, and liveness."""
-    xs, zs = _inside(x, path), _inside(z, path)
-    only_x = xs @ (1 - zs).T
-    only_z = (1 - xs) @ zs.T
-    alive = ((1 - xs) @ (1 - zs).T) == 0
-    return xs, zs, only_x.astype(int), only_z.astype(int), alive
+def _loss(p, q):
+    return factorial(p) * factorial(q - 1) / factorial(p + q) if q else 0.0
 
 
-def _table(k, rule):
-    """(k+1) x (k+1) lookup of a weight by (only_x, only_z) counts, 0 where undefined."""
-    t = np.zeros((k + 1, k + 1))
-    for a in range(k + 1):
-        for b in range(k + 1 - a):
-            t[a, b] = rule(a, b)
-    return t
+def _both_x(p, q):
+    return factorial(p - 2) * factorial(q) / factorial(p + q - 1) if p > 1 else 0.0
 
 
-def tree_shap(trees, weights, x, z):
-    """Interventional Shapley values: (rows, features, outputs), averaged over background z.
+def _both_z(p, q):
+    return factorial(p) * factorial(q - 2) / factorial(p + q - 1) if q > 1 else 0.0
+
+
+def _mixed(p, q):
+    return factorial(p - 1) * factorial(q - 1) / factorial(p + q - 1) if p and q else 0.0
+
+
+def _weights(k: int, a: np.ndarray, b: np.ndarray, rule) -> np.ndarray:
+    """``rule`` of the counts (a, b) of features that only one side meets."""
+    t = np.array([[rule(p, q) if p + q <= k else 0.0 for q in range(k + 1)] for p in range(k + 1)])
+    return t[a, b]
 
-    A leaf is a game in which the features only x satisfies must be present and
-    those only z satisfies absent; its Shapley values are known in closed form.
-    """
-    f = factorial
-    phi = np.zeros((*x.shape, trees[0].value.shape[1]))
-    for tree, w in zip(trees, weights):
-        for value, path in tree_leaves(tree):
-            if not path or not np.any(value):
-                continue
-            k = len(path)
-            xs, zs, a, b, alive = _leaf_states(x, z, path)
-            gain = _table(k, lambda p, q: f(p - 1) * f(q) / f(p + q) if p else 0.0)
-            loss = _table(k, lambda p, q: f(p) * f(q - 1) / f(p + q) if q else 0.0)
-            up = xs * ((gain[a, b] * alive) @ (1 - zs))
-            down = (1 - xs) * ((loss[a, b] * alive) @ zs)
-            share = (up - down) * (w / len(z))
-            for j, (feat, _, _) in enumerate(path):
-                phi[:, feat, :] += share[:, j : j + 1] * value
-    return phi
+
+def tree_shap(trees, weights, x, z):
+    """Interventional Shapley values: (rows, features, outputs), averaged over background z."""
+    return LeafTable(trees, weights, np.asarray(z, float)).shapley(np.asarray(x, float))
 
 
 def tree_interactions(trees, weights, x, z):
-    """Shapley interaction values (rows, features, features, outputs); rows sum to the Shapley values."""
-    f = factorial
-    n, d = x.shape
-    out = np.zeros((n, d, d, trees[0].value.shape[1]))
-    for tree, w in zip(trees, weights):
-        for value, path in tree_leaves(tree):
-            if len(path) < 2 or not np.any(value):
-                continue
-            k = len(path)
-            xs, zs, a, b, alive = _leaf_states(x, z, path)
-            both_x = _table(k, lambda p, q: f(p - 2) * f(q) / f(p + q - 1) if p > 1 else 0.0)[a, b] * alive
-            both_z = _table(k, lambda p, q: f(p) * f(q - 2) / f(p + q - 1) if q > 1 else 0.0)[a, b] * alive
-            mixed = _table(k, lambda p, q: f(p - 1) * f(q - 1) / f(p + q - 1) if p and q else 0.0)[a, b] * alive
-            for i in range(k):
-                for j in range(i + 1, k):
-                    nz = (1 - zs[:, i]) * (1 - zs[:, j])
-                    v = xs[:, i] * xs[:, j] * (both_x @ nz)
-                    v += (1 - xs[:, i]) * (1 - xs[:, j]) * (both_z @ (zs[:, i] * zs[:, j]))
-                    v -= xs[:, i] * (1 - xs[:, j]) * (mixed @ ((1 - zs[:, i]) * zs[:, j]))
-                    v -= (1 - xs[:, i]) * xs[:, j] * (mixed @ (zs[:, i] * (1 - zs[:, j])))
-                    cell = 0.5 * (w / len(z)) * v[:, None] * value
-                    fi, fj = path[i][0], path[j][0]
-                    out[:, fi, fj] += cell
-                    out[:, fj, fi] += cell
-    phi = tree_shap(trees, weights, x, z)
-    idx = np.arange(d)
-    out[:, idx, idx] = phi - out.sum(axis=2)
-    return out
+    """Shapley interaction values (rows, features, features, outputs)."""
+    return LeafTable(trees, weights, np.asarray(z, float)).interactions(np.asarray(x, float))
 
 
 def weighted_ridge(x, y, w, alpha=1.0):

@@ -156,24 +156,35 @@ def deep_shap(df: DataFrame, scorer, background: np.ndarray, softmax: bool = Fal
     return batch_explain(df, kernel, ["predicted_class", "expected_value"], key)
 
 
+def _leaf_table(scorer: TreeScorer, background: np.ndarray):
+    """The forest's leaf table, made once per worker task and kept for its batches."""
+    made: list[K.LeafTable] = []
+
+    def table() -> K.LeafTable:
+        if not made:
+            made.append(K.LeafTable(scorer.trees, scorer.weights, np.asarray(background, float)))
+        return made[0]
+
+    return table
+
+
 def tree_shap(df: DataFrame, scorer: TreeScorer, background: np.ndarray, key: str = "RF_SHAP") -> DataFrame:
-    """Interventional Shapley values of the predicted class (boosted: of the log-odds)."""
+    """Interventional Shapley values of the predicted class (boosted: of the log-odds, or of the class margin)."""
+    table, mean = _leaf_table(scorer, background), scorer.predict_raw(np.asarray(background, float)).mean(0)
 
     def kernel(x, batch):
         t = _targets(scorer, x, batch)
-        phi = K.tree_shap(scorer.trees, scorer.weights, x, background)
-        mean = scorer.predict_raw(background).mean(0)
         if scorer.link == "boosted":
             sign = np.where(t == 1, 1.0, -1.0)
-            return phi[:, :, 0] * sign[:, None], {"predicted_class": t, "expected_value": mean[0] * sign}
-        return phi[np.arange(len(x)), :, t], {"predicted_class": t, "expected_value": mean[t]}
+            return table().shapley(x, np.zeros_like(t)) * sign[:, None], {"predicted_class": t, "expected_value": mean[0] * sign}
+        return table().shapley(x, t), {"predicted_class": t, "expected_value": mean[t]}
 
     return batch_explain(df, kernel, ["predicted_class", "expected_value"], key)
 
 
 def tree_interactions(df: DataFrame, scorer: TreeScorer, background: np.ndarray) -> DataFrame:
     """Interaction values of the predicted class as ``(row_id, i, j, v)`` rows."""
-    width = background.shape[1]
+    width, table = background.shape[1], _leaf_table(scorer, background)
 
     def kernel(x, batch):
         t = _targets(scorer, x, batch)
@@ -181,7 +192,7 @@ def tree_interactions(df: DataFrame, scorer: TreeScorer, background: np.ndarray)
         out = np.empty((len(x), width * width))
         step = max(1, MATRIX_CELLS // (width * width * scorer.trees[0].value.shape[1]))
         for s in range(0, len(x), step):  # a few rows at a time: each holds width^2 x outputs cells
-            m = K.tree_interactions(scorer.trees, scorer.weights, x[s : s + step], background)
+            m = table().interactions(x[s : s + step])
             out[s : s + step] = m[np.arange(len(m)), :, :, pick[s : s + step]].reshape(len(m), -1)
         return out, {}
 
