@@ -19,7 +19,7 @@ ROW_INDEX_STRIDE = 1000
 #: Stored (compressed) input of one file.
 FILE_BYTES = 64 << 20
 #: Text encoded at once; larger parts repeat more words.
-ENCODED_BYTES = 12 << 20
+ENCODED_BYTES = 18 << 20
 
 
 @cache
