@@ -96,13 +96,50 @@ def test_substring(documents):
     assert substring.remove_repeats(documents([(None, "a"), (1, None)])).count() == 2
 
 
-def test_substring_small_subtrees(documents, monkeypatch):
-    monkeypatch.setattr(substring, "SUBTREE_SUFFIXES", 20)
-    monkeypatch.setattr(common, "spread", lambda spark, factor=1: 1)
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_substring_small_subtrees(documents, monkeypatch, frequent):
+    """Chunks, trees and groups of a few suffixes, and lengthened prefixes, change nothing."""
     rows = corpus(5)
-    small = {r.doc_id: r.kept_sha256 for r in substring.remove_repeats(documents(rows)).collect()}
-    monkeypatch.undo()
-    assert small == {r.doc_id: r.kept_sha256 for r in substring.remove_repeats(documents(rows)).collect()}
+    whole = {r.doc_id: r.kept_sha256 for r in substring.remove_repeats(documents(rows)).collect()}
+    for name, value in (("PREFIX_SUFFIXES", frequent), ("GROUP_SUFFIXES", 5)):
+        monkeypatch.setattr(substring, name, value)
+    small = {r.doc_id: r.kept_sha256 for r in substring.remove_repeats(documents(rows).repartition(7)).collect()}
+    assert small == whole
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_subtrees(monkeypatch, seed):
+    """Repeats among suffixes of random documents of few words against all pairs of windows, before and after a chunk's repeats are taken out."""
+    monkeypatch.setattr(substring, "TREE_SUFFIXES", 4)
+    rng, window = random.Random(seed), 6
+    texts = {d: [rng.choice("abc") + "x" * rng.randrange(2) for _ in range(rng.randrange(4, 40))] for d in range(12)}
+    texts[12], texts[13] = texts[3][:], ["q"] * 20
+    texts[14] = ["q"] * 25 + texts[1]
+    hashes = {d: common.word_hashes([x.encode() for x in w]) for d, w in texts.items()}
+    often = np.array([h for d in (1, 13) for h in common.window_hashes(hashes[d], 3)[:2].tolist()], np.uint64)
+
+    def suffixes(docs):
+        found = [x for d in docs for x in substring._document_suffixes(d, hashes[d], np.arange(99), often, window)]
+        *numbers, words = zip(*found)
+        return substring.Suffixes(np.array(numbers[0], np.uint64), *[np.array(c, np.int64) for c in numbers[1:]], np.concatenate(words) & substring.MASK, window)
+
+    first = {}
+    for d, w in sorted(texts.items()):
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), d)
+    want = {(d, k) for d, w in texts.items() for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < d}
+    every = suffixes(texts)
+    of, starts = every.repeats()
+    assert set(zip(every.doc[of].tolist(), starts.tolist())) == want and len(of) == len(want)
+    known, rest = set(), []
+    for docs in ([d for d in texts if d % 2], [d for d in texts if d % 2 == 0]):
+        own = suffixes(docs)
+        of, starts = own.repeats()
+        known |= set(zip(own.doc[of].tolist(), starts.tolist()))
+        rest.append(substring.Suffixes.unpacked([own.without(of, starts).packed()], window).packed())
+    both = substring.Suffixes.unpacked(rest, window)
+    of, starts = both.repeats()
+    assert known | set(zip(both.doc[of].tolist(), starts.tolist())) == want
 
 
 def vocabulary(name):
