@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowaudit.functions import arrays as A, hashing as H
-from flowaudit.functions.tables import checkpointed, local_rows, long_form, small_side
+from flowaudit.functions.tables import checkpointed, local_rows, long_form, small_side, stored
 from flowaudit.functions.vectors import matrix
 from flowaudit.operators.constraints import col, enforce, pack, unpack
 from flowaudit.operators.schemas import FlowSchema
@@ -112,17 +114,45 @@ def neighbourhood(
 # --- exact nearest rows -------------------------------------------------------------
 
 
-def _cells(df: DataFrame, pivots: np.ndarray, vector: str) -> DataFrame:
-    """Nearest pivot (``_cell``) and the distance to it (``_r``)."""
+#: Pivots grow with the square root of the candidates up to this number; rows that give the principal directions, and how many directions.
+MOST_PIVOTS, DIRECTION_ROWS, DIRECTIONS = 8192, 4096, 8
 
-    @F.pandas_udf("struct<cell int, r double>")
-    def nearest(batch: pd.Series) -> pd.DataFrame:
-        d = _distances(matrix(batch), pivots)
-        c = d.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype("int32"), "r": d[np.arange(len(c)), c]})
 
-    return df.withColumn("_p", nearest(vector)).withColumns(
-        {"_cell": F.col("_p.cell"), "_r": F.col("_p.r")}).drop("_p")
+class _Pivots:
+    """Pivot rows and leading principal directions of a bounded sample. They steer which cells are visited, never the result."""
+
+    def __init__(self, sample: np.ndarray, pivots: int):
+        self.centre = sample[:pivots]
+        _, _, axes = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=False)
+        self.axes = axes[:DIRECTIONS].T
+
+    def assign(self, df: DataFrame, vector: str) -> DataFrame:
+        """Nearest pivot (``_cell``), the distance to it (``_r``) and the place along the directions (``_z``)."""
+
+        @F.pandas_udf("struct<cell int, r double, z array<double>>")
+        def nearest(batch: pd.Series) -> pd.DataFrame:
+            x = matrix(batch)
+            d = _distances(x, self.centre)
+            c = d.argmin(axis=1)
+            return pd.DataFrame({"cell": c.astype("int32"), "r": d[np.arange(len(c)), c], "z": list(x @ self.axes)})
+
+        return df.withColumn("_p", nearest(vector)).withColumns(
+            {"_cell": F.col("_p.cell"), "_r": F.col("_p.r"), "_z": F.col("_p.z")}).drop("_p")
+
+
+class _Cells:
+    """Per key, the cells with their radius, size and box along the directions: what a query needs to rule a cell out."""
+
+    def __init__(self, cells: np.ndarray, radius: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.cells, self.radius, self.size, self.low, self.high = cells.astype(int), radius, size, low, high
+
+    def least_distance(self, to_pivot: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """(queries, cells) lower bounds: by the triangle inequality, and by the distance to the cell's box in the projection."""
+        out = to_pivot[:, self.cells] - self.radius
+        for i in range(len(z)):
+            gap = np.maximum(0.0, np.maximum(self.low - z[i], z[i] - self.high))
+            out[i] = np.maximum(out[i], np.sqrt((gap * gap).sum(axis=1)))
+        return out
 
 
 def _distances(a: np.ndarray, b: np.ndarray, block: int = 1 << 22) -> np.ndarray:
@@ -140,7 +170,7 @@ def nearest_rows(
     candidates: DataFrame,
     k: int,
     by: list[str] | None = None,
-    pivots: int = 64,
+    pivots: int | None = None,
     chunk_rows: int = 20_000,
     seed: int = 7,
 ) -> DataFrame:
@@ -150,105 +180,120 @@ def nearest_rows(
     ``by`` only candidates of the same key count.  A candidate is never its own
     neighbour when both ids are equal and ``query_id`` is marked ``self``.
 
-    Candidates are put into cells around a few pivot rows.  A query's k-th
-    distance is bounded by cell counts and radii, and the triangle inequality
-    rules out cells that cannot hold a nearer row; only the surviving (query,
-    cell) pairs are shuffled.  Cells and query groups are cut into chunks, so a
-    dense cell is many tasks.  The pivots and cell statistics are the only
-    driver-side state, and they steer speed, not the result.
+    Candidates are put into cells around pivot rows, whose number grows with the square root of the
+    candidates.  A query first searches the nearest cell that holds enough rows; the k-th distance found there is a true
+    bound, and only cells that may hold a nearer row are searched after it: by the triangle inequality around the pivot, and by
+    the cell's box along the leading principal directions.  Cells and query groups are cut into chunks, so a
+    dense cell is many tasks.  Ids and distances travel back; the vectors of the k nearest are joined last.
     """
     by = by or []
     spark = queries.sparkSession
-    sample = candidates.orderBy(H.hash64(seed, F.col("candidate_id")), "candidate_id").limit(pivots)
-    centre = matrix(pd.Series([np.asarray(r[0], dtype=float) for r in sample.select("vector").collect()]))
-    out_schema = T.StructType([
+    pair_schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("candidate_id", candidates.schema["candidate_id"].dataType),
-        T.StructField("distance", T.DoubleType()), T.StructField("vector", T.ArrayType(T.DoubleType())),
-    ])
-    if not len(centre):
-        return spark.createDataFrame([], T.StructType([*out_schema.fields, T.StructField("place", T.IntegerType())]))
-    # assigned once: the cell statistics and the search both read it
-    cand = checkpointed(_cells(candidates, centre, "vector"))
-    stats = cand.groupBy(*by, "_cell").agg(F.max("_r").alias("radius"), F.count("*").alias("n")).collect()
+        T.StructField("candidate_id", candidates.schema["candidate_id"].dataType), T.StructField("distance", T.DoubleType())])
+    total = candidates.count()
+    if not total:
+        return spark.createDataFrame([], T.StructType([
+            *pair_schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("place", T.IntegerType())]))
+    pivots = pivots or min(MOST_PIVOTS, max(16, int(total**0.5)))
+    sample = candidates.orderBy(H.hash64(seed, F.col("candidate_id")), "candidate_id").limit(max(pivots, DIRECTION_ROWS))
+    guide = _Pivots(matrix(pd.Series([np.asarray(r[0], dtype=float) for r in sample.select("vector").collect()])), pivots)
+    # assigned once: the cell statistics and both searches read it
+    cand = stored(guide.assign(candidates, "vector"), "nearest-cells")
+    width = guide.axes.shape[1]
+    ends = [f(F.get("_z", F.lit(i))) for f in (F.min, F.max) for i in range(width)]
+    stats = cand.groupBy(*by, "_cell").agg(F.max("_r").alias("radius"), F.count("*").alias("n"), F.array(*ends).alias("ends")).collect()
     table: dict[tuple, list] = {}
     for s in stats:
-        table.setdefault(tuple(s[c] for c in by), []).append((s["_cell"], s["radius"], s["n"]))
-    arrays = {key: tuple(np.array(v) for v in zip(*rows)) for key, rows in table.items()}
-    own = 1 if "self" in queries.columns else 0  # the row itself fills one place of the bound
-
-    visit_type = "array<struct<cell int, chunk int>>"
-
-    @F.pandas_udf(visit_type)
-    def cells_to_visit(batch: pd.Series, keys: pd.DataFrame) -> pd.Series:
-        d = _distances(matrix(batch), centre)
-        found = []
+        table.setdefault(tuple(s[c] for c in by), []).append((s["_cell"], s["radius"], s["n"], s["ends"][:width], s["ends"][width:]))
+    known = {key: _Cells(*(np.array(v) for v in zip(*rows))) for key, rows in table.items()}
+    own = 1 if "self" in queries.columns else 0  # the row itself may fill a place of the home cell
+    need = k + own
+
+    @F.pandas_udf("int")
+    def home(batch: pd.Series, keys: pd.DataFrame) -> pd.Series:
+        """The nearest cell that holds enough rows; -1 where none does."""
+        d = _distances(matrix(batch), guide.centre)
+        out = []
         for i, key in enumerate(keys.itertuples(index=False, name=None)):
-            if tuple(key[: len(by)]) not in arrays:
-                found.append([])
-                continue
-            cells, radius, n = arrays[tuple(key[: len(by)])]
-            dist = d[i, cells.astype(int)]
-            reach = np.argsort(dist + radius)
-            enough = np.searchsorted(np.cumsum(n[reach]), k + own)
-            bound = (dist + radius)[reach[min(enough, len(reach) - 1)]]
-            near = dist - radius <= bound * (1 + 1e-9) + 1e-9
-            found.append([
-                {"cell": int(c), "chunk": j}
-                for c, m in zip(cells[near], n[near]) for j in range(-(-int(m) // chunk_rows))
-            ])
-        return pd.Series(found)
-
-    sizes = F.broadcast(local_rows(
-        spark, [(*(s[c] for c in by), s["_cell"], -(-s["n"] // chunk_rows)) for s in stats],
-        T.StructType([*[candidates.schema[c] for c in by], T.StructField("_cell", T.IntegerType()),
-                      T.StructField("_chunks", T.LongType())])))
-    cand = cand.join(sizes, [*by, "_cell"]).withColumn(
-        "_chunk", F.pmod(H.hash64(seed, F.col("candidate_id")), F.col("_chunks")).cast("int"))
+            c = known.get(tuple(key[: len(by)]))
+            enough = c.cells[c.size >= need] if c is not None else []
+            out.append(int(enough[d[i, enough].argmin()]) if len(enough) else -1)
+        return pd.Series(out, dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def others(batch: pd.Series, keys: pd.DataFrame, bound: pd.Series, first: pd.Series) -> pd.Series:
+        """Cells besides the first one that may hold a row within the bound."""
+        x = matrix(batch)
+        d, z = _distances(x, guide.centre), x @ guide.axes
+        limit = bound.fillna(np.inf).to_numpy()
+        limit = limit * (1 + 1e-9) + 1e-9
+        out: list = [[]] * len(x)
+        names = [tuple(r[: len(by)]) for r in keys.itertuples(index=False, name=None)]
+        for key in set(names):
+            if key in known:
+                rows = np.array([i for i, n in enumerate(names) if n == key])
+                near = known[key].least_distance(d[rows], z[rows]) <= limit[rows, None]
+                near &= known[key].cells[None] != first.to_numpy()[rows, None]
+                for i, m in zip(rows.tolist(), near):
+                    out[i] = known[key].cells[m].tolist()
+        return pd.Series(out)
+
     key_struct = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_pad"))
-    q = queries.withColumn("_v", F.explode(cells_to_visit("vector", key_struct)))
-    q = q.select(*by, "query_id", "vector", F.col("_v.cell").alias("_cell"), F.col("_v.chunk").alias("_chunk"))
-    q = checkpointed(q)
-    # a chunk visited by very many queries is answered in several groups, each with its copy of the chunk
-    load = q.groupBy(*by, "_cell", "_chunk").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("_parts"))
-    load = small_side(load)
-    q = q.join(load, [*by, "_cell", "_chunk"]).withColumn(
-        "_part", F.pmod(H.hash64(seed, F.col("query_id")), F.col("_parts").cast("bigint")).cast("int")).drop("_parts")
-    cand = cand.join(load, [*by, "_cell", "_chunk"]).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    group = [*by, "_cell", "_chunk", "_part"]
+    start = stored(queries.select(*by, "query_id", "vector", home("vector", key_struct).alias("_home")), "nearest-queries")
+    chunks = F.broadcast(local_rows(
+        spark, [(*(s[c] for c in by), s["_cell"], -(-s["n"] // chunk_rows)) for s in stats],
+        T.StructType([*[candidates.schema[c] for c in by], T.StructField("_cell", T.IntegerType()), T.StructField("_chunks", T.LongType())])))
+    dealt = cand.select(*by, "candidate_id", "vector", "_cell").join(chunks, [*by, "_cell"]).withColumn(
+        "_chunk", F.pmod(H.hash64(seed, F.col("candidate_id")), F.col("_chunks")).cast("int")).drop("_chunks")
     skip_self = bool(own)
 
-    def search(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({n: pd.Series(dtype=object) for n in out_schema.names})
-        if qs.empty or cs.empty:
+    def search(qs: pa.Table, cs: pa.Table) -> pa.Table:
+        if not qs.num_rows or not cs.num_rows:
             return nothing
-        cm, cid = matrix(cs["vector"]), cs["candidate_id"].to_numpy()
-        order = np.argsort(cid, kind="stable")
-        cm, cid = cm[order], cid[order]
-        parts = []
-        for s in range(0, len(qs), 256):
-            block = qs.iloc[s : s + 256]
-            d = _distances(matrix(block["vector"]), cm)
+        cs = cs.sort_by("candidate_id")
+        stack = lambda t: t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        cm, cid, qm, qid = stack(cs), cs["candidate_id"].to_numpy(), stack(qs), qs["query_id"].to_numpy()
+        limit = qs["_bound"].to_numpy() * (1 + 1e-9) + 1e-9
+        found = []
+        for s in range(0, len(qm), 256):
+            d = _distances(qm[s : s + 256], cm)
             if skip_self:
-                d[block["query_id"].to_numpy()[:, None] == cid[None, :]] = np.inf
+                d[qid[s : s + 256, None] == cid[None, :]] = np.inf
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(block)), top.shape[1])
-            pick = top.ravel()
-            dist = d[rows, pick]
-            ok = np.isfinite(dist)
-            parts.append(pd.DataFrame({
-                "query_id": block["query_id"].to_numpy()[rows][ok], "candidate_id": cid[pick][ok],
-                "distance": dist[ok], "vector": pd.Series(list(cm[pick][ok]), dtype=object),
-            }))
-        found = pd.concat(parts, ignore_index=True)
-        return nothing if found.empty else found
-
-    named = [*group, "candidate_id", "vector"]
-    right = cand.select(*named).toDF(*named)  # fresh column ids: both sides may stem from one table
-    found = q.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, out_schema)
-    w = W.partitionBy("query_id").orderBy("distance", "candidate_id")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+            dist = np.take_along_axis(d, top, axis=1)
+            ok = np.isfinite(dist) & (dist <= limit[s : s + 256, None])
+            found.append((np.repeat(qid[s : s + 256], top.shape[1])[ok.ravel()], cid[top.ravel()][ok.ravel()], dist[ok]))
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), arrow_pairs)], schema=arrow_pairs)
+
+    arrow_pairs = to_arrow_schema(pair_schema)
+    nothing = arrow_pairs.empty_table()
+
+    def searched(visits: DataFrame) -> DataFrame:
+        """k nearest of every query in each cell it visits: ``visits(*by, query_id, vector, _cell, _bound)``."""
+        q = visits.join(chunks, [*by, "_cell"]).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks").cast("int") - 1))).drop("_chunks")
+        # a chunk visited by very many queries is answered in several groups, each with its copy of the chunk
+        load = q.groupBy(*by, "_cell", "_chunk").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("_parts"))
+        load = small_side(load)
+        group = [*by, "_cell", "_chunk", "_part"]
+        q = q.join(load, group[:-1]).withColumn(
+            "_part", F.pmod(H.hash64(seed, F.col("query_id")), F.col("_parts").cast("bigint")).cast("int")).drop("_parts")
+        c = dealt.join(load, group[:-1]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        named = [*group, "candidate_id", "vector"]
+        right = c.select(*named).toDF(*named)  # fresh column ids: both sides may stem from one table
+        return q.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(search, pair_schema)
+
+    place = W.partitionBy("query_id").orderBy("distance", "candidate_id")
+    ranked = lambda found: found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+    first = start.filter("_home >= 0").withColumnRenamed("_home", "_cell").withColumn("_bound", F.lit(float("inf")))
+    near = stored(ranked(searched(first)), "nearest-first")
+    bounds = near.filter(F.col("place") == k).select("query_id", F.col("distance").alias("_bound"))
+    rest = start.join(bounds, "query_id", "left")
+    rest = rest.withColumn("_cell", F.explode(others("vector", key_struct, F.col("_bound"), F.col("_home"))))
+    rest = rest.withColumn("_bound", F.coalesce("_bound", F.lit(float("inf")))).select(*by, "query_id", "vector", "_cell", "_bound")
+    found = ranked(near.drop("place").unionByName(searched(stored(rest, "nearest-visits"))))
+    vectors = candidates.select("candidate_id", "vector").dropDuplicates(["candidate_id"])
+    return found.join(vectors, "candidate_id").select("query_id", "candidate_id", "distance", "vector", "place")
 
 
 def reference_points(

@@ -79,9 +79,8 @@ def decode_capture(file: str, content: bytes):
         at, number = at + 16 + kept, number + 1
 
 
-def read_captures(spark: SparkSession, path: str, batch_rows: int = 20_000) -> DataFrame:
-    """Packets of every capture under ``path``; files are decoded in parallel, one file per task at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def capture_packets(files: DataFrame, batch_rows: int = 20_000) -> DataFrame:
+    """Packets of captures given as ``(path, content)`` rows, one capture at a time inside a task."""
 
     def decode(frames):
         for pdf in frames:
@@ -95,4 +94,9 @@ def read_captures(spark: SparkSession, path: str, batch_rows: int = 20_000) -> D
                 if rows:
                     yield pd.DataFrame(rows, columns=_NAMES, dtype=object)
 
-    return files.mapInPandas(decode, PACKET_SCHEMA)
+    return files.select("path", "content").mapInPandas(decode, PACKET_SCHEMA)
+
+
+def read_captures(spark: SparkSession, path: str, batch_rows: int = 20_000) -> DataFrame:
+    """Packets of every capture under ``path``; files are decoded in parallel, one file per task at a time."""
+    return capture_packets(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), batch_rows)

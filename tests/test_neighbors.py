@@ -124,3 +124,42 @@ def test_oversampling_fills_to_the_median_on_segments(spark):
                 t = 0 if not seg.any() else np.clip((x - a) @ seg / (seg @ seg), 0, 1)
                 gaps.append(np.abs(a + t * seg - x).max())
         assert min(gaps) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [400, 4000])
+def test_nearest_rows_visit_few_cells(spark, monkeypatch, rows):
+    """Clustered rows of 24 features with keys and the row itself left out: exact, and the cells a query visits don't grow with the rows."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(scale=20.0, size=(40, 24))
+    x = centres[rng.integers(40, size=rows)] + rng.normal(size=(rows, 24))
+    key = rng.integers(2, size=rows)
+    df = spark.createDataFrame([(k, v.tolist(), int(p)) for k, (v, p) in enumerate(zip(x, key))], "id long, vector array<double>, p int")
+    visits, plain = {}, N.stored
+
+    def counted(table, name):
+        out = plain(table, name)
+        visits[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    q = df.where("id < 100").select(F.col("id").alias("query_id"), "vector", "p", F.lit(1).alias("self"))
+    got = N.nearest_rows(q, df.select(F.col("id").alias("candidate_id"), "vector", "p"), 3, ["p"]).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.place, r.candidate_id))
+        assert np.array_equal(r.vector, x[r.candidate_id])
+    for i in range(100):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        d[key != key[i]] = np.inf
+        want = sorted(range(rows), key=lambda j: (d[j], j))[:3]
+        assert [c for _, c in sorted(found[i])] == want
+    assert visits["nearest-visits"] / 100 < 6
+
+
+def test_nearest_rows_with_too_few_candidates(spark):
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 5.0])], "query_id long, vector array<double>")
+    c = spark.createDataFrame([(7, [1.0, 0.0]), (8, [4.0, 5.0])], "candidate_id long, vector array<double>")
+    got = sorted(tuple(r)[:3] for r in N.nearest_rows(q, c, 5).select("query_id", "candidate_id", "place").collect())
+    assert got == [(1, 7, 1), (1, 8, 2), (2, 7, 2), (2, 8, 1)]
+    assert N.nearest_rows(q, c.limit(0), 5).count() == 0
