@@ -316,9 +316,10 @@ def reference_points(
         raise ValueError("training data has no benign row")
     q = rows.select(F.col("row_id").alias("query_id"), A.as_doubles(F.col("features")).alias("vector"), "protocol")
     have = small_side(cand.select("protocol").distinct())
-    same = nearest_rows(q.join(have, "protocol", "left_semi"), cand, k, ["protocol"])
-    other = nearest_rows(q.join(have, "protocol", "left_anti"), cand, k)
-    hits = same.withColumn("fallback", F.lit(False)).union(other.withColumn("fallback", F.lit(True)))
+    hits = nearest_rows(q.join(have, "protocol", "left_semi"), cand, k, ["protocol"]).withColumn("fallback", F.lit(False))
+    rest = q.join(have, "protocol", "left_anti")
+    if rest.limit(1).count():
+        hits = hits.union(nearest_rows(rest, cand, k).withColumn("fallback", F.lit(True)))
     if k <= 1:
         return hits.select(F.col("query_id").alias("row_id"), F.col("vector").alias("baseline"), "fallback")
     near = hits.groupBy("query_id").agg(F.collect_list("vector").alias("_v"), F.first("fallback").alias("fallback"))
