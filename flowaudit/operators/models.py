@@ -8,6 +8,7 @@ weights are as large as the model parameters, never as large as the data.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -318,30 +319,38 @@ def score(model, df: DataFrame, features: str = "features") -> DataFrame:
     return out.drop("_vec", "rawPrediction", "probability", "prediction")
 
 
-def _export_tree(jtree, value_of) -> Tree:
-    feature, threshold, left, right, value = [], [], [], [], []
+def _saved_trees(model, value_of) -> tuple[Tree, ...]:
+    """The trees of a fitted ensemble from its saved node rows: one job, whatever the number of nodes.
 
-    def visit(node) -> int:
-        at = len(feature)
-        for store in (feature, threshold, left, right):
-            store.append(-1)
-        value.append(value_of(node))
-        if node.getClass().getSimpleName() == "InternalNode":
-            split = node.split()
-            feature[at], threshold[at] = split.featureIndex(), split.threshold()
-            left[at] = visit(node.leftChild())
-            right[at] = visit(node.rightChild())
-        return at
-
-    visit(jtree.rootNode())
-    return Tree(np.array(feature), np.array(threshold, dtype=float), np.array(left), np.array(right),
-                np.array(value, dtype=float))
+    Node numbers count each tree from its root, so they are places in its arrays.
+    """
+    from pyspark.sql import SparkSession
+
+    from flowaudit.functions.tables import shared_folder
+
+    spark = SparkSession.getActiveSession()
+    path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    model.write().save(path)
+    n = F.col("nodeData")
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", n["id"].alias("id"), n["prediction"].alias("prediction"), n["impurityStats"].alias("stats"), n["leftChild"].alias("left"),
+        n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"), n["split"]["numCategories"].alias("categories"),
+        n["split"]["leftCategoriesOrThreshold"].alias("cut")).orderBy("treeID", "id").toPandas()
+    if (rows["categories"] > 0).any():
+        raise TypeError("no export of categorical splits")
+    out = []
+    for _, t in rows.groupby("treeID", sort=True):
+        inner = (t["left"] >= 0).to_numpy()
+        cut = np.array([c[0] if i else -1.0 for c, i in zip(t["cut"], inner)], dtype=float)
+        feature = np.where(inner, t["feature"].to_numpy(), -1)
+        value = np.array([value_of(p, s) for p, s in zip(t["prediction"], t["stats"])], dtype=float)
+        out.append(Tree(feature, cut, t["left"].to_numpy(), t["right"].to_numpy(), value))
+    return tuple(out)
 
 
 def _class_share(classes: int):
-    def read(node):
-        stats = node.impurityStats().stats()
-        v = np.array([float(s) for s in stats])
+    def read(_, stats):
+        v = np.asarray(stats, dtype=float)
         return v / v.sum() if v.sum() > 0 else np.full(classes, 1.0 / classes)
 
     return read
@@ -353,10 +362,10 @@ def export(model) -> Scorer:
         return model.scorer
     name = type(model).__name__
     if name == "RandomForestClassificationModel":
-        trees = tuple(_export_tree(t, _class_share(model.numClasses)) for t in model._java_obj.trees())
+        trees = _saved_trees(model, _class_share(model.numClasses))
         return TreeScorer(trees, (1.0 / len(trees),) * len(trees))
     if name == "GBTClassificationModel":
-        trees = tuple(_export_tree(t, lambda n: [n.prediction()]) for t in model._java_obj.trees())
+        trees = _saved_trees(model, lambda prediction, _: [prediction])
         return TreeScorer(trees, tuple(model.treeWeights), "boosted")
     if name == "MultilayerPerceptronClassificationModel":
         sizes = model.getLayers()
