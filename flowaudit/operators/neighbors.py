@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,60 +11,69 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowaudit.functions import arrays as A, hashing as H
-from flowaudit.functions.tables import checkpointed, local_rows, long_form, small_side, stored
+from flowaudit.functions.tables import checkpointed, join_nulls_alike, local_rows, long_form, small_side, stored, with_running
 from flowaudit.functions.vectors import matrix
 from flowaudit.operators.constraints import col, enforce, pack, unpack
 from flowaudit.operators.schemas import FlowSchema
 
-SLICES = 64
+#: Least number of slices of a pool: no slice is drawn more often than once in so many draws.
+LEAST_SLICES = 1024
 
 
-def value_pools(train: DataFrame, schema: FlowSchema) -> dict[str, DataFrame]:
-    """Empirical distributions to draw from: the protocol, and each discrete feature per protocol.
+@dataclass(frozen=True)
+class Pool:
+    """An empirical distribution as a guide table: ``table(_proto, _slice, _options)`` over ``slices`` equal slices of the cumulative share.
 
-    A pool row says which values fall into one of ``SLICES`` equal slices of the
-    cumulative count, so a draw is an equi join on the slice plus a short range
-    test, and a value holding a third of all rows is spread over many slices.
+    A slice lists the values that reach into it with the share at which each ends. A draw looks up one slice and takes the first
+    option that ends beyond it. There are at least as many slices as values, so a slice has two options on average and a
+    value with a third of all rows is spread over a third of the slices.
     """
+
+    table: DataFrame
+    slices: int
+
+
+def value_pools(train: DataFrame, schema: FlowSchema) -> dict[str, Pool]:
+    """Empirical distributions to draw from: the protocol, and each discrete feature per protocol."""
     discrete = [c for c in schema.discrete if c != schema.protocol]
     proto = col(schema.protocol) if schema.protocol else F.lit(0.0)
     keyed = train.withColumn("_proto", proto.cast("double"))
     cells = long_form(keyed, discrete, ["_proto"]) if discrete else None
     pools = {}
     if schema.protocol:
-        pools[schema.protocol] = _sliced(keyed.select(F.lit(0.0).alias("_proto"), proto.cast("double").alias("value")))
+        pools[schema.protocol] = _pool(
+            keyed.select(F.lit(0.0).alias("_proto"), proto.cast("double").alias("value")).groupBy("_proto", "value").agg(F.count("*").alias("_n")))
     if cells is not None:
         # counted in one pass, then read once per feature
         counts = checkpointed(cells.groupBy("feature", "_proto", "value").agg(F.count("*").alias("_n")))
         for name in discrete:
-            pools[name] = _sliced(counts.filter(F.col("feature") == name).drop("feature"), counted=True)
-    return {n: small_side(p) for n, p in pools.items()}
-
-
-def _sliced(values: DataFrame, counted: bool = False) -> DataFrame:
-    if not counted:
-        values = values.groupBy("_proto", "value").agg(F.count("*").alias("_n"))
-    w = W.partitionBy("_proto")
-    before = w.orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    v = values.withColumn("_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    v = v.withColumns({"_hi": F.col("_lo") + F.col("_n"), "_total": F.sum("_n").over(w)})
-    edge = lambda c: F.col(c) * SLICES / F.col("_total")
-    first, last = F.floor(edge("_lo")).cast("int"), F.ceil(edge("_hi")).cast("int") - 1
-    v = v.withColumn("_slice", F.explode(F.sequence(first, F.greatest(first, last))))
-    return v.select("_proto", "_slice", (F.col("_lo") / F.col("_total")).alias("_from"),
-                    (F.col("_hi") / F.col("_total")).alias("_to"), F.col("value").alias("_value"))
-
-
-def _draw(df: DataFrame, pool: DataFrame, target: str, proto: Column, u: Column, when: Column) -> DataFrame:
+            pools[name] = _pool(counts.filter(F.col("feature") == name).drop("feature"))
+    return pools
+
+
+def _pool(counts: DataFrame) -> Pool:
+    """Guide table of ``counts(_proto, value, _n)``."""
+    largest = counts.groupBy("_proto").count().agg(F.max("count")).first()[0] or 0
+    slices = max(LEAST_SLICES, int(largest))
+    totals = counts.groupBy("_proto").agg(F.sum("_n").alias("_total"))
+    running = with_running(counts, ["_proto"], ["value"], {"_lo": F.col("_n")}).drop("pos")  # rows of smaller values
+    v = join_nulls_alike(running, small_side(totals), ["_proto"])
+    edge = lambda c: c * slices / F.col("_total")
+    first, last = F.floor(edge(F.col("_lo"))).cast("int"), F.ceil(edge(F.col("_lo") + F.col("_n"))).cast("int") - 1
+    reach = v.withColumn("_slice", F.explode(F.sequence(first, F.greatest(first, last))))
+    option = F.struct(((F.col("_lo") + F.col("_n")) / F.col("_total")).alias("to"), F.col("value").alias("value"))
+    table = reach.groupBy("_proto", "_slice").agg(F.array_sort(F.collect_list(option)).alias("_options"))
+    return Pool(small_side(table), slices)
+
+
+def _draw(df: DataFrame, pool: Pool, target: str, proto: Column, u: Column, when: Column) -> DataFrame:
     """Replace ``target`` by a draw from ``pool`` where ``when`` holds and the pool has the protocol."""
-    df = df.withColumns({"_u": u, "_k": proto}).withColumn("_s", F.floor(F.col("_u") * SLICES).cast("int"))
-    on = (
-        (F.col("_k") == F.col("_proto")) & (F.col("_s") == F.col("_slice"))
-        & (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))
-    )
-    out = df.join(pool, on, "left")
-    new = F.when(when & F.col("_value").isNotNull(), F.col("_value")).otherwise(col(target))
-    return out.withColumn(target, new).drop("_u", "_k", "_s", "_proto", "_slice", "_from", "_to", "_value")
+    df = df.withColumns({"_u": u, "_k": proto}).withColumn("_s", F.floor(F.col("_u") * pool.slices).cast("int"))
+    out = df.join(pool.table, (F.col("_k") == F.col("_proto")) & (F.col("_s") == F.col("_slice")), "left")
+    beyond = F.get(F.filter("_options", lambda o: o["to"] > F.col("_u")), F.lit(0))
+    drawn = F.coalesce(beyond["value"], F.element_at("_options", -1)["value"])
+    new = F.when(when & F.col("_options").isNotNull() & drawn.isNotNull(), drawn).otherwise(col(target))
+    return out.withColumn(target, new).drop("_u", "_k", "_s", "_proto", "_slice", "_options")
 
 
 def spread_by_key(rows: DataFrame, key: str) -> DataFrame:
@@ -79,7 +90,7 @@ def neighbourhood(
     schema: FlowSchema,
     samples: int,
     sigma: float | dict[str, float],
-    pools: dict[str, DataFrame] | None = None,
+    pools: dict[str, Pool] | None = None,
     seed: int = 42,
     repair: bool = True,
     key: str = "row_id",

@@ -163,3 +163,18 @@ def test_nearest_rows_with_too_few_candidates(spark):
     got = sorted(tuple(r)[:3] for r in N.nearest_rows(q, c, 5).select("query_id", "candidate_id", "place").collect())
     assert got == [(1, 7, 1), (1, 8, 2), (2, 7, 2), (2, 8, 1)]
     assert N.nearest_rows(q, c.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("least", [4, 1024])
+def test_draws_follow_exact_frequencies(spark, monkeypatch, least):
+    """Draws at evenly spaced points give every value as often as it occurs among the rows of its protocol."""
+    monkeypatch.setattr(N, "LEAST_SLICES", least)
+    values = {6.0: {1.0: 60, 2.0: 25, 3.0: 10, 7.0: 5}, 17.0: {0.0: 1, 9.0: 199}, 1.0: {5.0: 1}}
+    counts = spark.createDataFrame([(p, v, n) for p, of in values.items() for v, n in of.items()], "_proto double, value double, _n long")
+    pool = N._pool(counts)
+    assert pool.slices == max(least, 4) and pool.table.groupBy("_proto", "_slice").count().where("count > 1").count() == 0
+    points = [(p, (i + 0.5) / 2000, -1.0) for p in (*values, 99.0) for i in range(2000)]
+    df = spark.createDataFrame(points, "p double, u double, x double")
+    got = {(r.p, r.x): r["count"] for r in N._draw(df, pool, "x", F.col("p"), F.col("u"), F.lit(True)).groupBy("p", "x").count().collect()}
+    want = {(p, v): n * 2000 // sum(of.values()) for p, of in values.items() for v, n in of.items()}
+    assert got == want | {(99.0, -1.0): 2000}
