@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -108,55 +110,59 @@ def smallest_per_group(df: DataFrame, by: list[str], quota: DataFrame, seed: int
     return out.withColumn("taken", F.col("level") == 0).drop("level")
 
 
-def _with_buckets(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
-    """Adds ``_b``, the place of the value among approximate quantile cuts of its group.
+def _local_totals(d: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Sorted rows of a range partition with ``<name>_below`` (sums over the group's earlier rows in the partition) and ``_part``.
 
-    The cuts (groups x buckets numbers) are fixed once, so every later use sees the
-    same buckets even when tasks are retried.
+    Totals are carried from batch to batch; only the current group's are held.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * buckets).alias("_cuts"))
-    rows = [(*r[:-1], r[-1], r[-1][15::16]) for r in cuts.collect() if r[-1] is not None]
-    kind = cuts.schema["_cuts"].dataType
-    schema = T.StructType([*cuts.schema.fields, T.StructField("_coarse", kind)])
-    table = F.broadcast(local_rows(df.sparkSession, rows, schema))
-    joined = join_nulls_alike(df, table, by)
-    coarse = F.size(F.filter("_coarse", lambda c: c < F.col(value))) * 16
-    joined = joined.withColumn("_j", coarse)
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_j") + 1, 16), lambda c: c < F.col(value)))
-    return joined.withColumn("_b", F.col("_j") + fine).drop("_cuts", "_coarse", "_j")
-
-
-def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None,
-                buckets: int = 256, window_rows: int = 1_000_000) -> DataFrame:
+    schema = T.StructType([*d.schema.fields, *[T.StructField(n + "_below", T.LongType()) for n in names], T.StructField("_part", T.IntegerType())])
+
+    def run(batches):
+        part, last, carried = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in by:
+                v = batch[c].to_numpy(zero_copy_only=False)
+                new[1:] |= (v[1:] != v[:-1]) & ~((v[1:] != v[1:]) & (v[:-1] != v[:-1]))  # NaN is a key like any other
+            first = tuple(repr(batch[c][0].as_py()) for c in by)
+            if first != last:
+                carried = dict.fromkeys(names, 0)
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            below = {}
+            for name in names:
+                w = batch[name].to_numpy(zero_copy_only=False)
+                before = np.cumsum(w) - w
+                below[name] = before - before[start] + np.where(start == 0, carried[name], 0)
+                carried[name] = int(below[name][-1] + w[-1])
+            last = tuple(repr(batch[c][n - 1].as_py()) for c in by)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(below[m], pa.int64()) for m in names], pa.array(np.full(n, part, np.int32))], names=schema.names)
+
+    return d.mapInArrow(run, schema)
+
+
+def value_ranks(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values per group with counts, values below, and tie-averaged rank.
 
-    Rows are first collapsed to distinct values (map-side combined).  Groups with more
-    than ``window_rows`` values are then cut at approximate quantiles, so that running
-    totals need only a per-bucket window plus a small table of bucket totals; the
-    result is exact for any bucket edges.  ``weights`` adds per-value sums and their
+    Rows are first collapsed to distinct values (map-side combined), which are dealt in ranges of
+    (group, value), so a huge group is many partitions of the order.  Each partition adds its running totals in one
+    pass over its sorted rows; what the partitions before it hold of the same group is carried forward from one row per group and
+    partition.  One plan at every size.  ``weights`` adds per-value sums and their
     running totals (``<name>`` and ``<name>_below``).
     """
     weights = {"cnt": F.lit(1), **(weights or {})}
+    names = list(weights)
     d = df.groupBy(*by, value).agg(*[F.sum(w).cast("bigint").alias(n) for n, w in weights.items()])
-    # the value counts serve the cuts, the bucket totals and the ranks: shuffle once, store, read again
-    d = checkpointed(d)
-    largest = d.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        below = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        d = d.withColumns({n + "_below": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in weights})
-        d = d.withColumn("avg_rank", F.col("cnt_below") + (F.col("cnt") + 1) / 2.0)
-        return d.select(*by, value, *weights, *[n + "_below" for n in weights], "avg_rank")
-    d = _with_buckets(d, by, value, buckets)
-    inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    totals = d.groupBy(*by, "_b").agg(*[F.sum(n).alias("_t_" + n) for n in weights])
-    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        *by, "_b", *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_o_" + n) for n in weights]
-    )
-    d = join_nulls_alike(d, small_side(totals), [*by, "_b"])
-    for n in weights:
-        d = d.withColumn(n + "_below", F.col("_o_" + n) + F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    order = [*by, value]
+    d = stored(_local_totals(d.repartitionByRange(*order).sortWithinPartitions(*order), by, names), "value-ranks")
+    totals = d.groupBy(*by, "_part").agg(*[F.sum(n).alias("_t_" + n) for n in names])
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*by, "_part", *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_o_" + n) for n in names])
+    d = join_nulls_alike(d, small_side(totals), [*by, "_part"])
+    d = d.withColumns({n + "_below": F.col(n + "_below") + F.col("_o_" + n) for n in names})
     d = d.withColumn("avg_rank", F.col("cnt_below") + (F.col("cnt") + 1) / 2.0)
     return d.select(*by, value, *weights, *[n + "_below" for n in weights], "avg_rank")
 
