@@ -176,93 +176,53 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None)
     )
 
 
-GRID = 512
+#: Accuracy of the quantile sketches: a bracket holds about 6 in so many rows of a large group.
+SKETCH_ACCURACY = 10_000
 
 
-def _narrow(rows: DataFrame, keys: list[str], wide: dict[tuple, tuple], spark: SparkSession) -> dict[tuple, tuple]:
-    """Shrink value brackets around their wanted ranks by about GRID / 3 each.
-
-    ``wide[(key, id)] = (lo, hi, below, inside, ranks)``.  Approximate cut points propose
-    the new ends, an exact count checks them; a proposal that misses a rank is dropped.
-    """
-    grid = [i / GRID for i in range(1, GRID)]
-    spans = bracket_table(spark, rows, keys, {k: v[:2] for k, v in wide.items()})
-    inside = join_nulls_alike(rows, spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
-    cuts = inside.groupBy(*keys, "_id").agg(F.percentile_approx("_value", grid, 20 * GRID).alias("c")).collect()
-    proposed = {}
-    for r in cuts:
-        k = (tuple(r[c] for c in keys), r["_id"])
-        lo, hi, below, n, ranks = wide[k]
-        first = int((min(ranks) - below) / n * GRID) - 1
-        last = int((max(ranks) - below + 1) / n * GRID) + 2
-        proposed[k] = (r["c"][first - 1] if first >= 1 else lo, r["c"][last - 1] if last < GRID else hi)
-    tight = bracket_table(spark, rows, keys, proposed).withColumnsRenamed({"_lo": "_nlo", "_hi": "_nhi"})
-    v = F.col("_value")
-    counted = join_nulls_alike(inside, tight, [*keys, "_id"]).groupBy(*keys, "_id").agg(
-        F.count(F.when(v < F.col("_nlo"), 1)).alias("under"),
-        F.count(F.when(v.between(F.col("_nlo"), F.col("_nhi")), 1)).alias("n")).collect()
-    out = {}
-    for r in counted:
-        k = (tuple(r[c] for c in keys), r["_id"])
-        below, ranks = wide[k][2] + r["under"], wide[k][4]
-        if below <= min(ranks) and max(ranks) < below + r["n"] and r["n"] < wide[k][3]:
-            out[k] = (*proposed[k], below, r["n"], ranks)
-    return out
-
-
-def bracket_table(spark: SparkSession, rows: DataFrame, keys: list[str], brackets: dict[tuple, tuple]) -> DataFrame:
-    """``(*keys, _id, _lo, _hi)`` rows for a broadcast join (groups x wanted ranks, at most)."""
-    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("_id", T.IntegerType()),
-                           T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
-    return F.broadcast(local_rows(spark, [(*k, i, float(v[0]), float(v[1])) for (k, i), v in brackets.items()], schema))
-
-
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                    window_rows: int = 1_000_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: ``(*by, prob, quantile)``.
 
-    ``percentile`` keeps every distinct value of a group in one hash map.  Here the
-    wanted ranks are bracketed between two values and the brackets narrowed, pass by
-    pass, until each holds at most ``window_rows`` rows (or one value); only those rows
-    are counted by value and ranked.  Brackets steer the work, never the result.
-    Needs one count per group, and no narrowing at all for small groups.
+    ``percentile`` keeps every distinct value of a group in one hash map.  Here one mergeable sketch per group gives a
+    bracket around each wanted rank, whose error the sketch bounds; rows below a bracket are counted exactly, and only those
+    inside are ranked, range-partitioned like all ranks.  A group too small for the bound is one bracket as a whole.  Brackets,
+    counts and ranks are tables, so nothing per group comes to the driver.
     """
-    spark, inf = df.sparkSession, float("inf")
     rows = df.select(*by, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_value"))
     rows = rows.filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
-    keys = [*by, "_all"]
-    wanted, brackets = [], {}
-    for r in rows.groupBy(*keys).count().collect():
-        key, n, ranks = tuple(r[c] for c in keys), r["count"], {}
-        for p in probs:
-            pos = p * (n - 1)
-            for rank, share in ((int(pos), 1.0 - (pos - int(pos))), (min(int(pos) + 1, n - 1), pos - int(pos))):
-                ranks.setdefault(p, []).append((rank, share))
-        # small groups share one bracket; large ones get one per probability
-        parts = [probs] if n <= window_rows else [[p] for p in probs]
-        for i, part in enumerate(parts):
-            brackets[key, i] = (-inf, inf, 0, n, [rank for p in part for rank, _ in ranks[p]])
-            wanted += [(*key, i, float(p), rank, share) for p in part for rank, share in ranks[p]]
-    wide = {k: v for k, v in brackets.items() if v[3] > window_rows}
-    while wide:
-        tighter = _narrow(rows, keys, wide, spark)
-        brackets.update(tighter)
-        wide = {k: v for k, v in tighter.items() if v[3] > window_rows and v[0] < v[1]}
-    plan_schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("_id", T.IntegerType()),
-                                T.StructField("prob", T.DoubleType()), T.StructField("_rank", T.LongType()),
-                                T.StructField("_share", T.DoubleType())])
-    plan = [(*w[:-2], w[-2] - brackets[tuple(w[: len(keys)]), w[len(keys)]][2], w[-1]) for w in wanted]
-    plan = F.broadcast(local_rows(spark, plan, plan_schema))
-    if all(v[0] == -inf and v[1] == inf for v in brackets.values()):
-        inside = rows.withColumn("_id", F.lit(0))
-    else:
-        spans = bracket_table(spark, rows, keys, {k: v[:2] for k, v in brackets.items()})
-        inside = join_nulls_alike(rows, spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
-    values = inside.groupBy(*keys, "_id", "_value").agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*keys, "_id").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
-    values = values.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    picked = join_nulls_alike(values, plan, [*keys, "_id"]).filter(hit)
+    keys, reach = [*by, "_all"], 3.0 / accuracy
+    v, small = F.col("_value"), F.col("_rows") < 2 * accuracy
+    ends = [max(0.0, p - reach) for p in probs] + [min(1.0, p + reach) for p in probs]
+    groups = rows.groupBy(*keys).agg(
+        F.count("*").alias("_rows"), F.min("_value").alias("_min"), F.max("_value").alias("_max"), F.percentile_approx("_value", ends, accuracy).alias("_ends"))
+    part = lambda at: F.slice("_ends", at + 1, len(probs))
+    groups = groups.select(*keys, "_rows", F.when(small, F.array("_min")).otherwise(part(0)).alias("_lows"),
+                           F.when(small, F.array("_max")).otherwise(part(len(probs))).alias("_highs"))
+    groups = small_side(stored(groups, "quantile-brackets"))
+    bracketed = join_nulls_alike(rows, groups, keys)
+    low, high = (lambda i, c=c: F.get(c, i) for c in ("_lows", "_highs"))
+    count = lambda test: F.array(*[F.count(F.when(test(F.lit(i)), 1)) for i in range(len(probs))])
+    below = stored(bracketed.groupBy(*keys).agg(
+        F.first("_rows").alias("_rows"), count(lambda i: v < low(i)).alias("_under"), count(lambda i: v <= high(i)).alias("_upto")), "quantile-counts")
+    # the sketch's bound is checked by the counts; a bracket that misses its rank is made eight times as wide
+    missed = [~small & ((F.get("_under", F.lit(i)) > F.floor(F.lit(float(p)) * (F.col("_rows") - 1))) | (F.get("_upto", F.lit(i)) <= F.ceil(F.lit(float(p)) * (F.col("_rows") - 1))))
+              for i, p in enumerate(probs)]
+    if below.filter(reduce(lambda a, b: a | b, missed)).limit(1).count():
+        return exact_quantiles(df, by, value, probs, max(1, accuracy // 8))
+    ids = F.filter(F.sequence(F.lit(0), F.size("_lows") - 1), lambda i: v.between(low(i), high(i)))
+    inside = bracketed.select(*keys, "_value", F.explode(ids).alias("_id"))
+    ranks = value_ranks(inside, [*keys, "_id"], "_value")
+    wanted = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_rows") - 1)
+        share = pos - F.floor(pos)
+        for step, weight in ((0, 1.0 - share), (1, share)):
+            wanted.append(F.struct(F.when(small, 0).otherwise(i).alias("_id"), F.lit(float(p)).alias("prob"), (F.floor(pos) + step).alias("_rank"),
+                                   weight.alias("_share"), F.when(small, 0).otherwise(F.get("_under", F.lit(i))).alias("_under")))
+    plan = below.select(*keys, F.explode(F.array(*wanted)).alias("_w")).select(*keys, "_w.*").filter("_share > 0")
+    picked = join_nulls_alike(ranks.select(*keys, "_id", "_value", "cnt", "cnt_below"), plan, [*keys, "_id"])
+    first = F.col("_under") + F.col("cnt_below")
+    picked = picked.filter((first <= F.col("_rank")) & (F.col("_rank") < first + F.col("cnt")))
     return picked.groupBy(*by, "prob").agg(F.sum(F.col("_value") * F.col("_share")).alias("quantile"))
 
 

@@ -23,16 +23,25 @@ def test_exact_quantiles(spark):
     for g, part in pdf.groupby("g"):
         for p in (0.1, 0.5, 0.99):
             assert got[g, p] == pytest.approx(np.percentile(part["v"], p * 100), abs=1e-12)
-    for limit in (1, 40, 10_000):  # small limits force several narrowing passes
+    for accuracy in (7, 60, 10_000):  # groups bracketed closely, loosely, and as a whole
         for p in (0.0, 0.25, 0.5, 0.97, 1.0):
-            whole = T.exact_quantiles(df, [], "v", [p], window_rows=limit).first()["quantile"]
+            whole = T.exact_quantiles(df, [], "v", [p], accuracy=accuracy).first()["quantile"]
             assert whole == pytest.approx(np.percentile(pdf["v"], p * 100))
     wild = df.withColumn("v", F.when(F.col("id") == 1, 1e300).otherwise(F.pow(F.col("v"), 7)))
     w = wild.toPandas()["v"]
-    got = T.exact_quantiles(wild, [], "v", [0.5], window_rows=20).first()["quantile"]
+    got = T.exact_quantiles(wild, [], "v", [0.5], accuracy=40).first()["quantile"]
     assert got == pytest.approx(np.median(w))
 
 
+def test_quantiles_of_many_groups_stay_tables(spark, monkeypatch):
+    """Medians of 20,000 groups; only the size check of the small side looks at groups on the driver."""
+    monkeypatch.setattr(T, "small_side", lambda df, max_rows=0: df)
+    df = spark.range(100_000).selectExpr("id % 20000 AS g", "cast(id * 7919 % 1009 AS double) AS v")
+    got = T.exact_quantiles(df, ["g"], "v", [0.5]).toPandas().set_index("g")["quantile"]
+    want = df.toPandas().groupby("g")["v"].median()
+    assert len(got) == 20000 and (got.sort_index() == want.sort_index()).all()
+
+
 def test_quantiles_skip_nulls(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,), (None,), (float("nan"),)], "v double")
     assert T.exact_quantiles(df, [], "v", [0.5]).first()["quantile"] == 3.0
@@ -168,7 +177,7 @@ def test_null_groups_are_kept_at_every_size(spark):
     assert {r.y for r in T.value_ranks(df, ["y"], "value").collect()} == {None, "g0", "g1"}
     quantiles = {(r.y, r.prob): r.quantile for r in T.exact_quantiles(df, ["y"], "value", [0.25, 0.5]).collect()}
     assert len(quantiles) == 6
-    assert quantiles == {(r.y, r.prob): r.quantile for r in T.exact_quantiles(df, ["y"], "value", [0.25, 0.5], window_rows=20).collect()}
+    assert quantiles == {(r.y, r.prob): r.quantile for r in T.exact_quantiles(df, ["y"], "value", [0.25, 0.5], accuracy=50).collect()}
     run = T.with_running(df, ["y"], ["row_id"], sums={"s": F.col("value")})
     cut = T.with_running(df, ["y"], ["row_id"], sums={"s": F.col("value")}, chunk_rows=20)
     key = lambda d: sorted((r.row_id, r.pos, r.s) for r in d.collect())
