@@ -118,3 +118,41 @@ def test_constrained_attack_is_feasible(spark):
         want = np.clip(o + r.epsilon * way, 0, 1)
         want[0] = np.clip(want[0], 0.3, 0.6)
         assert np.allclose(x, want, atol=1e-9)
+
+
+def _full_tree(rng, depth, width):
+    """A tree with all splits to ``depth``, features repeating on paths."""
+    nodes = 2 ** (depth + 1) - 1
+    inner = np.arange(nodes) < 2**depth - 1
+    left = np.where(inner, 2 * np.arange(nodes) + 1, -1)
+    return M.Tree(np.where(inner, rng.integers(0, width, nodes), -1), np.where(inner, rng.normal(scale=0.5, size=nodes), 0.0), left,
+                  np.where(inner, left + 1, -1), rng.random((nodes, 3)))
+
+
+def test_leaf_values_by_tables_and_by_masks():
+    rng = np.random.default_rng(5)
+    trees, bg, x = [_full_tree(rng, 5, 7) for _ in range(3)], rng.normal(size=(9, 7)), rng.normal(size=(40, 7))
+    x[0, 2], bg[0, 1] = np.nan, np.nan
+    target = rng.integers(0, 3, len(x))
+    tabled, masked = K.LeafTable(trees, (0.5, 0.3, 0.2), bg), K.LeafTable(trees, (0.5, 0.3, 0.2), bg)
+    masked.PLACES = 0
+    assert np.allclose(tabled.shapley(x, target), masked.shapley(x, target), atol=1e-12)
+    assert np.allclose(tabled.interactions(x, target), masked.interactions(x, target), atol=1e-12)
+    assert np.allclose(tabled.interactions(x)[np.arange(len(x)), :, :, target], masked.interactions(x, target), atol=1e-12)
+
+
+def test_leaf_values_need_bounded_memory_and_time():
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    table = K.LeafTable([_full_tree(rng, 10, 64)], (1.0,), rng.normal(size=(100, 64)))
+    x, target = rng.normal(size=(3000, 64)), rng.integers(0, 3, 3000)
+    tracemalloc.start()
+    table.shapley(x, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # all pairs of masks took 0.7 GB and more
+    start = time.process_time()
+    table.interactions(x[:40], target[:40])
+    assert time.process_time() - start < 20  # cell by cell of each leaf took about 100 s
