@@ -178,3 +178,16 @@ def test_draws_follow_exact_frequencies(spark, monkeypatch, least):
     got = {(r.p, r.x): r["count"] for r in N._draw(df, pool, "x", F.col("p"), F.col("u"), F.lit(True)).groupBy("p", "x").count().collect()}
     want = {(p, v): n * 2000 // sum(of.values()) for p, of in values.items() for v, n in of.items()}
     assert got == want | {(99.0, -1.0): 2000}
+
+
+def test_visits_are_kept_once_a_query(spark, monkeypatch):
+    import numpy as np
+
+    kept = {}
+    monkeypatch.setattr(N, "stored", lambda df, name, keep=N.stored: kept.setdefault(name, keep(df, name)))
+    v = np.random.default_rng(3).normal(size=(120, 6))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id bigint, vector array<double>")
+    got = N.nearest_rows(rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "candidate_id"), 2, pivots=16).collect()
+    far = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    assert np.allclose(sorted(r["distance"] for r in got), np.sort(np.sort(far, axis=1)[:, :2].ravel()))
+    assert kept["nearest-visits"].count() <= 120  # one row each, not one for each of its cells
