@@ -156,3 +156,28 @@ def test_leaf_values_need_bounded_memory_and_time():
     start = time.process_time()
     table.interactions(x[:40], target[:40])
     assert time.process_time() - start < 20  # cell by cell of each leaf took about 100 s
+
+
+def test_draws_make_few_arrays():
+    import tracemalloc
+
+    ids, samples = np.arange(20), np.arange(1, 5000)
+    S.normals(1, ids, samples, 4, 0)
+    tracemalloc.start()
+    out = S.normals(1, ids, samples, 4, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.2 * out.nbytes and X.COPY_CELLS * 8 <= 2 << 20  # blocks near the size of the caches
+
+
+def test_robustness_metrics_read_stored_pairs(spark, tmp_path):
+    """Attack, explanation and join are not part of the metrics' plan, which runs them once for each scan."""
+    from flowaudit.plans import modelling
+
+    spark.range(40).selectExpr(
+        "id as l_orderkey", "id % 7 as l_partkey", "id % 3 as l_suppkey", "cast(id % 4 as int) as l_linenumber", "cast(id % 50 + 1 as double) as l_quantity",
+        "900.0D + id * 100 as l_extendedprice", "id % 10 / 100.0D as l_discount", "id % 8 / 100.0D as l_tax", "if(id % 2 = 0, 'R', 'A') as l_returnflag",
+        "'F' as l_linestatus", "date'2020-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = modelling.robustness_of_explainer(spark, str(tmp_path))
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 5
