@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowaudit.functions import kernels as K, samples as S
+from flowaudit.functions import arrays as A, kernels as K, samples as S
 from flowaudit.operators import attacks as AT, constraints as C, explainers as X, models as M, schemas as SC
 from flowaudit.operators.rule_program import FeasibleProjection, RuleProgram
 
@@ -181,3 +181,24 @@ def test_robustness_metrics_read_stored_pairs(spark, tmp_path):
     out = modelling.robustness_of_explainer(spark, str(tmp_path))
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 5
+
+
+def test_adversarial_table_equals_its_attacks(spark):
+    """One pass gives what the two attacks, the scorer's columns and the distance give one by one, with and without vectors."""
+    rng = np.random.default_rng(8)
+    # multiples of 1/8 and such weights: many scores lie exactly on the border between the classes
+    df = spark.createDataFrame([(k, int(k % 2), (rng.integers(0, 9, 3) / 8).tolist()) for k in range(200)], "row_id bigint, y int, features array<double>")
+    scorer = M.LinearScorer(((0.5,), (-1.0,), (0.25,)), (0.125,), "sigmoid")
+    s, scales = SC.FlowSchema("t", ("a", "b", "c"), bounded=(SC.Bounded("a", 0.25, 0.75),)), {n: (0.0, 1.0) for n in "abc"}
+    for rules in ({}, {"schema": s, "scales": scales}):
+        both = AT.fgsm(df, scorer, **rules).unionByName(AT.pgd(df, scorer, **rules))
+        label = lambda c: A.argmax(scorer.proba(F.col(c)))
+        want = both.select("attack", "epsilon", "row_id", "features", "original", label("original").alias("pred_clean"), label("features").alias("pred_adv"),
+                           A.distance(F.col("features"), F.col("original"), "linf").alias("linf"))
+        order = lambda r: (r.attack, r.epsilon, r.row_id)
+        want = sorted(want.collect(), key=order)
+        got = AT.adversarial_table(df, scorer, "m", **rules)
+        assert [tuple(r) for r in sorted(got.select(*want[0].asDict()).collect(), key=order)] == [tuple(r) for r in want] and len(want) == 1600
+        bare = AT.adversarial_table(df, scorer, "m", vectors=False, **rules)
+        assert "features" not in bare.columns and "original" not in bare.columns
+        assert sorted(bare.collect()) == sorted(got.select(*bare.columns).collect())
