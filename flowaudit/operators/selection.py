@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowaudit.functions.tables import checkpointed, exact_quantiles, local_rows, small_side, value_ranks, with_running
+from flowaudit.functions.tables import checkpointed, exact_quantiles, local_rows, small_side, stored, value_ranks
 from flowaudit.operators import evaluation as E, models as M
 
 STATISTICAL = ("Chi-Squared", "PCA", "Spearman", "InfoGain")
@@ -143,56 +149,169 @@ def information_gain(df: DataFrame, bins: int = 10, y: str = "y") -> DataFrame:
     return j.groupBy("feature_idx").agg(F.greatest(gain, F.lit(0.0)).alias("score"))
 
 
-def _digamma(c: Column) -> Column:
+def _digamma(c: np.ndarray) -> np.ndarray:
     """psi(x) for x >= 1: shifted by 6, then the asymptotic series."""
-    series = lambda x: F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, 4))
-    x = c.cast("double")
-    out = series(x + 6)
+    x = np.asarray(c, float)
+    y = x + 6
+    out = np.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y**4)
     for i in range(6):
         out = out - 1 / (x + i)
     return out
 
 
+def _sorted_part(batches) -> tuple[np.ndarray, list[np.ndarray], list]:
+    """A sorted partition's (starts of features, [feature, class code, value, n], classes)."""
+    table = pa.Table.from_batches(batches)
+    classes = table["y"].combine_chunks().dictionary_encode()
+    columns = [table["feature_idx"].to_numpy(), classes.indices.to_numpy(), table["value"].to_numpy(), table["n"].to_numpy()]
+    starts = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0] - 1))
+    return np.append(starts, len(columns[0])), columns, [repr(c) for c in classes.dictionary.to_pylist()]
+
+
+def _by_feature(batches):
+    """(feature, class codes, values, counts, classes) of every feature in a partition."""
+    batches = [b for b in batches if b.num_rows]
+    if batches:
+        starts, (f, y, v, n), classes = _sorted_part(batches)
+        for a, b in zip(starts, starts[1:]):
+            yield int(f[a]), y[a:b], v[a:b], n[a:b], classes
+
+
+def _radius(v: np.ndarray, n: np.ndarray, before: int, rows: int, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to the k-th neighbour of ``rows`` distinct sorted values from place ``before`` on, and the value it belongs to."""
+    gaps, found = np.empty(rows), np.empty(rows)
+    steps = np.arange(-reach, reach + 1)
+    for s in range(0, rows, 1 << 16):
+        own = np.arange(before + s, before + min(rows, s + (1 << 16)))
+        at = own[:, None] + steps
+        there = (at >= 0) & (at < len(v))
+        at = np.clip(at, 0, len(v) - 1)
+        gap = np.where(there, np.abs(v[at] - v[own, None]), np.inf)
+        held = np.where(there, n[at] - (steps == 0), 0)
+        near = np.argsort(gap, axis=1, kind="stable")  # of two values equally near the smaller one comes first
+        enough = (np.take_along_axis(held, near, 1).cumsum(axis=1) >= k).argmax(axis=1)
+        last = near[np.arange(len(own)), enough]
+        gaps[s : s + len(own)], found[s : s + len(own)] = gap[np.arange(len(own)), last], v[at[np.arange(len(own)), last]]
+    return gaps, found
+
+
 def information_gain_neighbours(df: DataFrame, neighbours: int = 3, y: str = "y", chunk_rows: int = 2_000_000) -> DataFrame:
     """Nearest-neighbour estimate of the same quantity (continuous feature, discrete class), over all rows.
 
     As published for mixed variables: the distance to the k-th neighbour of the same class, then the rows
-    of any class nearer than that. Rows are collapsed to (feature, class, value) counts. Every distinct value
-    has a place in its class, so its neighbours come from an equi join on places; the rows within its radius
-    are the difference of two running counts over the feature's values. Both orders are cut into chunks where a
-    group is long (``chunk_rows``). Null or NaN values, null classes and classes of one row are left out.
+    of any class nearer than that. Rows are collapsed to (feature, value, class) counts and dealt once in sorted ranges of (feature, value)
+    of at most about ``chunk_rows``; everything else happens inside the ranges. A first pass returns every range's outermost
+    values of each class, a second one finds all radii and counts the rows within them. Only the first and last k values of a class in a range
+    can have a radius that reaches beyond it, so what is asked of other ranges in a third pass is bounded by ranges x classes x k.
+    Null or NaN values, null classes and classes of one row are left out.
     """
-    long = cells(df.filter(F.col(y).isNotNull()), [y]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = checkpointed(long.groupBy("feature_idx", y, "value").agg(F.count("*").alias("n")))
-    sizes = counts.groupBy("feature_idx", y).agg(F.sum("n").alias("n_class")).filter("n_class > 1")
-    sizes = sizes.withColumn("k", F.least(F.lit(neighbours), F.col("n_class") - 1).cast("bigint"))
-    counts = counts.join(small_side(sizes), ["feature_idx", y])  # features x classes rows
-    placed = checkpointed(with_running(counts, ["feature_idx", y], ["value"], chunk_rows=chunk_rows))
-
-    others = placed.select("feature_idx", y, F.col("pos").alias("_at"), F.col("value").alias("_u"), F.col("n").alias("_n"))
-    steps = F.explode(F.sequence(F.lit(-neighbours), F.lit(neighbours)))
-    around = placed.withColumn("_step", steps).withColumn("_at", F.col("pos") + F.col("_step")).join(others, ["feature_idx", y, "_at"])
-    near = F.struct(F.abs(F.col("_u") - F.col("value")).alias("gap"), F.col("_u").alias("u"), (F.col("_n") - F.when(F.col("_step") == 0, 1).otherwise(0)).alias("n"))
-    keys = ["feature_idx", y, "value", "n", "n_class", "k"]
-    found = around.groupBy(*keys).agg(F.array_sort(F.collect_list(near)).alias("_near"))  # 2 k + 1 values at most
-    # the first neighbour up to which there are k rows
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("u"))
-    kth = F.aggregate("_near", start, lambda s, x: F.when(s["seen"] >= F.col("k"), s).otherwise(
-        F.struct((s["seen"] + x["n"]).alias("seen"), x["gap"].alias("gap"), x["u"].alias("u"))))
-    found = found.select(*keys, kth.alias("_kth")).select(*keys, F.col("_kth.gap").alias("gap"), F.col("_kth.u").alias("u"))
-    v, gap, u = F.col("value"), F.col("gap"), F.col("u")
-    low, high = F.when(u < v, u).otherwise(v - gap), F.when(u > v, u).otherwise(v + gap)
-    # order 0 stands before the rows of a value, 2 behind them; a radius of 0 counts the value's own rows
-    ends = F.array(F.struct(high.alias("x"), F.when(gap > 0, 0).otherwise(2).alias("turn"), F.lit(1).alias("sign")),
-                   F.struct(low.alias("x"), F.when(gap > 0, 2).otherwise(0).alias("turn"), F.lit(-1).alias("sign")))
-    asked = found.select(*keys, F.explode(ends).alias("_e")).select(*keys, "_e.x", "_e.turn", "_e.sign", F.lit(0).cast("bigint").alias("rows"))
-    held = counts.groupBy("feature_idx", F.col("value").alias("x")).agg(F.sum("n").alias("rows")).withColumn("turn", F.lit(1))
-    ordered = with_running(asked.unionByName(held, allowMissingColumns=True), ["feature_idx"], ["x", "turn"], {"below": F.col("rows")}, chunk_rows=chunk_rows)
-    within = ordered.filter("sign is not null").groupBy(*keys).agg(F.sum(F.col("sign") * F.col("below")).alias("m"))
-    w = F.col("n").cast("double")
-    mean = lambda c: F.sum(w * _digamma(c)) / F.sum(w)
-    score = _digamma(F.sum("n")) + mean(F.col("k")) - mean(F.col("n_class")) - mean(F.greatest(F.col("m"), F.lit(1)))
-    return within.groupBy("feature_idx").agg(F.greatest(score, F.lit(0.0)).alias("score"))
+    k, spark = neighbours, df.sparkSession
+    long = cells(df.filter(F.col(y).isNotNull()).withColumnRenamed(y, "y"), ["y"]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = stored(long.groupBy("feature_idx", "y", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n")), "neighbour-counts")
+    parts = max(-(-counts.count() // chunk_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = checkpointed(counts.repartitionByRange(parts, "feature_idx", "value").sortWithinPartitions("feature_idx", "value"))
+
+    def outermost(batches):
+        part = TaskContext.get().partitionId()
+        for f, codes, v, n, classes in _by_feature(batches):
+            for c in np.unique(codes):
+                mine = codes == c
+                mv, mn = v[mine], n[mine]
+                yield pa.RecordBatch.from_pylist([{
+                    "part": part, "f": f, "c": classes[c], "rows": int(mn.sum()), "low": float(v[0]), "high": float(v[-1]),
+                    "v": [*mv[:k], *mv[-k:]], "n": [*mn[:k], *mn[-k:]], "first": min(k, len(mv))}], schema=to_arrow_schema(ends))
+
+    ends = T._parse_datatype_string("part int, f int, c string, rows bigint, low double, high double, v array<double>, n array<bigint>, first int")
+    seen = sorted(ranges.mapInArrow(outermost, ends).collect(), key=lambda r: (r["f"], r["c"], r["part"]))
+    sizes: dict[tuple, int] = {}
+    for r in seen:
+        sizes[r["f"], r["c"]] = sizes.get((r["f"], r["c"]), 0) + r["rows"]
+    seen = [r for r in seen if sizes[r["f"], r["c"]] > 1]
+    spans: dict[int, dict[int, list]] = {}  # of a feature: range -> [first value, last value, rows]
+    for r in seen:
+        spans.setdefault(r["f"], {}).setdefault(r["part"], [r["low"], r["high"], 0])[2] += r["rows"]
+    below = {(f, p): n for f, held in spans.items() for p, n in zip(sorted(held), np.cumsum([0, *(held[p][2] for p in sorted(held))]).tolist())}
+    around: dict[tuple, tuple] = {}  # of a range, feature and class: the k values before it and behind it
+    for i, r in enumerate(seen):
+        before, behind = ([], []), ([], [])
+        for step, side in ((-1, before), (1, behind)):
+            j = i + step
+            while 0 <= j < len(seen) and (seen[j]["f"], seen[j]["c"]) == (r["f"], r["c"]) and len(side[0]) < k:
+                o = seen[j]
+                half = slice(o["first"], None) if step < 0 else slice(0, o["first"])
+                pairs = list(zip(o["v"][half], o["n"][half]))[::step][: k - len(side[0])]
+                for list_, got in zip(side, zip(*pairs)):
+                    list_.extend(got)
+                j += step
+        around[r["part"], r["f"], r["c"]] = tuple(x[::-1] for x in before), behind
+
+    def within(batches):
+        part = TaskContext.get().partitionId()
+        for f, codes, v, n, classes in _by_feature(batches):
+            kept = np.isin(codes, [i for i, c in enumerate(classes) if sizes.get((f, c), 0) > 1])
+            if not kept.any():
+                continue
+            codes, v, n = codes[kept], v[kept], n[kept]
+            running = np.concatenate([[0], n.cumsum()]) + below[f, part]
+            earlier = [spans[f][p][1] for p in spans[f] if p < part]
+            later = [spans[f][p][0] for p in spans[f] if p > part]
+            floor, ceiling = max(earlier, default=-np.inf), min(later, default=np.inf)
+            for c in np.unique(codes):
+                mine, size = codes == c, sizes[f, classes[c]]
+                (lv, ln), (rv, rn) = around[part, f, classes[c]]
+                mv, mn, most = v[mine], n[mine], min(k, size - 1)
+                gap, u = _radius(np.concatenate([lv, mv, rv]), np.concatenate([ln, mn, rn]).astype(np.int64), len(lv), len(mv), most, k)
+                low, high = np.where(u < mv, u, mv - gap), np.where(u > mv, u, mv + gap)
+                # rows below the upper end less those up to the lower end; a radius of 0 counts the value's own rows
+                upto = np.where(gap > 0, running[np.searchsorted(v, high, "left")], running[np.searchsorted(v, high, "right")])
+                under = np.where(gap > 0, running[np.searchsorted(v, low, "right")], running[np.searchsorted(v, low, "left")])
+                open_low, open_high = (gap > 0) & (low < floor), (gap > 0) & (high > ceiling)
+                done = ~(open_low | open_high)
+                m = np.maximum(upto - under, 1)
+                fixed = float(_digamma(most) - _digamma(size))
+                total = float((mn[done] * (fixed - _digamma(m[done]))).sum())
+                answers = [{"f": f, "n": int(mn[done].sum()), "total": total, "fixed": fixed, "low": None, "high": None, "under": 0, "upto": 0}]
+                for i in np.flatnonzero(~done).tolist():
+                    answers.append({"f": f, "n": int(mn[i]), "total": None, "fixed": fixed, "low": float(low[i]) if open_low[i] else None,
+                                    "high": float(high[i]) if open_high[i] else None, "under": int(under[i]), "upto": int(upto[i])})
+                yield pa.RecordBatch.from_pylist(answers, schema=to_arrow_schema(answer))
+
+    answer = T._parse_datatype_string("f int, n bigint, total double, fixed double, low double, high double, under bigint, upto bigint")
+    answers = ranges.mapInArrow(within, answer).collect()
+    asked: dict[int, set] = {}
+    for r in answers:
+        asked.setdefault(r["f"], set()).update(x for x in (r["low"], r["high"]) if x is not None)
+    asked = {f: np.array(sorted(x)) for f, x in asked.items() if x}
+
+    def counted(batches):
+        """Rows below each asked value, and up to it, from the range it lies in."""
+        part = TaskContext.get().partitionId()
+        for f, codes, v, n, classes in _by_feature(batches):
+            kept = np.isin(codes, [i for i, c in enumerate(classes) if sizes.get((f, c), 0) > 1])
+            if f in asked and kept.any():
+                v, running = v[kept], np.concatenate([[0], n[kept].cumsum()]) + below[f, part]
+                x = asked[f]
+                x = x[(x >= spans[f][part][0]) & (x < min((spans[f][p][0] for p in spans[f] if p > part), default=np.inf))]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(x), f, np.int32)), pa.array(x), pa.array(running[np.searchsorted(v, x, "left")]),
+                    pa.array(running[np.searchsorted(v, x, "right")])], names=["f", "x", "below", "upto"])
+
+    held = {}
+    if asked:
+        for r in ranges.mapInArrow(counted, "f int, x double, below bigint, upto bigint").collect():
+            held[r["f"], r["x"]] = r["below"], r["upto"]
+    totals: dict[int, list] = {}
+    for r in answers:
+        score = r["total"]
+        if score is None:
+            upto = r["upto"] if r["high"] is None else held.get((r["f"], r["high"]), (0, 0))[0]
+            under = r["under"] if r["low"] is None else held.get((r["f"], r["low"]), (0, 0))[1]
+            score = r["n"] * (r["fixed"] - float(_digamma(max(upto - under, 1))))
+        sums = totals.setdefault(r["f"], [0, []])
+        sums[0] += r["n"]
+        sums[1].append(score)
+    scores = [(f, max(0.0, float(_digamma(n)) + math.fsum(parts) / n)) for f, (n, parts) in sorted(totals.items())]
+    return local_rows(spark, scores, "feature_idx int, score double")
 
 
 def select_top(scores: DataFrame, n: int, method: str) -> DataFrame:

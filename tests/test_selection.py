@@ -36,3 +36,21 @@ def test_information_gain_neighbours_uses_all_rows(spark, chunk_rows):
     got = {r["feature_idx"]: r["score"] for r in S.information_gain_neighbours(df, 3, chunk_rows=chunk_rows).collect()}
     for f, x in enumerate(columns):
         assert got[f] == pytest.approx(brute_force(x, y, 3), abs=1e-4)
+
+
+def test_information_gain_neighbours_sorts_distinct_values_once(spark, monkeypatch):
+    """One sorted table of (feature, class, value, rows) is all that is kept; a rare class whose radii span many ranges is counted rightly."""
+    kept, checkpointed = [], S.checkpointed
+
+    def watched(df):
+        out = checkpointed(df)
+        kept.append((sorted(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(S, "checkpointed", watched)
+    x = [float(v) for v in np.random.default_rng(2).integers(0, 4096, 200) / 512]
+    y = [1 if i % 40 == 0 else 0 for i in range(200)]  # five rows of class 1
+    df = spark.createDataFrame([(i, y[i], [x[i]]) for i in range(200)], "row_id int, y int, features array<double>")
+    got = S.information_gain_neighbours(df, 3, chunk_rows=20).collect()
+    assert kept == [(["feature_idx", "n", "value", "y"], len({(a, b) for a, b in zip(x, y)}))]
+    assert got[0]["score"] == pytest.approx(brute_force(x, y, 3), abs=1e-4)
