@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from flowaudit.operators import explainers as X, models as M, packets as P, quality as Q
@@ -173,17 +175,15 @@ def flow_neighbourhood(spark, folder):
 PACKET_SCORER = M.LinearScorer(((0.02,), (0.01,), (0.001,)), (0.0,), "identity")
 
 
-def _packet_features():
-    return F.array(F.col("ip_ttl").cast("double"), F.col("ip_tos").cast("double"), F.col("ip_total_length").cast("double"))
-
+PACKET_FEATURES = ("ip_ttl", "ip_tos", "ip_total_length")
 
 #: Perturbed packets a surrogate is fitted to, as many as row surrogates take by default.
 PACKET_SAMPLES = 5000
 
 
 def _packet_lime(spark, folder, seed):
-    near = P.packet_neighbourhood(packets(spark, folder), PACKET_SAMPLES, 5.0, ["flow", "pkt_no"], group=["flow"], seed=seed)
-    return X.packet_lime(near, _packet_features(), PACKET_SCORER, ["flow"])
+    near = partial(P.packet_neighbourhood, packets(spark, folder), PACKET_SAMPLES, 5.0, ["flow", "pkt_no"], group=["flow"], seed=seed)
+    return X.packet_lime(near, PACKET_FEATURES, PACKET_SCORER, ["flow"])
 
 
 @query("packet_lime", "SELECT count(DISTINCT user_id) AS n, 3 AS width, true AS fitted FROM events")
