@@ -4,12 +4,15 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowaudit import session
+from flowaudit.functions import tables
 from flowaudit.llm import common, decontamination, fixity, language, ngram_join, packing, pii, substring, token_store, toxicity, vector_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +76,49 @@ def test_ngram_join_nulls_and_empty(documents):
     assert ngram_join.jaccard_components(documents([])).count() == 0
 
 
+def test_second_filter_keeps_links_and_drops_strangers():
+    """Every pair that links passes; long strangers, whose short hashes clash, and sets that differ too much don't."""
+    rng = np.random.default_rng(5)
+
+    def passes(x, y, percent=80):
+        p = [ngram_join._unpack(ngram_join._pack(ngram_join._second_prefix(s, ngram_join.prefix_length(len(s), percent))), np.uint32) for s in (x, y)]
+        return ngram_join.may_link(*p, len(x), len(y), percent)
+
+    def sets(shared, x, y):
+        words = rng.integers(0, 2**64, shared + x + y, np.uint64)
+        return np.unique(words[: shared + x]), np.unique(np.concatenate([words[:shared], words[shared + x :]]))
+
+    for shared, x, y in [(1, 0, 0), (4, 1, 0), (8, 1, 1), (80, 20, 0), (80, 0, 20), (400, 50, 50), (4000, 999, 1)] * 20:
+        assert passes(*sets(shared, x, y)), (shared, x, y)
+    assert not any(passes(*sets(0, 2000, 2000)) for _ in range(20))
+    assert not any(passes(*sets(300, 700, 700)) for _ in range(20))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a step shuffled is deleted when its table is written, not when the driver collects its garbage."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        names = (files.apply(k).getName() for k in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(session.CLEANUP)
+    work = common.Workspace(spark, "test")
+    wide = spark.range(1000).repartition(5, "id")
+    for n, table in enumerate([work.table(wide, "plain"), work.bucketed(wide, "dealt", "id", 3), tables.stored(wide, "plain")]):
+        assert table.count() == 1000, n
+    assert spark.conf.get(session.CLEANUP) == setting
+    work.forget()
+    wide.write.format("noop").mode("overwrite").save()  # a shuffle that stays, as a measure
+    for _ in range(50):
+        left = {n.split("_")[1] for n in shuffles() - before}
+        if len(left) <= 4:
+            break
+        time.sleep(0.2)
+    assert 1 <= len(left) <= 4  # the last write's, and what three counts send: nothing of the three tables
+
+
 def test_substring(documents):
     rows = corpus()
     words = {i: WORD.findall(t or "") for i, t in rows}
