@@ -119,6 +119,18 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert 1 <= len(left) <= 4  # the last write's, and what three counts send: nothing of the three tables
 
 
+def test_flagged_keeps_rows_in_place(spark, monkeypatch):
+    """All wanted ids are flagged, nearly no others, and what is flagged isn't shuffled: only the ids are."""
+    monkeypatch.setattr(common, "MEMBER_BITS", 1 << 20)
+    rows = spark.range(0, 3000, numPartitions=4).select(F.when(F.col("id") > 0, F.col("id")).alias("_row"))
+    got = common.flagged(rows, "_row", spark.range(7, 3000, 10).withColumnRenamed("id", "x"), "x", "_maybe")
+    flags = {r._row: r._maybe for r in got.collect()}
+    assert got.rdd.getNumPartitions() == 4 and len(flags) == 3000
+    assert all(flags[k] for k in range(7, 3000, 10)) and sum(flags.values()) < 320
+    nobody = common.flagged(rows, "_row", spark.range(0).withColumnRenamed("id", "x"), "x", "_maybe")
+    assert nobody.where("not _maybe").count() == 3000
+
+
 def test_substring(documents):
     rows = corpus()
     words = {i: WORD.findall(t or "") for i, t in rows}
